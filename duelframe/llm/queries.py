@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_ann
 from .mixing import op8_mixing
 from .near_dedup import op6_near_dedup
 from .ppm import op2_ppm
@@ -10,5 +11,5 @@ from .sharding import op7_sharding
 from .token_files import op3_token_files
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op3_token_files, op4_quality, op6_near_dedup, op7_sharding, op8_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_ppm, op3_token_files, op4_quality, op6_near_dedup, op7_sharding, op8_mixing, op9_ann, op10_warc)}
 ORACLES: dict[str, str] = {}
