@@ -8,8 +8,9 @@ from .near_dedup import op6_near_dedup
 from .ppm import op2_ppm
 from .quality import op4_quality
 from .sharding import op7_sharding
+from .template import op5_template
 from .token_files import op3_token_files
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op3_token_files, op4_quality, op6_near_dedup, op7_sharding, op8_mixing, op9_ann, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_ppm, op3_token_files, op4_quality, op5_template, op6_near_dedup, op7_sharding, op8_mixing, op9_ann, op10_warc)}
 ORACLES: dict[str, str] = {}
