@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op9_ann
 from .mixing import op8_mixing
 from .near_dedup import op6_near_dedup
+from .pieces import op1_pieces
 from .ppm import op2_ppm
 from .quality import op4_quality
 from .sharding import op7_sharding
@@ -12,5 +13,5 @@ from .template import op5_template
 from .token_files import op3_token_files
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_ppm, op3_token_files, op4_quality, op5_template, op6_near_dedup, op7_sharding, op8_mixing, op9_ann, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_ppm, op3_token_files, op4_quality, op5_template, op6_near_dedup, op7_sharding, op8_mixing, op9_ann, op10_warc)}
 ORACLES: dict[str, str] = {}
