@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, whole, workers_can_import
 
@@ -273,7 +274,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, into:
     workers_can_import(docs.sparkSession)
     kept = docs.drop(into)
     rows = kept.withColumn("_text", whole(kept[text]))
-    schema = kept.schema.add("piece_ids", "array<int>")
+    schema = T.StructType([*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
     out = rows.mapInArrow(_encode_batches(model or default_model(), len(rows.columns) - 1), schema)
     return out.withColumnRenamed("piece_ids", into)
 
@@ -292,7 +293,7 @@ def decode(rows: DataFrame, ids: str = "piece_ids", model: str | None = None, in
     """rows with the text of a column of ids at the end."""
     workers_can_import(rows.sparkSession)
     kept = rows.drop(into)
-    schema = kept.schema.add("decoded", "string")
+    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
     return kept.mapInArrow(_decode_batches(model or default_model(), kept.columns.index(ids)), schema).withColumnRenamed("decoded", into)
 
 
