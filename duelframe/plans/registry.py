@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from duelframe.operators import form, market, metrics
+
+_MODULES = (metrics, form, market)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
