@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from duelframe.operators import form, market, metrics
+from duelframe.operators import form, market, metrics, ranking, ratings, skills
 
-_MODULES = (metrics, form, market)
+_MODULES = (metrics, form, market, ratings, skills, ranking)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in _MODULES:
