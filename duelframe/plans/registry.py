@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from duelframe.operators import form, market, metrics, ranking, ratings, skills
+from duelframe.operators import evaluation, form, market, matchup, metrics, ranking, ratings, relational, skills
+from duelframe.plans import sql
+from duelframe.sources import documents
+from duelframe.streaming import windows
 
-_MODULES = (metrics, form, market, ratings, skills, ranking)
+_MODULES = (metrics, form, market, ratings, skills, ranking, evaluation, matchup, relational, documents, windows, sql)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in _MODULES:
