@@ -9,15 +9,21 @@ from duelframe.sources import adapter
 from duelframe.sources.adapter import oracle
 
 ROLLED = ("sig_landed", "td_landed", "kd", "ctrl_seconds")
-_BY = Window.partitionBy("fighter_id").orderBy("ts", "fight_id")
+
+
+def _in_order():
+    return Window.partitionBy("fighter_id").orderBy("ts", "fight_id")
+
+
 #: Frames by prefix: rows from, up to the row before.
 FRAMES = {"avg": Window.unboundedPreceding, "recent": -5, "last3": -3}
 
 
 def rolling(sides: DataFrame) -> DataFrame:
     """All frames of one ordering in one select: one shuffle and one sort."""
-    cols = [F.avg(c).over(_BY.rowsBetween(start, -1)).alias(f"{p}_{c}") for p, start in FRAMES.items() for c in ROLLED]
-    before = _BY.rowsBetween(Window.unboundedPreceding, -1)
+    by = _in_order()
+    cols = [F.avg(c).over(by.rowsBetween(start, -1)).alias(f"{p}_{c}") for p, start in FRAMES.items() for c in ROLLED]
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"career_{c}") for c in ("won", "lost")]
     finish = F.col("won") * F.greatest("is_ko", "is_sub")
     return sides.select("fight_id", "fighter_id", *cols, *sums, F.coalesce(F.sum(finish).over(before), F.lit(0)).alias("career_finishes"))
@@ -39,12 +45,12 @@ ROLLING_SQL = oracle(
 
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed streak before the bout (+n wins in a row, -n others), by gaps and islands, and days off."""
-    s = adapter.sides(spark, sf_dir)
-    s = s.withColumn("_new", F.coalesce((F.lag("won").over(_BY) != F.col("won")).cast("int"), F.lit(1)))
-    s = s.withColumn("_island", F.sum("_new").over(_BY.rowsBetween(Window.unboundedPreceding, 0)))
+    s, by = adapter.sides(spark, sf_dir), _in_order()
+    s = s.withColumn("_new", F.coalesce((F.lag("won").over(by) != F.col("won")).cast("int"), F.lit(1)))
+    s = s.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     run = F.row_number().over(Window.partitionBy("fighter_id", "_island").orderBy("ts", "fight_id"))
     s = s.withColumn("_signed", F.when(F.col("won") == 1, run).otherwise(-run))
-    return s.select("fight_id", "fighter_id", F.coalesce(F.lag("_signed").over(_BY), F.lit(0)).alias("streak"), F.datediff("date", F.lag("date").over(_BY)).alias("days_since_last"))
+    return s.select("fight_id", "fighter_id", F.coalesce(F.lag("_signed").over(by), F.lit(0)).alias("streak"), F.datediff("date", F.lag("date").over(by)).alias("days_since_last"))
 
 
 STREAK_SQL = oracle(

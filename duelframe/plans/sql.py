@@ -18,14 +18,12 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
 def is_query(spark: SparkSession, statement: str) -> bool:
     """Whether the parsed statement only reads: no command anywhere in its plan."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    package = "org.apache.spark.sql.catalyst.plans.logical"
+    refused = [plan.getClass().getClassLoader().loadClass(f"{package}.{name}") for name in ("Command", "ParsedStatement")]
     todo = [plan]
     while todo:
         node = todo.pop()
-        kinds, cls = [], node.getClass()
-        while cls is not None:
-            kinds += [cls.getSimpleName(), *[i.getSimpleName() for i in cls.getInterfaces()]]
-            cls = cls.getSuperclass()
-        if any(k in ("Command", "RunnableCommand", "ParsedStatement", "UnaryCommand", "BinaryCommand", "InsertIntoStatement", "LeafCommand") for k in kinds):
+        if any(kind.isInstance(node) for kind in refused):
             return False
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
