@@ -12,7 +12,7 @@ diagonal entry of sum(tokens * p * p'); in that metric the step 1 / (largest eig
 
 Cases: a null or empty text has no tokens, the prior as its posterior, and a rate like others; null
 labels are ignored; a document labelled more than once counts with its least domain; domains
-without documents get no share; without any labels all documents are of the first domain; an empty
+of next to no tokens get no share; without any labels all documents are of the first domain; an empty
 table gives no rows; columns that have the names of results are replaced.
 """
 
@@ -43,6 +43,7 @@ MOST_TELLING = 256
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of expected tokens. The first domain keeps its tokens; the others are set against it.
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
+MOST_UP = 5.0
 ITERATIONS = 60
 CLOSE = 1e-4
 
@@ -74,7 +75,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS
     one = labelled.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = one.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(FIT_DOCS)  # 20,000 narrow rows at most: broadcast
     rows = docs.select("doc_id", whole("text").alias("_text")).join(F.broadcast(sample), "doc_id")
-    priors = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    priors = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = rows.select("domain", F.explode(F.array_distinct(buckets_of(F.col("_text")))).alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     width = BUCKETS + SHAPES
     table_ = {d: [0] * width for d in domains}
@@ -155,17 +156,19 @@ def solve(f: DataFrame, targets: list[float]) -> list[list[float]]:
     at = lambda i: F.get("p", F.lit(i))
     first = f.agg(*[F.sum(F.col("n") * at(i)).alias(f"s{i}") for i in range(d)], *[F.sum(F.col("n") * at(i) * at(j)).alias(f"m{i}_{j}") for i, j in pairs]).first()
     sums = [first[f"s{i}"] or 0.0 for i in range(d)]
-    goal = [t * sums[0] / targets[0] if sums[i] > 0 else 0.0 for i, t in enumerate(targets)]
+    # A domain of next to no tokens has no part; others are raised MOST_UP times at most.
+    part = [x > 1e-6 * sum(sums) for x in sums]
+    goal = [min(t * sums[0] / targets[0], MOST_UP * x) for t, x in zip(targets, sums)]
     m = [[first[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]
     scale = [m[i][i] or 1.0 for i in range(d)]
     even = [[m[i][j] / math.sqrt(scale[i] * scale[j]) for j in range(d)] for i in range(d)]
     step = 1.0 / max(_largest_eigenvalue(even), 1e-9)
     steps: list[list[float]] = []
     for _ in range(ITERATIONS):
-        if all(abs(s - g) <= CLOSE * max(g, 1e-3 * sum(goal), 1e-9) for s, g in zip(sums, goal)):
+        if all(abs(s - g) <= CLOSE * max(g, 1e-3 * sum(goal), 1e-9) for s, g, p in zip(sums, goal, part) if p):
             break
         # Rounded, so that the order of a sum doesn't show in the rates.
-        steps.append([round(step * (g - s) / k, 10) for s, g, k in zip(sums, goal, scale)])
+        steps.append([round(step * (g - s) / k, 10) if p else 0.0 for s, g, k, p in zip(sums, goal, scale, part)])
         rated = f.select((F.col("n") * rate_of(F.col("p"), steps)).alias("w"), "p")
         got = rated.agg(*[F.sum(F.col("w") * at(i)).alias(f"s{i}") for i in range(d)]).first()
         sums = [got[f"s{i}"] or 0.0 for i in range(d)]
