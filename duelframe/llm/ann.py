@@ -136,10 +136,8 @@ def _search_block(shared, k: int):
             chosen = ~own & (estimate + error >= at_least[:, None])
             for i in range(len(part)):
                 c = np.flatnonzero(chosen[i])
-                # Summed dimension by dimension, so that equal vectors have equal scores everywhere.
-                s = np.zeros(len(c))
-                for j in range(d):
-                    s += x[c, j] * part[i, j]
+                # Each row is summed by itself, so that equal vectors have equal scores everywhere.
+                s = (x[c] * part[i]).sum(axis=1)
                 best = np.lexsort((vid[c], -s))[:k]
                 out_q.append(np.full(len(best), ids[i]))
                 out_v.append(vid[c][best])
