@@ -198,4 +198,4 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features once into a written table of counts; references and verdicts from that."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     f = written(_features(docs, base=True).drop("text"), "quality-features")
-    return _judged(f, _pool(f)).select("doc_id", *RESULTS[:5], "base_failed", "kept", "class_distance", "common_distance")
+    return _judged(f, _pool(f)).select("doc_id", *RESULTS[:5], "base_failed", "kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .ann import op9_ann
 from .mixing import op8_mixing
 from .near_dedup import op6_near_dedup
@@ -14,4 +15,4 @@ from .token_files import op3_token_files
 from .warc import op10_warc
 
 QUERIES = {f.__name__: f for f in (op1_pieces, op2_ppm, op3_token_files, op4_quality, op5_template, op6_near_dedup, op7_sharding, op8_mixing, op9_ann, op10_warc)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_quality": oracles.QUALITY_SQL, "op6_near_dedup": oracles.NEAR_SQL, "op10_warc": oracles.WARC_SQL}
