@@ -11,9 +11,10 @@ average, the chance to meet nowhere is 0.0002, and it falls fast above.
 
 Equal sets form a class, and one document stands for it. In a bucket, every member is compared with
 one hub, not with every other; links are confirmed on the full sets, computed again from the texts.
-Components then tell which buckets still hold documents that aren't joined: those get further
-hubs, and last every pair of their members across components whose signatures are near enough for a
-similarity of 0.8. So large groups of copies cost rows in proportion to their size, and no
+Components then tell which buckets still hold documents that aren't joined. Of those, documents
+that share too few shingles with all open documents of other components can't have a link and go;
+the rest gets a further hub, and last every pair across components whose signatures are near
+enough for a similarity of 0.8. So large groups of copies cost rows in proportion to their size, and no
 link between different components is left out. Components come from large-star and small-star
 rounds over written tables; no links, sets or components reach the driver.
 
@@ -40,7 +41,7 @@ R = CHUNKS * WIDTH
 #: 9.6 and the standard deviation 2.8; a chance of 0.00002 lies beyond.
 FAR = 22
 #: Rounds of further hubs before all remaining pairs are compared.
-HUBS = 2
+HUBS = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([int.from_bytes(xxhash.xxh128_digest(f"a{i}")[:8], "little") | 1 for i in range(R)], dtype=np.uint64)
 _B = np.array([int.from_bytes(xxhash.xxh128_digest(f"b{i}")[:8], "little") for i in range(R)], dtype=np.uint64)
@@ -178,6 +179,43 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return written(both.mapInArrow(_verify_batches(k, percent), "a long, b long"), "links")
 
 
+def _open(placed: DataFrame, least: int) -> DataFrame:
+    """placed(key, a, c) of buckets with members of different components, `least` members at least."""
+    keys = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("_n")).where((F.col("_lo") != F.col("_hi")) & (F.col("_n") >= least))
+    return placed.join(keys.select("key"), "key")
+
+
+def _shingle_batches(k: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
+            rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            for lo in range(0, len(rows), 100_000):
+                at = pa.array(rows[lo : lo + 100_000])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(flat[lo : lo + 100_000].view(np.int64))], names=["a", "c", "s"])
+
+    return run
+
+
+def _can_link(left: DataFrame, info: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """left(key, a, c) without members that can't have a link to another component, by an exact bound:
+    only shingles that some open document of another component has can be shared with one, and a
+    link to a set of m shingles takes percent / (100 + percent) * (n + m) of them. Of m, the least in
+    the member's buckets counts."""
+    left = written(left.join(info.select("a", "n"), "a"), "open")
+    if left.isEmpty():
+        return left.select("key", "a", "c")
+    least = left.groupBy("key").agg(F.min("n").alias("m"))
+    docs = written(left.join(least, "key").groupBy("a").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.min("m").alias("m")), "open-documents")
+    have = docs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "text", "c").mapInArrow(_shingle_batches(k), "a long, c long, s long")
+    have = written(have, "open-shingles")
+    shared = have.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("s")
+    counts = have.join(shared, "s").groupBy("a").agg(F.count(F.lit(1)).alias("x"))
+    able = docs.join(counts, "a").where((100 + percent) * F.col("x") >= percent * (F.col("n") + F.col("m"))).select("a")
+    return _open(left.select("key", "a", "c").join(able, "a").select("key", "a", "c"), 2)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it can reach), of nodes that links(a, b) name.
 
@@ -233,8 +271,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for turn in range(HUBS + 1):
         comps = components(links)
         placed = written(members.join(comps, members["a"] == comps["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")), "placed")
-        open_ = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi AND _n > 2").select("key")
-        left = written(placed.join(open_, "key"), "open")
+        left = written(_can_link(_open(placed, 3), info, texts, k, percent), "open")
         if left.isEmpty():
             break
         if turn < HUBS:
