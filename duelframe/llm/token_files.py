@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,17 @@ TEXT_PER_FILE = 48e6
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 #: Distinct chunks of text that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 650_000
+#: Chunks in one call of the library: few, so that its buffers stay in the processor's cache.
+TOGETHER = 200
 END_ID = 2
 
-#: A space between two characters that aren't white space: words of a byte-level BPE never cross it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space between two characters that aren't white space: no word of a byte-level BPE crosses its start.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
+#: Without white space, so without line feeds.
+_PLAIN = re.compile(r"\S+\Z").match
+_LINE = re.compile(r"\n\S+\Z").match
 _loaded: dict = {}
 
 
@@ -57,39 +63,56 @@ class _Encoder:
         self.newline = nl[0] if len(nl) == 1 else None
 
     def chunks(self, text: str) -> list[str]:
-        if _DOUBLE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        out = [" " + x for x in rest]
-        out.insert(0, first)
+        """Pieces that are encoded one by one. All but the first follow a space, which is left out,
+        or begin with a line feed."""
+        return _CUT.split(text) if _DOUBLE.search(text) else text.replace("\n", " \n").split(" ")
+
+    def ids(self, plain: list[str], other: list[str]) -> list[bytes]:
+        """The ids of each text. plain: words without white space, but for a space before; these go to the library many at once, with line feeds between them."""
+        out: list[bytes] = []
+        for lo in range(0, len(plain), TOGETHER):
+            part = plain[lo : lo + TOGETHER]
+            found = np.asarray(self.lib.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(found == self.newline)
+            if len(at) != len(part) - 1:
+                found = [np.asarray(x.ids, dtype="<u4") for x in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+                out += [x.tobytes() for x in found]
+                continue
+            raw, start = found.tobytes(), 0
+            for end in [*(at * 4).tolist(), len(raw)]:
+                out.append(raw[start:end])
+                start = end + 4
+        for lo in range(0, len(other), 5000):
+            out += [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.lib.encode_batch_fast(other[lo : lo + 5000], add_special_tokens=False)]
         return out
 
     def learn(self, new: list[str]) -> None:
-        """Encode chunks that aren't known: many in one call, with line feeds between them."""
+        plain, lines, other = [], [], []
+        for x in new:
+            (other if self.newline is None else plain if _PLAIN(x) else lines if _LINE(x) else other).append(x)
         known = self.known
-        plain = [x for x in new if self.newline is not None and "\n" not in x and x and not x[-1].isspace() and (x[0] == " " and not x[1].isspace() or not x[0].isspace())]
-        ids = np.asarray(self.lib.encode("\n".join(plain), add_special_tokens=False).ids, dtype="<u4") if plain else np.zeros(0, "<u4")
-        at = np.flatnonzero(ids == self.newline) if plain else []
-        if plain and len(at) == len(plain) - 1:
-            raw, lo = ids.tobytes(), 0
-            for x, hi in zip(plain, [*(at * 4).tolist(), len(raw)]):
-                known[x] = raw[lo:hi]
-                lo = hi + 4
-        else:
-            plain = []
-        rest = [x for x in new if x not in known] if len(plain) < len(new) else []
-        for x, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False)):
-            known[x] = np.asarray(e.ids, dtype="<u4").tobytes()
+        known.update(zip(plain, self.ids([" " + x for x in plain], [])))
+        feed = b"" if self.newline is None else np.asarray([self.newline], dtype="<u4").tobytes()
+        known.update(zip(lines, (feed + x for x in self.ids([x[1:] for x in lines], []))))
+        known.update(zip(other, self.ids([], [x if x[:1] == "\n" else " " + x for x in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(x) for x in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        firsts = [x.pop(0) for x in split]
+        chunks = list(chain.from_iterable(split))
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = set().union(*split)
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        found = list(map(self.known.get, chunks))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            self.learn(list({chunks[i] for i in missing}))
+            for i in missing:
+                found[i] = self.known[chunks[i]]
+        out, lo = [], 0
+        for first, x in zip(self.ids([], firsts), split):
+            out.append(first + b"".join(found[lo : lo + len(x)]))
+            lo += len(x)
+        return out
 
 
 def _encoder(path: str) -> _Encoder:
@@ -142,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         .option("parquet.block.size", str(ROW_GROUP))
         .option("parquet.page.size", str(PAGE))
         .option("parquet.page.row.count.limit", "1000")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .parquet(path)
     )
 
@@ -159,12 +182,16 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     The running sum is in two steps, so no task sees more than one file: within a file by row
     position, and over one row for each file.
     """
-    rows = spark.read.schema("doc_id long, n_tokens long").parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return _starts(rows)
+    rows = _metadata(spark, path)
+    return _starts(rows, rows)
+
+
+def _metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, n_tokens long").parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_all"))
+def _starts(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    files = metadata.groupBy("_file").agg(F.sum("n_tokens").alias("_all"))
     before = files.select("_file", F.coalesce(F.sum("_all").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(before, "_file").withColumn("start", F.col("_before") + F.col("_inside")).drop("_file", "_row", "_before", "_inside")
@@ -184,7 +211,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, all from the ids in the files."""
     rows = spark.read.schema("doc_id long, ids array<int>").parquet(path).select("ids", "doc_id", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     read = rows.mapInArrow(_crc_batches, "doc_id long, _file string, _row long, ids_crc32 long, n_tokens long")
-    return _starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _starts(read, _metadata(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
