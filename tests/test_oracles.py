@@ -11,13 +11,11 @@ from .conftest import SF
 
 
 def plain(value):
-    if value is None or value is pd.NaT or isinstance(value, float) and math.isnan(value):
+    if value is None or pd.api.types.is_scalar(value) and pd.isna(value):
         return None
-    if isinstance(value, bool):
-        return float(value)
-    if isinstance(value, (int, float)) or hasattr(value, "dtype"):
+    if isinstance(value, (bool, int, float)) or hasattr(value, "dtype"):
         return round(float(value), 6) + 0.0
-    return str(value)[:19]
+    return str(value)[:19].removesuffix(" 00:00:00")
 
 
 def rows(df):
