@@ -9,12 +9,13 @@ and nest: no class lies across the gap between two tokens of another. The class
 is the root; its tokens cut the page into slots, and texts that are tokens of valid classes are
 template. Tags of all hosts together give a template for hosts of few pages.
 
-Of the slots, those are extracted that lie in an article (or main) element, if there is one, and in no element
+Of the slots' texts that are not template, those are extracted that lie in an article (or main) element, if there is one, and in no element
 that by its name, role or class is a menu, header, footer, sidebar, notice, advert, form or comment
 area; scripts, styles and other markup hold no text. Blocks are the texts between block-level tags:
 character references decoded, white space turned to single spaces, trimmed, one to a line.
 
-Cases: null or empty html gives an empty text; html cut short is read up to its end (a tag cut
+Cases: a page whose every text is template (most pages of its host are copies of it) keeps the texts that
+the tag rules choose; null or empty html gives an empty text; html cut short is read up to its end (a tag cut
 short is dropped); elements left open end with their parent; a null url is a host of its own; rows
 are never merged; an empty table gives no rows; other columns are ignored.
 """
@@ -231,19 +232,13 @@ def extract(page: str, classes: list[list[int]], texts: list[int]) -> str:
                 continue  # around the whole root: no nesting
         valid.append(order)
     fixed = {t for order in valid for t in order} & set(texts)
-    # Slots are the gaps between the root's tokens; each block lies in one.
-    slots: dict[int, list[Block]] = {}
-    gap = 0
-    for b in blocks:
-        while gap < len(cuts) and cuts[gap] < b.at:
-            gap += 1
-        slots.setdefault(gap, []).append(b)
-    inside = any(b.article and not b.outside for b in blocks)
-    out = []
-    for slot in sorted(slots):
-        for b in slots[slot]:
-            if not b.outside and (b.article or not inside) and (b.article or b.token not in fixed):
-                out.append(b.text)
+    # Slots are the gaps between the root's tokens that hold text the template doesn't have; what the
+    # template has is dropped in them too. Tag rules choose among the texts of slots.
+    able = [b for b in blocks if not b.outside]
+    free = [b for b in able if b.token not in fixed]
+    chosen = free or able  # all of it is template: a page that most of its host's pages are copies of
+    inside = any(b.article for b in chosen)
+    out = [b.text for b in chosen if b.article or not inside]
     return "\n".join(out)
 
 

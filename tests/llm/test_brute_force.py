@@ -127,6 +127,15 @@ def test_template_drops_what_pages_of_a_host_share():
     assert template.extract(page(5), [root], [fixed]) == "Story number 5 of many"
 
 
+def test_template_decides_within_articles(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Read by our editors</p><p>Story number {i} of many</p></article></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(12)] + [(99 + i, "http://copies/", page(0)) for i in range(12)]
+    out = template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in out.collect()}
+    assert all(got[i] == f"Title {i}\nStory number {i} of many" for i in range(12))
+    assert all(got[99 + i] == "Title 0\nRead by our editors\nStory number 0 of many" for i in range(12))
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for d, t in docs:
