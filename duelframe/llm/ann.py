@@ -6,10 +6,13 @@ dimension, packed), the offset's norm, and the inner product of the offset's dir
 code, which corrects the estimate. Lists are cut into chunks of CHUNK vectors, so a list that holds
 much of the data is not one task's.
 
-Search: a query meets the PROBES lists whose centres have the largest inner products with it (all
-lists, if there are fewer), in blocks of queries times chunks of vectors. The estimate of <query,
+Search: a query first meets the PROBES lists whose centres have the largest inner products with it (all
+lists, if there are fewer), in blocks of queries times chunks of vectors. Its K-th score then is a floor: it
+meets each other list too, unless <query, centre> + |query| * (largest offset norm of the list), which
+no vector of the list exceeds, is below the floor. So no list is left out that could hold one of the K
+nearest. The estimate of <query,
 vector> comes from the bits alone; its error is within BOUND standard deviations, and only vectors
-whose upper bound reaches the K-th largest lower bound are reranked by exact inner products of the
+whose upper bound reaches the floor and the K-th largest lower bound are reranked by exact inner products of the
 original vectors in double precision. The best of each block are merged by query.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
@@ -32,6 +35,7 @@ K = 20
 SAMPLE = 20_000
 LIST_SIZE = 4096
 MOST_LISTS = 4096
+#: Lists that every query meets; how many more is up to the bound.
 PROBES = 16
 CHUNK = 8192
 QUERIES = 1024
@@ -104,13 +108,32 @@ def _assign_batches(shared):
 
 def _probe_batches(shared, probes: int):
     def run(batches):
-        centres, _ = shared.value
+        centres = shared.value[0]
         for batch in batches:
             x = _matrix(batch.column(1), centres.shape[1])
             n = min(probes, len(centres))
             best = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
             rows = pa.array(np.repeat(np.arange(len(x)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(best.reshape(-1).astype(np.int32))], names=["query_id", "query", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(rows), -np.inf)), pa.array(best.reshape(-1).astype(np.int32))], names=["query_id", "query", "floor", "list"])
+
+    return run
+
+
+def _widen_batches(shared, radii: np.ndarray, probes: int):
+    """The lists beyond the first `probes` that can hold a vector with a score of the query's floor."""
+
+    def run(batches):
+        centres = shared.value[0]
+        for batch in batches:
+            x, floor = _matrix(batch.column(1), centres.shape[1]), batch.column(2).to_numpy()
+            near = x @ centres.T
+            reach = near + np.linalg.norm(x, axis=1)[:, None] * radii
+            able = (reach >= (floor - 1e-9 * np.abs(np.nan_to_num(floor, neginf=0.0)))[:, None]) if len(x) else reach > 0
+            np.put_along_axis(able, np.argsort(-near, axis=1, kind="stable")[:, :probes], False, axis=1)
+            rows, lists = np.nonzero(able)
+            for lo in range(0, len(rows), 20_000):
+                at = pa.array(rows[lo : lo + 20_000])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(lists[lo : lo + 20_000].astype(np.int32))], names=["query_id", "query", "floor", "list"])
 
     return run
 
@@ -118,6 +141,7 @@ def _probe_batches(shared, probes: int):
 def _search_block(shared, k: int):
     def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         centres, turn = shared.value
+        floors = queries.column("floor").to_numpy()
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not len(queries) or not len(vectors):
             return none
@@ -133,6 +157,7 @@ def _search_block(shared, k: int):
             own = ids[:, None] == vid[None, :]
             low = np.where(own, -np.inf, estimate - error)
             at_least = np.partition(low, max(len(x) - k, 0), axis=1)[:, max(len(x) - k, 0)]
+            at_least = np.maximum(at_least, floors[lo : lo + 128] - 1e-9 * np.abs(np.nan_to_num(floors[lo : lo + 128], neginf=0.0)))
             chosen = ~own & (estimate + error >= at_least[:, None])
             for i in range(len(part)):
                 c = np.flatnonzero(chosen[i])
@@ -172,20 +197,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
     centres = kmeans(_matrix(sample.column(0), d), lists) if sample is not None and len(sample) else np.zeros((1, d))
     shared = spark.sparkContext.broadcast((centres, rotation(d)))
     index = written(v.select("vec_id", "embedding").mapInArrow(_assign_batches(shared), "vec_id long, embedding array<double>, list int, code binary, norm double, fix double"), "ann-index")
-    probed = q.select("vec_id", "embedding").mapInArrow(_probe_batches(shared, probes), "query_id long, query array<double>, list int")
-    probed = written(probed, "ann-probes")
+    asked = "query_id long, query array<double>, floor double, list int"
+    probed = written(q.select("vec_id", "embedding").mapInArrow(_probe_batches(shared, probes), asked), "ann-probes")
+    found = _meet(index, probed, shared, k)
+    if lists > probes:
+        found = written(_best(found, k), "ann-first")
+        floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        radii = np.full(lists, -np.inf)  # of empty lists
+        for r in index.groupBy("list").agg(F.max("norm").alias("r")).collect():  # MOST_LISTS rows at most
+            radii[r["list"]] = r["r"] * (1 + 1e-9) + 1e-9
+        wider = q.select("vec_id", "embedding").join(floors, "vec_id", "left").select("vec_id", "embedding", F.coalesce("floor", F.lit(float("-inf"))))
+        wider = written(wider.mapInArrow(_widen_batches(shared, radii, probes), asked), "ann-probes")
+        found = found.drop("rank").unionByName(_meet(index, wider, shared, k))
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(index: DataFrame, probed: DataFrame, shared, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block for its queries, of probed(query_id, query, floor, list)."""
     # Blocks: chunks of a list times blocks of the queries that probe it.
     chunks = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     blocks = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
     sizes = chunks.join(blocks, "list")  # MOST_LISTS rows at most
     deal = lambda id_, n: F.pmod(F.xxhash64(id_), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = probed.join(F.broadcast(sizes), "list").select("list", deal("query_id", F.col("blocks")).alias("b"), upto(F.col("chunks")).alias("c"), "query_id", "query")
+    left = probed.join(F.broadcast(sizes), "list").select("list", deal("query_id", F.col("blocks")).alias("b"), upto(F.col("chunks")).alias("c"), "query_id", "query", "floor")
     right = index.join(F.broadcast(sizes), "list").select("list", upto(F.col("blocks")).alias("b"), deal("vec_id", F.col("chunks")).alias("c"), "vec_id", "embedding", "code", "norm", "fix")
     by = ["list", "b", "c"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search_block(shared, k), "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search_block(shared, k), "query_id long, vec_id long, score double")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,22 @@ def test_nearest_neighbours(spark, duck):
     assert hits >= 0.9 * n
 
 
+def test_nearest_neighbours_beyond_the_first_lists(spark, monkeypatch):
+    """Of 40 lists two are probed first; the bound must find what lies in the others."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 25)
+    x = np.random.default_rng(3).standard_normal((1000, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(v, v.where("vec_id % 20 = 0"), probes=2).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 1000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.99 * 20 * 50
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     x, turn = rng.standard_normal((500, 64)), ann.rotation(64)
