@@ -10,6 +10,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from duelframe.llm import ann, pieces, ppm, queries, template
 from tests.conftest import SF
 
@@ -191,6 +193,35 @@ def test_mixing_meets_targets(spark):
     assert math.isclose(total["clean"], before, rel_tol=0.02)
 
 
+def test_mixing_raises_rare_domains_to_their_targets(spark):
+    """Toxic tokens are 0.1 % of the clean ones, a twentieth of their target."""
+    from duelframe.llm import mixing
+
+    rows = [(1000, [0.97, 0.02, 0.01])] * 40 + [(1000, [0.9, 0.1, 0.0])] * 10 + [(1000, [0.999, 0.001, 0.0])] * 400 + [(50, [0.02, 0.03, 0.95])] * 2 + [(300, [0.05, 0.95, 0.0])] * 3
+    f = spark.createDataFrame(rows, "n long, p array<double>").cache()
+    rate = mixing.rate_of(F.col("p"), mixing.solve(f, list(mixing.TARGETS.values())))
+    got = f.select("n", "p", rate.alias("r")).collect()
+    total = [sum(r.n * r.p[i] * r.r for r in got) for i in range(3)]
+    assert math.isclose(total[0], sum(r.n * r.p[0] for r in got), rel_tol=1e-3)
+    assert np.allclose(np.array(total) / sum(total), list(mixing.TARGETS.values()), rtol=1e-3)
+
+
+def test_mixing_tells_of_targets_that_no_rates_meet(spark):
+    from duelframe.llm import mixing
+
+    f = spark.createDataFrame([(100, [0.5, 0.3, 0.2])] * 5, "n long, p array<double>")
+    with pytest.warns(UserWarning, match="not the targets"):
+        mixing.solve(f, list(mixing.TARGETS.values()))
+
+
+def test_mixing_query_meets_all_targets(spark):
+    from duelframe.llm.mixing import TARGETS
+
+    rows = run(spark, "op8_mixing").collect()
+    total = {d: sum(r.n_tokens * r[f"p_{d}"] * r.rate for r in rows) for d in TARGETS}
+    assert all(math.isclose(total[d] / sum(total.values()), t, rel_tol=2e-3) for d, t in TARGETS.items())
+
+
 def test_nearest_neighbours(spark, duck):
     data = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
     ids, x = np.array([a for a, _ in data]), np.array([b for _, b in data], dtype=np.float64)
