@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic and poor documents are thinned out to their targets; clean ones keep a rate of about 1,
-    which is rounded to the nearest whole number, and so stay."""
+    """Toxic and poor documents are thinned out, or repeated, to their targets as expected totals; clean
+    ones keep a rate of about 1, which is rounded to the nearest whole number, and so stay."""
     return mixing.mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
 
 

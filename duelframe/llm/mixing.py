@@ -186,14 +186,16 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents, each as often as the nearest whole number to its rate says, with their own
-    columns. A document of the kept domain has a rate of about 1 and stays."""
+    """The documents, each as often as its copies say, with their own columns. Documents that are
+    of the kept (first) domain rather than any other have a rate of about 1, rounded, and so stay; of the
+    others the copies have the rate as their mean, by a hash of doc_id and text."""
     domains = tuple(targets)
     model = fit(docs, labelled, domains)
     f = written(docs.select(posteriors(whole("text"), model).alias("x")).select("x.n", "x.p"), "mixing-features")
     steps = solve(f, list(targets.values()))
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), posteriors(whole(docs["text"]), model).alias("_x"))
-    n = F.floor(rate_of(F.col("_x.p"), steps) + 0.5).cast("int")
+    rate = F.round(rate_of(F.col("_x.p"), steps), 9)
+    n = F.when(F.get("_x.p", F.lit(0)) >= 0.5, F.floor(rate + 0.5).cast("int")).otherwise(copies_of(rate, F.xxhash64("_row.doc_id", "_row.text")))
     return inner.select("_row", F.explode(F.array_repeat(F.lit(1), n)).alias("_again")).select("_row.*")
 
 

@@ -222,6 +222,20 @@ def test_mixing_query_meets_all_targets(spark):
     assert all(math.isclose(total[d] / sum(total.values()), t, rel_tol=2e-3) for d, t in TARGETS.items())
 
 
+def test_mixing_stage_meets_targets(spark, duck):
+    """Poor documents have a rate of 0.27, toxic ones of 0.33: neither may go as a whole."""
+    from duelframe.llm import mixing
+
+    kinds = ["clean"] * 900 + ["poor"] * 300 + ["toxic"] * 60
+    rows = [(i, f"{k} " * 6 + "text of some words " * 5 + str(i)) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "doc_id long, domain string")
+    got = collections.Counter(kinds[r.doc_id] for r in mixing.mixed(docs, labelled).collect())
+    assert got["clean"] == 900
+    for d, goal in (("poor", 80), ("toxic", 20)):
+        assert abs(got[d] - goal) <= 4 * math.sqrt(goal)
+
+
 def test_nearest_neighbours(spark, duck):
     data = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
     ids, x = np.array([a for a, _ in data]), np.array([b for _, b in data], dtype=np.float64)
