@@ -239,6 +239,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti"))
 
 
+def _by_id(reps: DataFrame) -> DataFrame:
+    """a, n, w, _classes of reps(a, n_shingles, w). Of texts that share an id the least size counts: the
+    bound of _can_link() must hold for each of them."""
+    return reps.groupBy("a").agg(F.min("n_shingles").alias("n"), F.max("w").alias("w"), F.count(F.lit(1)).alias("_classes"))
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -252,7 +258,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = keys.groupBy("key").agg(F.min("a").alias("hub"), F.max("a").alias("_other")).where("hub <> _other").select("key", "hub")
     members = written(keys.join(shared, "key"), "members")
     words = F.array(*[_long_of(F.col("sig"), i) for i in range(R // 8)])
-    small = reps.withColumn("w", words).groupBy("a").agg(F.max("n_shingles").alias("n"), F.max("w").alias("w"), F.count(F.lit(1)).alias("_classes"))
+    small = _by_id(reps.withColumn("w", words))
     named = small.join(members.select("a").distinct(), "a", "left_semi")
     info = written(named.select("a", "n", "w", (F.col("_classes") > 1).alias("many")), "bucketed")
     texts = written(docs.join(info.select(F.col("a").alias("doc_id")), "doc_id", "left_semi"), "bucketed-texts")

@@ -176,6 +176,19 @@ def test_near_duplicate_families(spark):
     assert all(got[i] == 0 for i in range(40)) and all(got[100 + i] == 100 + i for i in range(40))
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    """A small text under the id of a large one is not measured by the large one's size."""
+    from duelframe.llm import near_dedup
+
+    small = " ".join(f"s{i}" for i in range(23))
+    large = " ".join(f"l{i}" for i in range(1003))
+    reps = spark.createDataFrame([(1, 1000, [0]), (1, 20, [0]), (2, 20, [0]), (3, 20, [0])], "a long, n_shingles long, w array<long>")
+    texts = spark.createDataFrame([(1, large), (1, small), (2, small + " more"), (3, "other " * 3 + "words here")], "doc_id long, text string")
+    left = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "key long, a long, c long")
+    got = near_dedup._can_link(left, near_dedup._by_id(reps), texts, 4, 80)
+    assert {r.a for r in got.collect()} == {1, 2}
+
+
 def test_sharding(spark, duck):
     from duelframe.llm.sharding import SHARD_SQL
 
