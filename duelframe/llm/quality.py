@@ -2,8 +2,8 @@
 
 Each document gets two histograms: characters by class, and words among the common words of its
 language (all other words in one further cell). A language's references are the pooled histograms
-of all its documents; `pooled`, over all documents, stands in for documents of languages beyond the
-256 with the most documents. A document is rejected where the Jensen-Shannon distance of a
+of all its documents; `pooled`, over all documents, stands in where a language has none. They are a
+table joined by language, of any size. A document is rejected where the Jensen-Shannon distance of a
 histogram to its reference exceeds a limit, provided the text is long enough for the histogram to
 mean something (minimum-length guards), or where
 both exceed lower limits in a longer text; and by two base rules: too few words, or too large a share
@@ -35,7 +35,6 @@ MAX_CLASS_DISTANCE = 0.325
 MAX_COMMON_DISTANCE = 0.30
 #: Both at once, in a text of so many words: (words, class distance, common-word distance).
 MAX_BOTH = (100, 0.14, 0.24)
-LANGUAGES = 256
 
 #: Common words by language.
 COMMON_WORDS = {
@@ -118,7 +117,7 @@ def _features(docs: DataFrame, base: bool) -> DataFrame:
 
 def references(docs: DataFrame) -> DataFrame:
     """_lang, _ref_classes, _ref_common: pooled histograms as shares; the row `pooled` has _lang null
-    and _all true. At most LANGUAGES + 1 rows."""
+    and _all true."""
     f = _features(docs.select("lang", "text"), base=False).select("lang", "_words", "_classes")
     return _pool(f)
 
@@ -126,22 +125,19 @@ def references(docs: DataFrame) -> DataFrame:
 def _pool(f: DataFrame) -> DataFrame:
     most = max(map(len, COMMON_WORDS.values()))
     sums = [F.sum(F.get("_classes", F.lit(i)).cast("long")).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.get("_words.common", F.lit(i)).cast("long")).alias(f"w{i}") for i in range(most)]
-    each = f.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("_words.n_words").cast("long")).alias("words"), *sums).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
-    rows = []
-    total = [0] * len(CLASSES)
-    for r in each:
-        classes = [r[f"c{i}"] for i in range(len(CLASSES))]
-        total = [a + b for a, b in zip(total, classes)]
-        found = [r[f"w{i}"] or 0 for i in range(len(COMMON_WORDS.get(r["lang"], ())))]
-        rows.append((r["lang"], False, _shares(classes), _shares([*found, r["words"] - sum(found)]) if found else None))
-    rows.append((None, True, _shares(total), None))
-    return f.sparkSession.createDataFrame(rows, "_lang string, _all boolean, _ref_classes array<double>, _ref_common array<double>")
+    sums += [F.coalesce(F.sum(F.get("_words.common", F.lit(i)).cast("long")), F.lit(0)).alias(f"w{i}") for i in range(most)]
+    each = written(f.groupBy("lang").agg(F.sum(F.col("_words.n_words").cast("long")).alias("words"), *sums), "quality-references")
+    classes = F.array(*[f"c{i}" for i in range(len(CLASSES))])
+    found = F.slice(F.array(*[f"w{i}" for i in range(most)]), F.lit(1), F.coalesce(F.size(common_list(F.col("lang"))), F.lit(0)))
+    common = F.when(F.size(found) > 0, let(found, lambda x: _shares(F.concat(x, F.array(F.col("words") - F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))))))
+    own = each.select(F.col("lang").alias("_lang"), F.lit(False).alias("_all"), _shares(classes).alias("_ref_classes"), common.alias("_ref_common"))
+    pool = each.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(CLASSES))])
+    return own.unionByName(pool.select(F.lit(None).cast("string").alias("_lang"), F.lit(True).alias("_all"), _shares(classes).alias("_ref_classes"), F.lit(None).cast("array<double>").alias("_ref_common")))
 
 
-def _shares(counts: list[int]) -> list[float]:
-    n = sum(counts)
-    return [x / n if n else 0.0 for x in counts]
+def _shares(counts: Column) -> Column:
+    n = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    return let(counts, lambda c: let(n(c), lambda total: F.transform(c, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -154,7 +150,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def _judged(f: DataFrame, refs: DataFrame) -> DataFrame:
     own = refs.where(~F.col("_all")).drop("_all")
     pooled = refs.where("_all").select(F.col("_ref_classes").alias("_pooled"))
-    f = f.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(pooled), how="cross")
+    f = f.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(pooled), how="cross")
     w, chars = F.col("_words"), F.aggregate("_classes", F.lit(0), lambda x, y: x + y)
     share = lambda a, n: F.transform(a, lambda x: x / n)
     classes = let(chars, lambda n: F.when(n >= MIN_CHARS_FOR_CLASSES, js_distance(share(F.col("_classes"), n), F.coalesce("_ref_classes", "_pooled"))))

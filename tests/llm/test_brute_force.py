@@ -109,6 +109,16 @@ def test_quality_counts(spark, docs):
         assert r.base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_quality_has_references_of_all_languages(spark):
+    from duelframe.llm import quality
+
+    rows = [(f"l{i:03}", f"{'ab' if i else '12'} " * 10) for i in range(300) for _ in range(1 + (i > 20))]
+    got = {r._lang: r for r in quality.references(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    assert len(got) == 301 and got[None]._all
+    assert got["l000"]._ref_classes[quality.CLASSES.index("digit")] == pytest.approx(2 / 3)
+    assert got[None]._ref_classes[quality.CLASSES.index("digit")] == pytest.approx(20 / (30 * len(rows)))
+
+
 def test_main_texts(spark, duck):
     import html
 
