@@ -13,15 +13,19 @@ Equal sets form a class, and one document stands for it. In a bucket, every memb
 one hub, not with every other; links are confirmed on the full sets, computed again from the texts.
 Components then tell which buckets still hold documents that aren't joined. Of those, documents
 that share too few shingles with all open documents of other components can't have a link and go;
-the rest gets a further hub, and last every pair across components whose signatures are near
-enough for a similarity of 0.8. So large groups of copies cost rows in proportion to their size, and no
+the rest gets a further hub. What is open after that is gathered into clusters (documents that buckets
+chain together), and within a cluster the documents outside of its largest component are compared with all, in
+blocks of bounded size whose tasks return links only. So large groups of copies cost rows in proportion to their size, and no
 link between different components is left out. Components come from large-star and small-star
 rounds over written tables; no links, sets or components reach the driver.
 
+Texts move only for documents that share a bucket: once with the ids of a pair, and once to the hub's group,
+which is salted. Which documents these are is broadcast where there are few (FEW ids), joined beyond.
+
 Cases: a document without words or text has an empty set and links with nothing; one with fewer
-words than k has its whole sequence as its only shingle; documents with a null doc_id stand for no class
+words than k has its whole sequence as its only shingle; a text of any length, or with one very long word, is taken whole; documents with a null doc_id stand for no class
 and are kept; rows that share a doc_id are one document in the result of components (the union of
-their links) and stay separate rows; an empty table gives no rows.
+their links) and stay separate rows; an empty table gives no rows; columns of any name and type pass through drop_near.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, replacing, table, whole, workers_can_import, written
+from .common import drop_written, table, whole, workers_can_import, written
 
 CHUNKS = 8
 WIDTH = 6
@@ -40,8 +44,12 @@ R = CHUNKS * WIDTH
 #: Of R symbols, so many differ at most between sets of the wanted similarity: at 0.8 the mean is
 #: 9.6 and the standard deviation 2.8; a chance of 0.00002 lies beyond.
 FAR = 22
-#: Rounds of further hubs before all remaining pairs are compared.
+#: Rounds of further hubs before what is open is compared in blocks.
 HUBS = 1
+#: Ids up to which a side is broadcast (8 bytes each); beyond, a join.
+FEW = 1_000_000
+#: Documents and bytes of text in one side of a block.
+BLOCK_DOCS, BLOCK_TEXT = 2048, 8e6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([int.from_bytes(xxhash.xxh128_digest(f"a{i}")[:8], "little") | 1 for i in range(R)], dtype=np.uint64)
 _B = np.array([int.from_bytes(xxhash.xxh128_digest(f"b{i}")[:8], "little") for i in range(R)], dtype=np.uint64)
@@ -151,32 +159,109 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
 
 
-def _verify_batches(k: int, percent: int):
-    def run(batches):
-        last: dict[str, np.ndarray] = {}
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                pair = []
-                for text in (x.as_py(), y.as_py()):
-                    if text not in last:
-                        if sum(map(len, last.values())) > 4_000_000:
-                            last.clear()
-                        last[text] = shingles(text, k)
-                    pair.append(last[text])
-                same = len(np.intersect1d(*pair, assume_unique=True))
-                keep.append(100 * same >= percent * (len(pair[0]) + len(pair[1]) - same) and same > 0)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets have a similarity of percent or more with a set; all sorted and distinct."""
+    sizes = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+    if not len(own) or not len(others):
+        return np.zeros(len(others), dtype=bool)
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    shared = np.bincount(np.repeat(np.arange(len(others)), sizes)[own[place] == flat], minlength=len(others))
+    return (100 * shared >= percent * (len(own) + sizes - shared)) & (shared > 0)
+
+
+def _hub_groups(k: int, percent: int):
+    """Links (a, b) of one hub: rows (hub, salt, a, text), where the hub's own text has a null a. Of texts
+    that share the hub's id each is tried."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, texts = t.column("a").to_pylist(), t.column("text")
+        hubs = [shingles(x.as_py(), k) for a, x in zip(ids, texts) if a is None]
+        hub = t.column("hub")[0].as_py() if len(ids) else None
+        found = set()
+        for lo in range(0, len(ids), 512):
+            part = [(a, shingles(x.as_py(), k)) for a, x in zip(ids[lo : lo + 512], texts.slice(lo, 512)) if a is not None]
+            for h in hubs:
+                ok = similar(h, [s for _, s in part], percent)
+                found |= {a for (a, _), yes in zip(part, ok) if yes}
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar, as a written table."""
-    x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_verify_batches(k, percent), "a long, b long"), "links")
+    """The pairs (hub, a) whose full sets are similar, as a written table of links (a, b).
+
+    Each member's text goes to its hub's group once; a group is cut into salts of about 1,000 members, each
+    with the hub's text."""
+    x = texts.withColumnRenamed("doc_id", "a")
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("salts"))
+    salted = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
+    members = salted.join(x, "a").select("hub", "salt", "a", "text")
+    hubs = salts.join(x.withColumnRenamed("a", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
+    return written(members.unionByName(hubs).groupBy("hub", "salt").applyInArrow(_hub_groups(k, percent), "a long, b long"), "links")
+
+
+def _block(k: int, percent: int):
+    """Links (a, b) between documents of a cluster: those of one chunk outside of its largest component
+    with those of another chunk. Documents that a link of the block has joined already aren't compared."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.select(["a", "c", "many", "asks", "answers"]).to_pydict()
+        texts, known = t.column("text"), {}
+        sig = np.array(t.column("w").to_pylist(), dtype=np.int64).reshape(-1, R // 8).view(np.uint8)
+        n = t.column("n").to_numpy()
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = shingles(texts[i].as_py(), k)
+            return known[i]
+
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        many = np.array(rows["many"], dtype=bool)
+        able = np.flatnonzero(np.array(rows["answers"], dtype=bool))
+        out = []
+        for i in np.flatnonzero(np.array(rows["asks"], dtype=bool)).tolist():
+            fits = (100 * np.minimum(n[i], n[able]) >= percent * np.maximum(n[i], n[able])) & ((sig[able] != sig[i]).sum(axis=1) <= FAR)
+            near = able[fits | many[i] | many[able]]
+            for lo in range(0, len(near), 256):
+                part = [j for j in near[lo : lo + 256].tolist() if root(rows["c"][j]) != root(rows["c"][i])]
+                for j, yes in zip(part, similar(set_of(i), [set_of(j) for j in part], percent)):
+                    if yes and root(rows["c"][j]) != root(rows["c"][i]):
+                        parent[root(rows["c"][j])] = root(rows["c"][i])
+                        out.append((rows["a"][i], rows["a"][j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return run
+
+
+def _clustered_links(left: DataFrame, info: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components within clusters of left(key, a, c), as a written table."""
+    hub = left.groupBy("key").agg(F.min("a").alias("b"))
+    chained = components(left.join(hub, "key").select("a", "b").distinct())
+    docs = left.groupBy("a").agg(F.min("c").alias("c")).join(chained.withColumnRenamed("node", "a"), "a").withColumnRenamed("component", "cluster")
+    docs = written(docs.join(info.select("a", "n", "many", "w"), "a").join(texts.withColumnRenamed("doc_id", "a"), "a"), "clusters")
+    sizes = docs.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("all")).select("cluster", F.col("x.c").alias("largest"), (F.col("all") - F.col("x.m")).alias("asking"), "all")
+    volume = docs.groupBy("cluster").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    chunks = lambda m: F.greatest(F.ceil(F.col(m) / BLOCK_DOCS), F.ceil(F.col("bytes") * F.col(m) / F.col("all") / BLOCK_TEXT), F.lit(1)).cast("int")
+    plan = largest.join(volume, "cluster").select("cluster", "largest", chunks("asking").alias("x"), chunks("all").alias("y"))
+    every = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
+    own = lambda m: F.array(F.pmod(F.xxhash64("a"), F.col(m)).cast("int"))
+    placed = docs.join(plan, "cluster")
+    roles = F.struct(own("x").alias("i"), every("y").alias("j"), F.lit(True).alias("asks")), F.struct(every("x").alias("i"), own("y").alias("j"), F.lit(False).alias("asks"))
+    asking = F.when(F.col("c") == F.col("largest"), F.array(roles[1])).otherwise(F.array(*roles))
+    spread = placed.select("cluster", "a", "c", "n", "many", "w", "text", F.explode(asking).alias("r")).select("*", F.explode("r.i").alias("i")).select("*", F.explode("r.j").alias("j"))
+    rows = spread.select("cluster", "i", "j", "a", "c", "n", "many", "w", "text", F.col("r.asks").alias("asks"), (~F.col("r.asks")).alias("answers"))
+    out = written(rows.groupBy("cluster", "i", "j").applyInArrow(_block(k, percent), "a long, b long"), "links")
+    drop_written(docs, chained)
+    return out
 
 
 def _open(placed: DataFrame, least: int) -> DataFrame:
@@ -202,27 +287,31 @@ def _can_link(left: DataFrame, info: DataFrame, texts: DataFrame, k: int, percen
     """left(key, a, c) without members that can't have a link to another component, by an exact bound:
     only shingles that some open document of another component has can be shared with one, and a
     link to a set of m shingles takes percent / (100 + percent) * (n + m) of them. Of m, the least in
-    the member's buckets counts."""
+    the member's buckets that its own size allows counts."""
     left = written(left.join(info.select("a", "n"), "a"), "open")
     if left.isEmpty():
         return left.select("key", "a", "c")
     least = left.groupBy("key").agg(F.min("n").alias("m"))
-    docs = written(left.join(least, "key").groupBy("a").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.min("m").alias("m")), "open-documents")
+    floor = F.greatest("m", F.ceil(percent * F.col("n") / 100))
+    docs = written(left.join(least, "key").groupBy("a").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.min(floor).alias("m")), "open-documents")
     have = docs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "text", "c").mapInArrow(_shingle_batches(k), "a long, c long, s long")
     have = written(have, "open-shingles")
     shared = have.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("s")
     counts = have.join(shared, "s").groupBy("a").agg(F.count(F.lit(1)).alias("x"))
     able = docs.join(counts, "a").where((100 + percent) * F.col("x") >= percent * (F.col("n") + F.col("m"))).select("a")
-    return _open(left.select("key", "a", "c").join(able, "a").select("key", "a", "c"), 2)
+    out = written(_open(left.select("key", "a", "c").join(able, "a").select("key", "a", "c"), 2), "open")
+    drop_written(left, docs, have)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node it can reach), of nodes that links(a, b) name.
+    """node, component (the least node it can reach), of nodes that links(a, b) name, as a written table.
 
-    Alternates large-star and small-star until every node points at its component's least node.
+    Alternates large-star and small-star until the edges stay the same, which then lead from every node
+    to its component's least.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    before = -1
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -230,13 +319,17 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = written(small, "edges")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.countDistinct("u")).first()
+        count = new.count()
+        # Equal in number, and none that wasn't there.
+        same = count == before and new.join(edges, ["u", "v"], "left_anti").isEmpty()
         drop_written(edges)
-        edges = new
-        if tuple(state) == seen:
+        edges, before = new, count
+        if same:
             break
-        seen = tuple(state)
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti"))
+    least = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    out = written(least.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti")), "components")
+    drop_written(edges)
+    return out
 
 
 def _by_id(reps: DataFrame) -> DataFrame:
@@ -247,56 +340,69 @@ def _by_id(reps: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
     signed = written(signatures(docs, k), "signatures")
     same = ["h1", "h2", "n_shingles"]
     classes = written(signed.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("a"), F.min("sig").alias("sig")), "classes")
     # Two classes can share their least doc_id where rows share a doc_id; the id then stands for both.
-    reps = classes.select("a", "n_shingles", "sig")
-    keys = reps.mapInArrow(_key_batches, "key long, a long")
+    keys = classes.select("a", "n_shingles", "sig").mapInArrow(_key_batches, "key long, a long")
     shared = keys.groupBy("key").agg(F.min("a").alias("hub"), F.max("a").alias("_other")).where("hub <> _other").select("key", "hub")
     members = written(keys.join(shared, "key"), "members")
     words = F.array(*[_long_of(F.col("sig"), i) for i in range(R // 8)])
-    small = _by_id(reps.withColumn("w", words))
-    named = small.join(members.select("a").distinct(), "a", "left_semi")
-    info = written(named.select("a", "n", "w", (F.col("_classes") > 1).alias("many")), "bucketed")
-    texts = written(docs.join(info.select(F.col("a").alias("doc_id")), "doc_id", "left_semi"), "bucketed-texts")
+    small = _by_id(classes.select("a", "n_shingles", words.alias("w")))
+    info = written(small.join(members.select("a").distinct(), "a", "left_semi").select("a", "n", "w", (F.col("_classes") > 1).alias("many")), "bucketed")
+    wanted = info.select(F.col("a").alias("doc_id"))
+    texts = written(docs.join(F.broadcast(wanted) if info.count() <= FEW else wanted, "doc_id", "left_semi"), "bucketed-texts")
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b that may be similar, by size and signature."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x = info.select("a", F.col("n").alias("n1"), F.col("w").alias("w1"), F.col("many").alias("m1"))
-        y = info.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("w").alias("w2"), F.col("many").alias("m2"))
+        """Distinct pairs (hub, a) that may be similar, by size and signature."""
+        x = info.select(F.col("a").alias("hub"), F.col("n").alias("n1"), F.col("w").alias("w1"), F.col("many").alias("m1"))
+        y = info.select("a", F.col("n").alias("n2"), F.col("w").alias("w2"), F.col("many").alias("m2"))
         fits = (F.col("m1") | F.col("m2")) | (_sizes_fit(F.col("n1"), F.col("n2"), percent) & (_distance(F.col("w1"), F.col("w2")) <= FAR))
-        return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b")
+        return written(pairs.where("a <> hub").distinct().join(x, "hub").join(y, "a").where(fits).select("hub", "a"), "pairs")
 
-    pairs = written(near(members.select("a", F.col("hub").alias("b"))), "pairs")
+    def open_now(comps: DataFrame) -> DataFrame:
+        placed = written(members.join(comps, members["a"] == comps["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")), "placed")
+        out = _can_link(_open(placed, 3), info, texts, k, percent)
+        drop_written(placed)
+        return out
+
+    pairs = near(members.select("hub", "a"))
     links = _links(pairs, texts, k, percent)
-    tried = pairs
+    # Rows of one doc_id with different texts are one document.
+    least = F.struct(*same)
+    several = signed.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(least).alias("x"), F.max(least).alias("y")).where("x <> y").select("doc_id")
+    twins = written(signed.join(several, "doc_id").join(classes.select(*same, "a"), same).select(F.col("doc_id").alias("a"), F.col("a").alias("b")).distinct(), "shared-ids")
+    drop_written(pairs)
+    found = [links, twins]
     for turn in range(HUBS + 1):
-        comps = components(links)
-        placed = written(members.join(comps, members["a"] == comps["node"], "left").select("key", "a", F.coalesce("component", "a").alias("c")), "placed")
-        left = written(_can_link(_open(placed, 3), info, texts, k, percent), "open")
+        comps = components(_all(found))
+        left = open_now(comps)
         if left.isEmpty():
             break
         if turn < HUBS:
             hub = left.groupBy("key").agg(F.min_by(F.struct("a", "c"), F.xxhash64("a", F.lit(turn))).alias("h"))
-            more = left.join(hub, "key").where("c <> h.c").select("a", F.col("h.a").alias("b"))
+            pairs = near(left.join(hub, "key").where("c <> h.c").select(F.col("h.a").alias("hub"), "a"))
+            found.append(_links(pairs, texts, k, percent))
+            drop_written(pairs)
         else:
-            x, y = left.alias("x"), left.alias("y")
-            more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
-        fresh = written(near(more).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = written(tried.unionByName(fresh), "tried") if turn < HUBS else tried
-        links = written(links.unionByName(_links(fresh, texts, k, percent)), "links")
-    else:
-        comps = components(links)
-    comps = written(comps, "components")
+            found.append(_clustered_links(left, info, texts, k, percent))
+            drop_written(comps)
+            comps = components(_all(found))
+        drop_written(left)
     # From classes to documents; the representative's id carries over.
     placed = written(classes.join(comps, classes["a"] == comps["node"], "left").select(*same, F.coalesce("component", "a").alias("component_id")), "class-components")
+    drop_written(members, info, texts, classes, comps, *found)
     return signed.select("doc_id", *same).join(placed, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _all(found: list[DataFrame]) -> DataFrame:
+    out = found[0].select("a", "b")
+    for x in found[1:]:
+        out = out.unionByName(x.select("a", "b"))
+    return out
+
+
 def _long_of(sig: Column, i: int) -> Column:
     """Bytes 8i to 8i + 7 of a binary as a long (of 60 bits and a rest, since conv() is unsigned)."""
     part = lambda lo, n: F.conv(F.hex(F.substring(sig, 8 * i + lo, n)), 16, 10).cast("long")
@@ -305,11 +411,21 @@ def _long_of(sig: Column, i: int) -> Column:
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near-duplicates: of each component the document with the least doc_id stays, with
-    its own columns; rows that share a doc_id stay or go together unless all columns are equal."""
-    found = near_components(docs, k, percent).where("component_id = doc_id OR component_id IS NULL")
-    keep = found.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates()
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    its own columns. Of rows with equal doc_id and text one stays, with its other columns; rows that share a doc_id and differ in
+    text stay or go together; rows with a null doc_id stay."""
+    found = near_components(docs, k, percent).where("doc_id IS NOT NULL")
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    twice = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    few = lambda x: F.broadcast(x) if x.count() <= FEW else x
+    kept = docs.join(few(gone), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    single = kept.join(few(twice), kept["doc_id"].cast("long") == twice["doc_id"], "left_anti")
+    again = kept.join(few(twice), kept["doc_id"].cast("long") == twice["doc_id"], "left_semi")
+    # Few rows: one of each doc_id and text, by whatever can be ordered of them.
+    row = F.struct(*[again[c].alias(f"c{i}") for i, c in enumerate(again.columns)])
+    by = [again[c] for c, t in again.dtypes if "map<" not in t and "variant" not in t]
+    place = F.row_number().over(Window.partitionBy(again["doc_id"], whole(again["text"])).orderBy(*by))
+    one = again.select(row.alias("row"), place.alias("place")).where("place = 1").select("row.*").toDF(*docs.columns)
+    return single.unionByName(one)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
