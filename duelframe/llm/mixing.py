@@ -5,7 +5,8 @@ posterior over domains. Projected-gradient least squares then finds a nonnegativ
 document such that the expected tokens of each domain, sum(rate * tokens * posterior), match the
 targets. The gradient of a document needs only the residual of each domain, so an iteration is one
 aggregation of as many sums as there are domains; the rate of a document is recomputed from the
-list of past residuals and never stored or sent.
+list of past residuals and never stored or sent. Documents with equal posteriors have equal rates, so
+their tokens are added up once, and iterations read one row for each distinct posterior.
 
 Steps are taken in the metric of the documents' tokens, with each domain's residual scaled by its
 diagonal entry of sum(tokens * p * p'); in that metric the step 1 / (largest eigenvalue) converges.
@@ -26,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, whole, written
+from .common import drop_written, let, table, whole, written
 from .quality import SYMBOLS, words_of
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least md5(doc_id).
@@ -41,6 +42,7 @@ COMMON = 0.05
 TELLING = 3.0
 #: Buckets that count, at most: those whose log odds differ most.
 MOST_TELLING = 256
+SIEVE = 4096
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of expected tokens. The first domain keeps its tokens; the others are set against it.
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
@@ -50,8 +52,11 @@ STALLED, STALL = 0.01, 20
 
 
 def _bucket(word: Column) -> Column:
+    # Most words have none of these characters, and one test is enough for them.
+    odd = word.rlike("[A-Z0-9#*$%&|<>]")
     shape = F.when(word.rlike(SYMBOLS), 0).when(word.rlike(r"^[^a-z]*[A-Z][^a-z]*[A-Z!][^a-z]*$"), 1).when(word.rlike("[0-9]"), 2)
-    return F.when(shape.isNotNull(), F.lit(BUCKETS) + shape).otherwise(F.pmod(F.xxhash64(F.lower(F.regexp_replace(word, r"[.,;:!?]+$", ""))), F.lit(BUCKETS))).cast("int")
+    plain = F.pmod(F.xxhash64(F.lower(F.rtrim(word, F.lit(".,;:!?")))), F.lit(BUCKETS))
+    return F.when(~odd, plain).otherwise(F.coalesce(F.lit(BUCKETS) + shape, plain)).cast("int")
 
 
 def buckets_of(text: Column) -> Column:
@@ -118,9 +123,14 @@ def posteriors(text: Column, model: Model) -> Column:
         return let(F.array(*[score(at, start, row) for start, row in zip(model.intercepts, model.weights)]), shares)
 
     telling = F.from_json(F.lit(json.dumps(model.buckets)), "array<int>")
+    # A table by remainder spares nearly all words the search in the list.
+    sieve = [False] * SIEVE
+    for b in model.buckets:
+        sieve[b % SIEVE] = True
+    may_tell = F.from_json(F.lit(json.dumps(sieve)), "array<boolean>")
 
     def of_ids(ids: Column) -> Column:
-        found = F.array_distinct(F.filter(ids, lambda i: F.array_contains(telling, i)))
+        found = F.array_distinct(F.filter(ids, lambda i: F.get(may_tell, i % SIEVE) & F.array_contains(telling, i)))
         at = F.transform(found, lambda i: (F.array_position(telling, i) - 1).cast("int"))
         return F.struct(F.size(ids).cast("long").alias("n"), let(at, scores).alias("p"))
 
@@ -153,6 +163,7 @@ def solve(f: DataFrame, targets: list[float]) -> list[list[float]]:
     targets: shares by domain; the first domain keeps its expected tokens.
     """
     d = len(targets)
+    f = written(f.groupBy("p").agg(F.sum("n").alias("n")), "mixing-posteriors")
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     at = lambda i: F.get("p", F.lit(i))
     first = f.agg(*[F.sum(F.col("n") * at(i)).alias(f"s{i}") for i in range(d)], *[F.sum(F.col("n") * at(i) * at(j)).alias(f"m{i}_{j}") for i, j in pairs]).first()
@@ -176,6 +187,7 @@ def solve(f: DataFrame, targets: list[float]) -> list[list[float]]:
         rated = f.select((F.col("n") * rate_of(F.col("p"), steps)).alias("w"), "p")
         got = rated.agg(*[F.sum(F.col("w") * at(i)).alias(f"s{i}") for i in range(d)]).first()
         sums = [got[f"s{i}"] or 0.0 for i in range(d)]
+    drop_written(f)
     return steps
 
 
@@ -193,7 +205,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     model = fit(docs, labelled, domains)
     f = written(docs.select(posteriors(whole("text"), model).alias("x")).select("x.n", "x.p"), "mixing-features")
     steps = solve(f, list(targets.values()))
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), posteriors(whole(docs["text"]), model).alias("_x"))
+    drop_written(f)
+    inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), posteriors(whole(docs["text"]), model).alias("_x"))
     rate = F.round(rate_of(F.col("_x.p"), steps), 9)
     n = F.when(F.get("_x.p", F.lit(0)) >= 0.5, F.floor(rate + 0.5).cast("int")).otherwise(copies_of(rate, F.xxhash64("_row.doc_id", "_row.text")))
     return inner.select("_row", F.explode(F.array_repeat(F.lit(1), n)).alias("_again")).select("_row.*")
