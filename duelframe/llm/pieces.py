@@ -1,24 +1,25 @@
-"""SentencePiece encoding and decoding by a shared-prefix forward pass.
+"""SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 A text is normalized as the model's file says (white space marked, a mark put in front), cut where
 a mark follows another character, and each distinct marked word of a block of documents is encoded
-once: the words are sorted, which lays them out as a trie, and traversed depth-first; what the
-forward pass knows of a prefix is kept while the next word shares it.
+once: the words are sorted, which lays them out as a trie, and traversed depth-first. Of each prefix
+the forward pass keeps the best score of all segmentations, and the last piece of the best one;
+these stay while the next word shares the prefix.
 
-For a unigram model the pass is Viterbi's: of each prefix, the best score and its last piece. A BPE
-model's scores are ranks of merges, which don't add up to the library's segmentation (see README),
-so for such a model the pass keeps, of each prefix, the last piece of that prefix's own encoding: a
-piece that ends there fits if merging it with the last piece of the prefix before it would leave
-both as they are, and just one does. Both passes give the library's ids.
+A segmentation of a unigram model scores the sum of its pieces' log probabilities. A BPE model's
+scores are ranks of merges, which don't add up to the library's segmentation (see README); there a
+segmentation scores -1 for each pair of neighbours (or first piece alone) that merging would not
+leave as they are, so the best score is 0 and the best segmentation is that of the merges. Both give the library's ids.
 
 The model's file is a parameter; nothing is trained. Words known to a worker are kept between
-blocks, up to REMEMBERED words.
+blocks, up to REMEMBERED bytes.
 
 Cases: a null text is empty and has no pieces; characters that no piece has become byte pieces (or
 the unknown piece, where the model has no bytes); marks that stand in a text decode as spaces, as
-in the library; ids that are no pieces decode to nothing; a null list of ids decodes to null; texts
-of any length are taken whole, and words of more than LONG characters go to the library instead of
-the trie; an empty table gives no rows; columns that have the names of results are replaced.
+in the library; ids that are no pieces, and null ids, decode to nothing; a null list of ids decodes to null; texts
+of any length are taken whole, and words of more than LONG characters or with runs of marks are merged pair by
+pair instead (the same ids; a single word of 100,000 characters is such a word); an empty table gives no rows; columns that have the names of results are replaced, and any other names are
+free for the input.
 """
 
 from __future__ import annotations
@@ -29,17 +30,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, whole, workers_can_import
 
 MARK = "▁"
-REMEMBERED = 900_000
+#: Bytes of words and their ids that a worker remembers, about.
+REMEMBERED = 96 << 20
+#: Pairs of pieces of which a worker remembers whether they fit.
+FITS = 400_000
 LONG = 2000
 #: Characters of text in a block, about.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 UNIGRAM, BPE = 1, 2
 _CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 _loaded: dict = {}
@@ -77,8 +82,11 @@ class Model:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.unknown_score = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         self.crossing = any(_CUT.search(p) for p in self.ids)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        #: Words in two generations: a full one is set aside, and what is asked for again comes back from it.
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
+        self.size = 0
         raw = []
         for p in proto.pieces:
             raw.append(bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type == 1 else b" \xe2\x81\x87 " if p.type == 2 else b"")
@@ -144,20 +152,21 @@ class Model:
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether two pieces side by side stay as they are; left -1: a piece alone."""
-        got = self.fits.get((left, right))
+        key = (left + 1) * len(self.text) + right
+        got = self.fits.get(key)
         if got is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             a, b = self.text[left] if left >= 0 else "", self.text[right]
             want = [left, right] if left >= 0 else [right]
-            got = self.fits[left, right] = [x[0] for x in self.merged(a + b)] == want
+            got = self.fits[key] = [x[0] for x in self.merged(a + b)] == want
         return got
 
     def traverse(self, words: list[str]):
-        """(word, its ids as bytes) for sorted distinct words, depth-first through their trie.
+        """(word, its ids as bytes, its score) for sorted distinct words, depth-first through their trie.
 
-        Of each prefix of the current word: the start of its last piece, the piece (-1: a character
-        that no piece has), and for unigrams the score."""
+        Of each prefix of the current word: the best score, and the start of its last piece and that
+        piece (-1: a character that no piece has)."""
         ids, longest, unigram = self.ids, self.longest, self.kind == UNIGRAM
         start, last, best = [0], [-1], [0.0]
         previous = ""
@@ -168,64 +177,67 @@ class Model:
                     break
                 shared += 1
             del start[shared + 1 :], last[shared + 1 :], best[shared + 1 :]
-            bad = False
             for i in range(shared + 1, len(word) + 1):
-                if unigram:
-                    top, piece, lo = -1e300, -1, i - 1
-                    for j in range(max(0, i - longest), i):
-                        p = ids.get(word[j:i])
-                        if p is not None and best[j] + self.score[p] > top:
-                            top, piece, lo = best[j] + self.score[p], p, j
-                    if word[i - 1 : i] not in ids and best[i - 1] + self.unknown_score > top:
-                        top, piece, lo = best[i - 1] + self.unknown_score, -1, i - 1
-                    best.append(top)
-                else:
-                    piece, lo = -1, i - 1
-                    for j in range(max(0, i - longest), i):
-                        p = ids.get(word[j:i])
-                        if p is not None and self._fit(last[j] if j else -1, p):
-                            piece, lo = p, j
-                            break
-                    else:
-                        bad = bad or word[i - 1] in ids
-                    best.append(0.0)
+                top, piece, lo = -1e300, -1, i - 1
+                for j in range(max(0, i - longest), i):
+                    p = ids.get(word[j:i])
+                    if p is None or best[j] <= top:
+                        continue
+                    score = best[j] + self.score[p] if unigram else best[j] - (not self._fit(last[j] if j else -1, p))
+                    if score > top:
+                        top, piece, lo = score, p, j
+                        if top == 0.0 and not unigram:
+                            break  # no segmentation scores more
+                if word[i - 1] not in ids:
+                    score = best[i - 1] + (self.unknown_score if unigram else 0.0)
+                    if score > top:
+                        top, piece, lo = score, -1, i - 1
+                best.append(top)
                 start.append(lo)
                 last.append(piece)
-            if bad:  # no piece fits: equal scores of different merges
-                yield word, self._as_bytes(self.merged(word), word)
-                previous = ""
-                del start[1:], last[1:], best[1:]
-                continue
             found, i = [], len(word)
             while i:
                 found.append((last[i], start[i], i))
                 i = start[i]
-            yield word, self._as_bytes(found[::-1], word)
+            yield word, self._as_bytes(found[::-1], word), best[-1]
             previous = word
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
         # In a run of marks, merges of equal scores meet; these words, and very long ones, are merged.
-        plain, odd = [], []
+        plain, odd, out = [], [], {}
         for w in words:
-            (odd if len(w) > LONG or MARK + MARK in w else plain).append(w)
-        self.known.update(self.traverse(sorted(plain)))
+            (odd if self.kind == BPE and (len(w) > LONG or MARK + MARK in w) else plain).append(w)
+        for w, got, score in self.traverse(sorted(plain)):
+            if score < 0 and self.kind == BPE:
+                odd.append(w)  # merges of equal scores: the pairs alone don't tell their order
+            else:
+                out[w] = got
         for w in odd:
-            self.known[w] = self._as_bytes(self.merged(w), w) if self.kind == BPE else next(self.traverse([w]))[1]
+            out[w] = self._as_bytes(self.merged(w), w)
+        return out
+
+    def recall(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the current generation lacks; from now on it has them."""
+        if self.size > REMEMBERED // 2:
+            self.known, self.aside, self.size = {}, self.known, 0
+        out = {w: x for w in words if (x := self.aside.get(w)) is not None}
+        out |= self.learn(words - out.keys())
+        self.known |= out
+        self.size += sum(len(w) + len(x) + 200 for w, x in out.items())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
         return self.encode_words([self.words(x) for x in texts])
 
     def encode_words(self, split: list[list[str]]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         flat = [w for x in split for w in x]
         got = list(map(self.known.get, flat))
         missing = [i for i, x in enumerate(got) if x is None]
         if missing:
-            self.learn({flat[i] for i in missing})
+            new = self.recall({flat[i] for i in missing})
             for i in missing:
-                got[i] = self.known[flat[i]]
+                got[i] = new[flat[i]]
         out, lo = [], 0
         for x in split:
             out.append(b"".join(got[lo : lo + len(x)]))
@@ -234,7 +246,7 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids if 0 <= i < len(raw)]).decode(errors="replace")
+        text = b"".join([raw[i] for i in ids if i is not None and 0 <= i < len(raw)]).decode(errors="replace")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
@@ -245,69 +257,86 @@ def load(path: str) -> Model:
     return _loaded[path]
 
 
-def _blocks(texts: list[str]):
+def _blocks(column):
+    """(from, to, texts) of runs of rows with about BLOCK characters."""
+    size = column.offsets if isinstance(column, pa.ListArray) else None
+    n = np.diff(size.to_numpy()) if size is not None else np.asarray(pc.fill_null(pc.binary_length(column), 0))
     lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < BLOCK):
-            size += len(texts[hi])
-            hi += 1
-        yield lo, hi
+    while lo < len(n):
+        hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(n[lo:]), BLOCK)))
+        yield lo, min(hi, len(n)), column.slice(lo, hi - lo).to_pylist()
         lo = hi
 
 
-def _encode_batches(path: str, at: int):
+def _list_of(ids: list[bytes]) -> pa.ListArray:
+    n = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+
+
+def _encode_batches(path: str, decoded: bool):
+    """Batches without their last column, the text, and with its ids and what these decode to."""
+
     def run(batches):
         for batch in batches:
             model = load(path)
-            texts = batch.column(at).to_pylist()
-            for lo, hi in _blocks(texts):
-                got = model.encode(texts[lo:hi])
-                n = np.fromiter((len(x) // 4 for x in got), dtype=np.int64, count=len(got))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
-                keep = [c.slice(lo, hi - lo) for i, c in enumerate(batch.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*keep, ids], names=[*[x for i, x in enumerate(batch.schema.names) if i != at], "piece_ids"])
+            for lo, hi, texts in _blocks(batch.column(batch.num_columns - 1)):
+                got = model.encode(texts)
+                out = [c.slice(lo, hi - lo) for c in batch.columns[:-1]] + [_list_of(got)]
+                if decoded:
+                    out.append(pa.array([model.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in got], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
 
     return run
 
 
-def encode(docs: DataFrame, text: str = "text", model: str | None = None, into: str = "piece_ids") -> DataFrame:
-    """docs with the ids of a text column as array<int> at the end."""
-    workers_can_import(docs.sparkSession)
-    kept = docs.drop(into)
-    rows = kept.withColumn("_text", whole(kept[text]))
-    schema = T.StructType([*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    out = rows.mapInArrow(_encode_batches(model or default_model(), len(rows.columns) - 1), schema)
-    return out.withColumnRenamed("piece_ids", into)
-
-
-def _decode_batches(path: str, at: int):
+def _decode_batches(path: str):
     def run(batches):
         for batch in batches:
             model = load(path)
-            texts = [None if x.as_py() is None else model.decode(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            for lo, hi, lists in _blocks(batch.column(batch.num_columns - 1)):
+                texts = [None if x is None else model.decode(x) for x in lists]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(texts, pa.string())], names=[f"c{i}" for i in range(batch.num_columns)])
 
     return run
 
 
+def _with(rows: DataFrame, last: Column, run, into: dict[str, T.DataType]) -> DataFrame:
+    """rows with the columns `into` at the end, from batches of rows and the column `last`. In between
+    columns go by place, so that no name of the input is taken."""
+    workers_can_import(rows.sparkSession)
+    gone = {x.lower() for x in into}
+    kept = [c for c in rows.columns if c.lower() not in gone]
+    placed = rows.select(*[rows[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)], last.alias("x"))
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*placed.schema.fields[:-1], *(T.StructField(c, t) for c, t in into.items())])]
+    return placed.mapInArrow(run, T.StructType(fields)).toDF(*kept, *into)
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def encode(docs: DataFrame, text: str = "text", model: str | None = None, into: str = "piece_ids") -> DataFrame:
+    """docs with the ids of a text column as array<int> at the end."""
+    return _with(docs, whole(docs[text]), _encode_batches(model or default_model(), False), {into: _IDS})
+
+
 def decode(rows: DataFrame, ids: str = "piece_ids", model: str | None = None, into: str = "decoded") -> DataFrame:
     """rows with the text of a column of ids at the end."""
-    workers_can_import(rows.sparkSession)
-    kept = rows.drop(into)
-    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
-    return kept.mapInArrow(_decode_batches(model or default_model(), kept.columns.index(ids)), schema).withColumnRenamed("decoded", into)
+    return _with(rows, rows[ids], _decode_batches(model or default_model()), {into: T.StringType()})
+
+
+def encode_decoded(docs: DataFrame, text: str = "text", model: str | None = None, into: tuple[str, str] = ("piece_ids", "decoded")) -> DataFrame:
+    """docs with ids and the text that they decode to, in one pass of one worker a task."""
+    return _with(docs, whole(docs[text]), _encode_batches(model or default_model(), True), {into[0]: _IDS, into[1]: T.StringType()})
 
 
 def _digest_batches(path: str):
     def run(batches):
         for batch in batches:
             model = load(path)
-            texts = batch.column(1).to_pylist()
-            for lo, hi in _blocks(texts):
-                split = [model.words(t) for t in texts[lo:hi]]
+            for lo, hi, texts in _blocks(batch.column(1)):
+                split = [model.words(t) for t in texts]
                 got = model.encode_words(split)
-                same = [model.decode(np.frombuffer(x, dtype="<u4").tolist()) == t.replace(MARK, " ") for x, t in zip(got, texts[lo:hi])]
+                same = [model.decode(np.frombuffer(x, dtype="<u4").tolist()) == t.replace(MARK, " ") for x, t in zip(got, texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(map(len, split)), pa.int64()), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip"])
 
     return run

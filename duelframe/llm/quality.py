@@ -180,14 +180,17 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs(text, lang, ...) with RESULTS at the end; the text is carried, not shuffled."""
-    docs = docs.drop(*RESULTS)
-    return _judged(_features(docs, base=True), references(docs))
+    kept = [c for c in docs.columns if c.lower() not in RESULTS]
+    inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    return _judged(_features(inner, base=True), references(docs.select(docs["text"].alias("text"), docs["lang"].alias("lang")))).select("_row.*", *RESULTS)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns as they are."""
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    return judge(inner).where("kept").select("_row.*")
+    """The documents that pass, with their own columns as they are. Rows and features are written once, so
+    that the features need not be computed for the references and again for the verdict."""
+    inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    f = written(_features(inner, base=True).drop("text"), "quality-features")
+    return _judged(f, _pool(f)).where("kept").select("_row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
