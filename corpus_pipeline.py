@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with piece_ids and the decoded text."""
-    return pieces.decode(pieces.encode(docs))
+    """The columns of documents with piece_ids and the decoded text, in one pass."""
+    return pieces.encode_decoded(docs)
 
 
 STAGES = [
