@@ -72,3 +72,92 @@ def last_segment(url: Column) -> Column:
 
 def normal_name(name: Column) -> Column:
     return F.trim(F.translate(F.replace(F.lower(name), F.lit("-"), F.lit(" ")), ".'", ""))
+
+
+def elapsed(rounds: Column, finish_round: Column, finish_clock: Column) -> Column:
+    """Seconds fought: the rounds before the last, and the clock of the last."""
+    return rounds_before(rounds, finish_round) + seconds(finish_clock)
+
+
+def most_seconds(rounds: Column) -> Column:
+    """Seconds of all rounds of a format such as 5-5-5."""
+    each = F.filter(F.transform(F.split(rounds, "-"), lambda x: x.try_cast("int") * 60), lambda x: x.isNotNull())
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+
+
+def scheduled_rounds(rounds: Column) -> Column:
+    """Rounds of a format such as 5-5-5; null where there is none."""
+    return F.when(F.trim(rounds) != "", F.size(F.split(rounds, "-")))
+
+
+def is_long(rounds: Column) -> Column:
+    """Whether a format has five rounds or more."""
+    return F.coalesce(F.size(F.split(rounds, "-")) - 1 >= 4, F.lit(False))
+
+
+def is_title(weight_class: Column) -> Column:
+    return F.coalesce(F.lower(weight_class).contains("title"), F.lit(False))
+
+
+#: Letters that decompose into a base letter and a mark, by base letter; the rest stays.
+FOLDS = {"A": "ÀÁÂÃÄÅĀĂĄ", "C": "ÇĆĈĊČ", "D": "Ď", "E": "ÈÉÊËĒĔĖĘĚ", "G": "ĜĞĠĢ", "H": "Ĥ", "I": "ÌÍÎÏĨĪĬĮİ", "J": "Ĵ", "K": "Ķ", "L": "ĹĻĽ", "N": "ÑŃŅŇ", "O": "ÒÓÔÕÖŌŎŐ", "R": "ŔŖŘ", "S": "ŚŜŞŠȘ", "T": "ŢŤȚ", "U": "ÙÚÛÜŨŪŬŮŰŲ", "W": "Ŵ", "Y": "ÝŶŸ", "Z": "ŹŻŽ"}
+_FROM = "".join(v + v.lower().replace("i̇", "") for v in FOLDS.values())
+_TO = "".join(k * len(v) + (k.lower() * len(v.lower().replace("i̇", ""))) for k, v in FOLDS.items())
+
+
+def folded(name: Column) -> Column:
+    """Without accents, in lower case, trimmed. Marks that stand apart (U+0300 to U+036F) go too."""
+    return F.trim(F.lower(F.regexp_replace(F.translate(name, _FROM, _TO), "[̀-ͯ]", "")))
+
+
+def slug(name: Column) -> Column:
+    """Lower case without accents; what is neither letter, digit nor space goes; spaces become one hyphen."""
+    return F.regexp_replace(F.trim(F.regexp_replace(folded(name), r"[^a-z0-9\s-]", "")), r"[\s-]+", "-")
+
+
+def flag_country(flag: Column) -> Column:
+    """The two letters of the first flag in a text of regional indicators; null without two."""
+    letters = F.regexp_replace(flag, "[^\U0001f1e6-\U0001f1ff]", "")
+    plain = F.translate(letters, "".join(chr(0x1F1E6 + i) for i in range(26)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return F.when(F.length(plain) >= 2, F.substring(plain, 1, 2))
+
+
+def age(day: Column, born: Column) -> Column:
+    """Years of 365.25 days."""
+    return F.datediff(day, born) / F.lit(365.25)
+
+
+def calendar_age(day: Column, born: Column) -> Column:
+    early = (F.month(day) < F.month(born)) | ((F.month(day) == F.month(born)) & (F.dayofmonth(day) < F.dayofmonth(born)))
+    return F.year(day) - F.year(born) - early.cast("int")
+
+
+def names_loser_or_winner(description: Column, name: Column) -> Column:
+    """Whether an outcome's text holds the last word of a name."""
+    return F.lower(description).contains(F.element_at(F.split(F.lower(F.trim(name)), " +"), -1))
+
+
+def by_orientation(red_is_home: Column, home: Column, away: Column) -> tuple[Column, Column]:
+    """(red, blue) of a home and an away value."""
+    return F.when(red_is_home, home).otherwise(away), F.when(red_is_home, away).otherwise(home)
+
+
+def winner_of(red_mark: Column, blue_mark: Column, red: Column, blue: Column) -> Column:
+    """The id of the side marked W; red first; null for neither."""
+    return F.when(F.trim(red_mark) == "W", red).when(F.trim(blue_mark) == "W", blue)
+
+
+def softmax(*scores: Column) -> list[Column]:
+    """Shares of exponentials, from the greatest score down."""
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    e = [F.exp(s - top) for s in scores]
+    total = e[0]
+    for x in e[1:]:
+        total = total + x
+    return [x / total for x in e]
+
+
+def argmax(names: tuple[str, ...], *scores: Column) -> Column:
+    """The name of the largest score, the first of equals."""
+    at = F.array(*scores)
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(at, F.array_max(at)).cast("int"))

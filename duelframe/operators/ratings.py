@@ -32,8 +32,11 @@ def expected(a: float, b: float) -> float:
     return 1.0 / (1.0 + 10.0 ** ((b - a) / 400.0))
 
 
-def _ordered(t: pa.Table) -> list[dict]:
-    return t.sort_by([("ts", "ascending"), ("fight_id", "ascending")]).to_pylist()
+def _ordered(t: pa.Table):
+    """Rows in order of time as dicts, some thousands at a time: the columns stay in Arrow."""
+    t = t.sort_by([("ts", "ascending"), ("fight_id", "ascending")])
+    for batch in t.to_batches(max_chunksize=4096):
+        yield from batch.to_pylist()
 
 
 def folded(df: DataFrame, fold, schema: str, pool: str | None = None) -> DataFrame:
@@ -128,10 +131,11 @@ def fold_methods(t: pa.Table) -> pa.Table:
 
 
 def method_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.lower(F.coalesce("method", F.lit("")))
-    kind = F.when(m.contains("ko"), "ko").when(m.contains("sub"), "sub").when(m.contains("dec"), "dec")
+    m = F.coalesce("method", F.lit(""))
+    kind = F.when(m.contains("KO"), "ko").when(F.lower(m).contains("sub"), "sub").when(F.lower(m).contains("dec"), "dec")
     rows = adapter.bouts(spark, sf_dir).select("fight_id", "ts", "red_id", "blue_id", "winner_id", kind.alias("kind"))
-    return folded(rows, fold_methods, "fight_id long, fighter_id long, ko_elo double, sub_elo double, dec_elo double")
+    found = folded(rows, fold_methods, "fight_id long, fighter_id long, ko_elo double, sub_elo double, dec_elo double")
+    return found.select("fight_id", "fighter_id", *[F.round(f"{m}_elo", 6).alias(f"{m}_elo") for m in ("ko", "sub", "dec")])
 
 
 def _elo_sql(bouts: str, k: str, select: str, tables: tuple[str, ...]) -> str:
@@ -157,6 +161,40 @@ _KIND = "CASE WHEN contains(lower(coalesce(method, '')), 'ko') OR contains(lower
 ELO_FINAL_SQL = _elo_sql("w", "kk", "SELECT fighter_id, bouts, round(elo, 6) AS elo FROM e WHERE bouts > 0", (f"w AS (SELECT *, {_KIND} AS kk FROM pr)",))
 
 
+def _history_sql(name: str, bouts: str, k: str, key: str = "{0}{1}") -> tuple[str, ...]:
+    """Tables that fold bouts in order with a map of (rating, bouts) as state; `name` has a row for each side.
+
+    key: of an entity in the map, from its id and the bout's columns; k may use rc and bc, the bouts so far."""
+    red, blue, red_of, blue_of = (key.format(p, c) for p in ("", "o.") for c in ("red_id", "blue_id"))
+    at = lambda k, f, start: f"coalesce(f.m[{k}].{f}, {start})"
+    return (
+        f"{name}_o AS (SELECT *, row_number() OVER (ORDER BY ts, fight_id) AS n FROM {bouts})",
+        f"""{name}_f(n, fight_id, red_id, blue_id, red_before, blue_before, d, m) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, MAP([-1::BIGINT], [{{'e': {START}::DOUBLE, 'c': 0::BIGINT}}])
+  UNION ALL SELECT n, fight_id, red_id, blue_id, re, be, d, map_concat(m, MAP([{red}, {blue}], [{{'e': re + d, 'c': rc + 1}}, {{'e': be - d, 'c': bc + 1}}])) FROM (
+    SELECT *, {k} * (score - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (be - re) / 400.0::DOUBLE))) AS d FROM (
+      SELECT o.*, f.m, {at(red_of, "e", f"{START}::DOUBLE")} AS re, {at(blue_of, "e", f"{START}::DOUBLE")} AS be, {at(red_of, "c", "0::BIGINT")} AS rc, {at(blue_of, "c", "0::BIGINT")} AS bc, CASE WHEN o.winner_id IS NULL THEN 0.5::DOUBLE ELSE CAST(o.winner_id = o.red_id AS DOUBLE) END AS score
+      FROM {name}_f f JOIN {name}_o o ON o.n = f.n + 1)))""",
+        f"{name} AS (SELECT fight_id, red_id AS fighter_id, blue_id AS opponent_id, red_before AS elo_before, blue_before AS opponent_elo_before, red_before + d AS elo_after FROM {name}_f WHERE n > 0 UNION ALL SELECT fight_id, blue_id, red_id, blue_before, red_before, blue_before - d FROM {name}_f WHERE n > 0)",
+    )
+
+
+#: Tables up to ph: the ranking's ratings.
+POINTS_TABLES = (f"pw AS (SELECT *, {_CAT} AS cat FROM pr WHERE winner_id IS NOT NULL)", *_history_sql("ph", "pw", "(CASE WHEN least(rc, bc) < 5 THEN 60.0::DOUBLE ELSE 40.0::DOUBLE END * cat)"))
+#: Tables up to eh: ratings before and after each bout, of both sides.
+ELO_TABLES = (f"eh_b AS (SELECT *, {_KIND} AS kk FROM pr)", *_history_sql("eh", "eh_b", "kk"))
+ELO_HISTORY_SQL = oracle("SELECT fight_id, fighter_id, round(elo_before, 6) AS elo_before, round(elo_after, 6) AS elo_after FROM eh", *ELO_TABLES).replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+def _method_sql() -> str:
+    kind = "CASE WHEN contains(coalesce(method, ''), 'KO') THEN 0 WHEN contains(lower(coalesce(method, '')), 'sub') THEN 1 WHEN contains(lower(coalesce(method, '')), 'dec') THEN 2 ELSE 3 END"
+    tables = [f"mb AS (SELECT *, CASE WHEN winner_id IS NULL THEN 3 ELSE {kind} END AS kind FROM pr)"]
+    tables += _history_sql("mh", "mb", "CASE WHEN kind < 3 THEN 32.0::DOUBLE ELSE 0.0::DOUBLE END", "{0}{1} * 4 + {0}kind")
+    # Of each class, the map as it stood before the bout.
+    before = ", ".join(f"round(coalesce(p.m[x.id * 4 + {i}].e, {START}::DOUBLE), 6) AS {m}_elo" for i, m in enumerate(("ko", "sub", "dec")))
+    return oracle(f"SELECT f.fight_id, x.id AS fighter_id, {before} FROM mh_f f JOIN mh_f p ON p.n = f.n - 1, (SELECT unnest([0, 1]) AS s) u, LATERAL (SELECT CASE u.s WHEN 0 THEN f.red_id ELSE f.blue_id END AS id) x WHERE f.n > 0", *tables).replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
 def resume_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resume score: five passes of credit for opponents' scores (more for finishes, a share lost for
     losses), each pass one join and one aggregation over the edges between entities."""
@@ -177,4 +215,4 @@ def _resume_sql() -> str:
 
 
 QUERIES = {"elo_history": elo_history, "elo_final": elo_final, "elo_points": elo_points, "method_elo": method_elo, "resume_iterated": resume_iterated}
-ORACLES = {"elo_final": ELO_FINAL_SQL, "elo_points": ELO_POINTS_SQL, "resume_iterated": _resume_sql()}
+ORACLES = {"elo_history": ELO_HISTORY_SQL, "method_elo": _method_sql(), "elo_final": ELO_FINAL_SQL, "elo_points": ELO_POINTS_SQL, "resume_iterated": _resume_sql()}

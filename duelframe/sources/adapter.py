@@ -64,6 +64,8 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(d) for d in DIVISIONS]), (F.col("fight_id") % len(DIVISIONS) + 1).cast("int")).alias("weight_class"),
         finish_round.alias("finish_round"),
         ((finish_round - 1) * 300 + (F.col("r.v") * 11 + F.col("r.k")) % 300 + 1).alias("fight_seconds"),
+        F.when((finish_round > 3) | (F.col("fight_id") % len(DIVISIONS) == 3), "5-5-5-5-5").otherwise("5-5-5").alias("time_format"),
+        F.datediff(F.to_date("r.ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("card_id"),
         counts("r").alias("red"),
         counts("b").alias("blue"),
     )
@@ -77,12 +79,12 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(F.lit(me).alias("corner"), F.col(f"{me}_id").alias("fighter_id"), F.col(f"{other}_id").alias("opponent_id"), F.col(me).alias("own"), F.col(other).alias("opp"))
 
     x = b.select("fight_id", "ts", "date", "winner_id", "method", "weight_class", "finish_round", "fight_seconds", F.explode(F.array(side(RED, BLUE), side(BLUE, RED))).alias("s"))
-    method = F.lower(F.coalesce("method", F.lit("")))
+    method = F.coalesce("method", F.lit(""))
     won = F.coalesce(F.col("winner_id") == F.col("s.fighter_id"), F.lit(False))
     return x.select(
         "fight_id", "ts", "date", "weight_class", "method", "finish_round", "fight_seconds", "s.corner", "s.fighter_id", "s.opponent_id",
         won.cast("int").alias("won"), (F.col("winner_id").isNotNull() & ~won).cast("int").alias("lost"),
-        method.contains("ko").cast("int").alias("is_ko"), method.contains("sub").cast("int").alias("is_sub"),
+        method.contains("KO").cast("int").alias("is_ko"), F.lower(method).contains("sub").cast("int").alias("is_sub"), F.lower(method).contains("dec").cast("int").alias("is_dec"),
         *[F.col(f"s.own.{c}").alias(c) for c in COUNTS], *[F.col(f"s.opp.{c}").alias(f"opp_{c}") for c in COUNTS],
     )
 
@@ -104,6 +106,51 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x
 
 
+#: Names, stances and places of the invented entities and cards.
+FIRST_NAMES = ("José", "Anna", "Łukasz", "Jiří", "Max", "Zoë", "Carlos", "Ben-Ali")
+LAST_NAMES = ("Silva", "Müller", "O'Neill", "Novák", "St. Pierre", "Ortega", "Žižka")
+STANCES = ("Orthodox", "Southpaw", "Switch")
+PLACES = ("Las Vegas", "London", "Abu Dhabi", "Paris")
+
+
+def _of(values: tuple[str, ...], n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+
+
+def fighters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each entity: names, measures as texts, stance and date of birth."""
+    u = events(spark, sf_dir).select(F.col("user_id").alias("fighter_id")).distinct()
+    n, text = F.col("fighter_id"), lambda c: c.cast("string")
+    return u.select(
+        "fighter_id", _of(FIRST_NAMES, n).alias("first_name"), F.concat(_of(LAST_NAMES, n), F.lit(" "), text(n)).alias("last_name"),
+        F.when(n % 7 == 0, "--").otherwise(F.concat(text(n % 2 + 5), F.lit("' "), text(n % 12), F.lit('"'))).alias("height"),
+        F.concat(text(n % 9 * 10 + 125), F.lit(" lbs.")).alias("weight"), F.when(n % 5 == 0, "--").otherwise(F.concat(text(n % 20 + 60), F.lit('"'))).alias("reach"),
+        F.when(n % 4 < 3, _of(STANCES, n % 4)).alias("stance"), F.date_add(F.lit("1980-01-01").cast("date"), (n * 37 % 7000).cast("int")).alias("dob"),
+    )
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each day with bouts."""
+    c = F.col("card_id")
+    return bouts(spark, sf_dir).select("card_id", "date").distinct().select("card_id", "date", F.concat(F.lit("Card "), c.cast("string")).alias("name"), _of(PLACES, c).alias("location"))
+
+
+def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts of the last day, without their results."""
+    b = bouts(spark, sf_dir)
+    last = F.broadcast(b.agg(F.max("date").alias("as_of")))  # one row
+    gone = ("winner_id", "method", "finish_round", "fight_seconds")
+    return b.join(last, b["date"] == last["as_of"]).withColumns({c: F.lit(None).cast(b.schema[c].dataType) for c in gone})
+
+
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each side and round: a bout's counts dealt evenly, the rest to the last round."""
+    x = sides(spark, sf_dir).withColumn("round_number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("finish_round").cast("long"))))
+    last = F.col("round_number") == F.col("finish_round")
+    dealt = [(F.floor(F.col(c) / F.col("finish_round")) + F.when(last, F.col(c) % F.col("finish_round")).otherwise(0)).cast("long").alias(c) for c in COUNTS]
+    return x.select("fight_id", "ts", "fighter_id", "corner", "weight_class", "round_number", *dealt)
+
+
 _HALF = {"head": "{x} // 2", "body": "{x} // 4", "leg": "{x} - {x} // 2 - {x} // 4", "distance": "{x} // 2", "clinch": "{x} // 3", "ground": "{x} - {x} // 2 - {x} // 3"}
 
 
@@ -111,6 +158,10 @@ def _split_sql() -> str:
     return ", ".join(f"{_HALF[t].format(x='sig_' + s)} AS {t}_{s}" for s in ("landed", "attempted") for t in _HALF)
 
 
+def _listed(values: tuple[str, ...]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
 #: The same tables for DuckDB.
 SQL = f"""
 ev AS (SELECT event_id, event_id // 2 AS fight_id, event_id % 2 AS side, ts, user_id, event_type, value, CAST(floor(value) AS BIGINT) AS v, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events),
@@ -120,16 +171,21 @@ pr AS (SELECT r.fight_id, r.ts, CAST(r.ts AS DATE) AS date, r.user_id AS red_id,
   CASE WHEN r.value > b.value THEN r.user_id WHEN r.value < b.value THEN b.user_id END AS winner_id,
   CASE CASE WHEN r.value > b.value THEN r.event_type WHEN r.value < b.value THEN b.event_type END {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in METHODS.items())} END AS method,
   CASE r.fight_id % 8 {' '.join(f"WHEN {i} THEN '{d.replace(chr(39), chr(39) * 2)}'" for i, d in enumerate(DIVISIONS))} END AS weight_class,
-  r.k % 5 + 1 AS finish_round, (r.k % 5) * 300 + (r.v * 11 + r.k) % 300 + 1 AS fight_seconds
+  r.k % 5 + 1 AS finish_round, (r.k % 5) * 300 + (r.v * 11 + r.k) % 300 + 1 AS fight_seconds,
+  CASE WHEN r.k % 5 + 1 > 3 OR r.fight_id % 8 = 3 THEN '5-5-5-5-5' ELSE '5-5-5' END AS time_format, CAST(CAST(r.ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS card_id
   FROM cn r JOIN cn b ON r.fight_id = b.fight_id AND r.side = 0 AND b.side = 1 WHERE r.user_id <> b.user_id),
 sides AS (SELECT p.fight_id, p.ts, p.date, p.weight_class, p.method, p.finish_round, p.fight_seconds, CASE o.side WHEN 0 THEN 'red' ELSE 'blue' END AS corner, o.user_id AS fighter_id, q.user_id AS opponent_id,
   CAST(coalesce(p.winner_id = o.user_id, false) AS INTEGER) AS won, CAST(p.winner_id IS NOT NULL AND p.winner_id <> o.user_id AS INTEGER) AS lost,
-  CAST(contains(lower(coalesce(p.method, '')), 'ko') AS INTEGER) AS is_ko, CAST(contains(lower(coalesce(p.method, '')), 'sub') AS INTEGER) AS is_sub,
+  CAST(contains(coalesce(p.method, ''), 'KO') AS INTEGER) AS is_ko, CAST(contains(lower(coalesce(p.method, '')), 'sub') AS INTEGER) AS is_sub, CAST(contains(lower(coalesce(p.method, '')), 'dec') AS INTEGER) AS is_dec,
   {', '.join(f'o.{c}' for c in COUNTS)}, {', '.join(f'q.{c} AS opp_{c}' for c in COUNTS)}
   FROM pr p JOIN cn o ON p.fight_id = o.fight_id JOIN cn q ON p.fight_id = q.fight_id AND o.side <> q.side),
 qt0 AS (SELECT p.fight_id, b AS n, -(110 + (7 * p.fight_id + 13 * b) % 290) AS fav, 100 + (5 * p.fight_id + 17 * b) % 300 AS dog FROM pr p, (SELECT unnest([0, 1, 2]) AS b) WHERE p.fight_id % 10 <> 9),
 qt1 AS (SELECT fight_id * 3 + n AS id, fight_id, 'book' || n AS bookmaker, CAST(CASE WHEN fight_id % 2 = 0 THEN fav ELSE dog END AS INTEGER) AS red_odds, CAST(CASE WHEN fight_id % 2 = 0 THEN dog ELSE fav END AS INTEGER) AS blue_odds FROM qt0),
 quotes AS (SELECT *, CASE WHEN red_odds > 0 THEN 100.0::DOUBLE / (red_odds + 100) ELSE abs(red_odds)::DOUBLE / (abs(red_odds) + 100) END AS red_implied, CASE WHEN blue_odds > 0 THEN 100.0::DOUBLE / (blue_odds + 100) ELSE abs(blue_odds)::DOUBLE / (abs(blue_odds) + 100) END AS blue_implied FROM qt1),
+fighters AS (SELECT fighter_id, [{_listed(FIRST_NAMES)}][fighter_id % 8 + 1] AS first_name, [{_listed(LAST_NAMES)}][fighter_id % 7 + 1] || ' ' || fighter_id AS last_name, CASE WHEN fighter_id % 7 = 0 THEN '--' ELSE (fighter_id % 2 + 5) || '''' || ' ' || (fighter_id % 12) || '"' END AS height, (fighter_id % 9 * 10 + 125) || ' lbs.' AS weight, CASE WHEN fighter_id % 5 = 0 THEN '--' ELSE (fighter_id % 20 + 60) || '"' END AS reach, CASE WHEN fighter_id % 4 < 3 THEN [{_listed(STANCES)}][fighter_id % 4 + 1] END AS stance, DATE '1980-01-01' + CAST(fighter_id * 37 % 7000 AS INTEGER) AS dob FROM (SELECT DISTINCT user_id AS fighter_id FROM events)),
+cards AS (SELECT card_id, date, 'Card ' || card_id AS name, [{_listed(PLACES)}][card_id % 4 + 1] AS location FROM (SELECT DISTINCT card_id, date FROM pr)),
+upcoming AS (SELECT * EXCLUDE (winner_id, method, finish_round, fight_seconds) FROM pr WHERE date = (SELECT max(date) FROM pr)),
+rounds AS (SELECT fight_id, ts, fighter_id, corner, weight_class, round_number, {', '.join(f"{c} // finish_round + CASE WHEN round_number = finish_round THEN {c} % finish_round ELSE 0 END AS {c}" for c in COUNTS)} FROM (SELECT *, unnest(range(1, finish_round + 1)) AS round_number FROM sides)),
 preds AS (SELECT fight_id, ((37 * fight_id) % 1000) / 1000.0::DOUBLE AS red_prob, CASE fight_id % 3 WHEN 0 THEN 'ko' WHEN 1 THEN 'sub' ELSE 'dec' END AS predicted_method, CASE WHEN winner_id IS NOT NULL THEN CAST(winner_id = red_id AS INTEGER) END AS red_won, method, weight_class, finish_round FROM pr WHERE fight_id % 10 <> 8)
 """
 
