@@ -1,28 +1,36 @@
 """Scores of documents by prediction by partial matching, pretrained on a part of the corpus.
 
 A text is its tokens: lower-case words and one end. Each word is coded byte by byte and closed by an
-end-of-word symbol, so the probabilities of all token sequences sum to one. The model is a trie of
-byte contexts. Its long contexts are all that has passed of the word, up to DEPTH bytes; where such
-a context has no count for the next symbol, an escape is coded and the contexts of the last two
-bytes, one byte and none follow, then equal shares. Symbols that a longer context has counts for are
-excluded from the shorter ones. Escapes of the long contexts are estimated from the trie itself, by
-leaving one occurrence out, for each depth and size of context; the short contexts count each
+end-of-word symbol. The model is a trie of byte contexts, from the longest to the shortest:
+
+1. the whole word before and what has passed of the word itself. Its counts nest, so the product of a
+   word's symbols in this context is count(word before, word) / count(word before);
+2. what has passed of the word, up to DEPTH bytes;
+3. the last two bytes, one byte and none, then equal shares.
+
+From 2 to 3 and within 3 an escape is coded where a context has no count for the next symbol, and symbols that a
+longer context has counts for are excluded from the shorter ones. Escapes of 2 are estimated from the trie itself, by
+leaving one occurrence out, for each depth and size of context; contexts of 3 count each
 distinct word once (their symbols are those that longer contexts failed to predict) and escape in
-proportion to their distinct symbols.
+proportion to their distinct symbols. Between 1 and 2 the escape is estimated from the text so far: for each size of context,
+how many words it has predicted there; its share of the weight goes to the shorter contexts (a mixture,
+so that no exclusion is needed). The probabilities of all token sequences sum to one.
 
 The trie is pretrained; each text adapts it: with a weight that grows along the text, a word has its
 share among the words before it.
 
-Since contexts end at the start of a word, a word's score in the trie is the same in every document, and only distinct
-words are scored: those of all documents, sorted into ranges, each range walked as a trie.
-Nodes that span a border between ranges get their counts from all of them. Documents lie in blocks
-of about BLOCK_TEXT bytes; each block gets the scores of just its own words and sums them.
+How it runs: the documents are cut into chunks of CHUNK bytes where they are read, and become numbers of the chunk's
+sorted words, in a written table (one row a chunk). Words go by ranges, as one row for each chunk and
+range, so a word that all documents have costs one entry a chunk; each range is walked as a trie. Nodes that span a border between
+ranges are summed over ranges and joined to just the ranges that they touch. Word pairs go by ranges of a hash of
+24 + log2(bytes of the corpus) - 6 bits (so that an unseen pair is taken for a seen one with a chance of less than a millionth, at any size),
+sorted and delta-coded. Scores and counts come back to their chunk in the order in which they were sent.
 
-What is gathered grows with the corpus: counts of all words of all training documents. Broadcast
-are only the short contexts (of the length of which there are MOST_SHORT at most), the escape table, and the nodes on borders (DEPTH
-for each border between ranges, at most).
+What is gathered grows with the corpus: counts of all words and all pairs of words of all training documents. To the
+driver come only contexts of two bytes (256 * 256 * 257 counts at most, whatever the corpus) and the escape table.
 
-Cases: null and empty texts are one end token; bytes of any kind are symbols; a null doc_id counts
+Cases: null and empty texts are one end token; bytes of any kind are symbols; texts and words of any length are taken whole (of words
+longer than DEPTH bytes, the rest is coded in contexts of two bytes); a null doc_id counts
 as an empty text in the rule that splits training from held-out; without training documents all
 symbols have equal shares; an empty table gives no rows; rows are never merged.
 """
@@ -30,61 +38,177 @@ symbols have equal shares; an empty table gives no rows; rows are never merged.
 from __future__ import annotations
 
 import math
+import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions_for, table, whole, workers_can_import, written
 
 DEPTH = 24
-#: Bytes of the longest short context, and how many pairs of a short context and a symbol may be
-#: broadcast (about 100 bytes each): beyond, contexts are shorter.
-ORDER = 4
-MOST_SHORT = 150_000
+#: Bytes of the longest short context.
+ORDER = 2
 START = b"\x20" * ORDER
 #: Words after which half of the weight lies on the words of the same text so far.
 ADAPT = 1600
-BLOCK_TEXT = 16e6
+#: Hits and misses that a size of context starts with, in the estimate of its escape.
+HITS, MISSES = 0.4, 2.0
+#: Bytes of text in a chunk, and in a range of words or pairs.
+CHUNK, RANGE_TEXT, PAIR_TEXT = 12e6, 160e6, 32e6
+#: Words of a bounded sample of documents that decide where ranges begin; results don't depend on them.
+SAMPLE_DOCS, SAMPLE_WORDS = 1000, 300
 FOLDS, HELD_OUT = 7, 2
 #: Symbols after the 256 bytes.
 CLOSE, END = 256, 257
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def _count_batches(batches):
-    """Distinct words of each block with their counts in training documents."""
-    counts: dict[int, Counter] = {}
+_CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary, counts binary"
+
+
+def _chunk_batches(batches):
+    """One row for each chunk: its documents as numbers of its sorted words, these words, and their counts in
+    training documents."""
+    numbers: dict[bytes, int] = {}
+    docs: list[tuple] = []
     size = 0
 
-    def flush():
-        for block, found in counts.items():
-            words = list(found)
-            for lo in range(0, len(words), 100_000):
-                part = words[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([block] * len(part), pa.int32()), pa.array([found[w] for w in part], pa.int64())], names=["word", "block", "c"])
+    def row():
+        found = list(numbers)
+        order = sorted(range(len(found)), key=found.__getitem__)
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        ids = rank[np.concatenate([x for _, _, x in docs])] if numbers else np.zeros(0, np.uint32)
+        train = np.repeat([not held for _, held, _ in docs], [len(x) for _, _, x in docs])
+        counts = np.bincount(ids[train], minlength=len(order)).astype(np.int64)
+        planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        one = lambda v, t: pa.array([v], t)
+        return pa.RecordBatch.from_arrays([one(random.getrandbits(62), pa.int64()), one([d for d, _, _ in docs], pa.list_(pa.int64())), one([h for _, h, _ in docs], pa.list_(pa.bool_())), one([len(x) for _, _, x in docs], pa.list_(pa.int32())), one(planes, pa.binary()), one(b"\n".join(found[i] for i in order), pa.binary()), one(counts.tobytes(), pa.binary())], names=[x.split()[0] for x in _CHUNKS.split(", ")])
 
     for batch in batches:
-        for block, held, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found = counts.setdefault(block, Counter())
-            before = len(found)
+        for i in range(batch.num_rows):
+            doc_id, held, text = (batch.column(j)[i].as_py() for j in range(3))
             words = text.encode().lower().split()
-            if held:
-                for w in words:
-                    if w not in found:
-                        found[w] = 0
-            else:
-                found.update(words)
-            size += len(found) - before
-            if size > 600_000:
-                yield from flush()
-                counts, size = {}, 0
-    yield from flush()
+            docs.append((doc_id, held, np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))))
+            size += len(text) + 64
+            if size > CHUNK:
+                yield row()
+                numbers, docs, size = {}, [], 0
+    if docs:
+        yield row()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _words(blob: bytes) -> list[bytes]:
+    return blob.split(b"\n") if blob else []
+
+
+def _word_batches(shared):
+    """(range, chunk, first, words, counts) for each range that a chunk has words in."""
+
+    def run(batches):
+        cuts = shared.value
+        for batch in batches:
+            for chunk, blob, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                words, counts = _words(blob), np.frombuffer(counts, dtype=np.int64)
+                out, lo = [], 0
+                for i, cut in enumerate([*cuts, None]):
+                    hi = len(words) if cut is None else bisect_left(words, cut, lo)
+                    if hi > lo:
+                        out.append((i, chunk, lo, b"\n".join(words[lo:hi]), counts[lo:hi].tobytes()))
+                    lo = hi
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "first", "words", "counts"])
+
+    return run
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Of each word, of the end, and of the start of a text."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in (*words, b"\n", b"\n\n")), dtype=np.uint64, count=len(words) + 2)
+
+
+def _sequence(lengths: np.ndarray, ids: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word before, word) of each token: the end is n_words, the start n_words + 1."""
+    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+    ends = np.cumsum(lengths + 1) - 1
+    cur = np.full(len(doc), n_words, dtype=np.int64)
+    inside = np.ones(len(doc), dtype=bool)
+    inside[ends] = False
+    cur[inside] = ids
+    before = np.concatenate([[n_words + 1], cur[:-1]]) if len(cur) else cur
+    before[np.concatenate([[0], ends[:-1] + 1])] = n_words + 1
+    return doc, before, cur
+
+
+def _pairs(words: list[bytes], before: np.ndarray, cur: np.ndarray, bits: int) -> np.ndarray:
+    """The hash of each (word before, word)."""
+    h = _hashes(words)
+    with np.errstate(over="ignore"):
+        x = (h[before] ^ np.uint64(0x5851F42D4C957F2D)) * _MIX + h[cur]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - bits)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted numbers as differences, of as few bytes as they need, byte plane by byte plane."""
+    d = np.diff(x, prepend=np.uint64(0))
+    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
+    full = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    full[:, : raw[0]] = planes.T
+    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pair_batches(bits: int, ranges: int):
+    """(range, chunk, pairs, counts): a chunk's distinct pairs, and how often training documents have them."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, held, lengths, ids, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _words(blob)
+                doc, before, cur = _sequence(np.array(lengths, dtype=np.int64), _numbers(ids), len(words))
+                found, place = np.unique(_pairs(words, before, cur, bits), return_inverse=True)
+                counts = np.bincount(place[~np.array(held, dtype=bool)[doc]], minlength=len(found))
+                at = np.searchsorted(found, _starts(bits, ranges)).tolist()
+                out = [(i, chunk, _packed(found[lo:hi]), counts[lo:hi].astype("<u4").tobytes()) for i, (lo, hi) in enumerate(zip(at, [*at[1:], len(found)])) if hi > lo]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "pairs", "counts"])
+
+    return run
+
+
+def _starts(bits: int, ranges: int) -> np.ndarray:
+    return np.array([(i << bits) // ranges for i in range(ranges)], dtype=np.uint64)
+
+
+def _pair_counts(t: pa.Table) -> pa.Table:
+    """The counts of a range's pairs over all chunks, to each chunk in its own order."""
+    own = [_unpacked(x.as_py()) for x in t.column("pairs")]
+    found, place = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.zeros(len(found), dtype=np.int64)
+    np.add.at(total, place, np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in t.column("counts")]))
+    back, lo = [], 0
+    for x in own:
+        back.append(np.minimum(total[place[lo : lo + len(x)]], 0xFFFFFFFF).astype("<u4").tobytes())
+        lo += len(x)
+    return pa.table({"chunk": t.column("chunk"), "kind": pa.array([1] * len(own), pa.int32()), "first": t.column("range").cast(pa.int64()), "x": pa.array(back, pa.binary()), "c": pa.array([b""] * len(own), pa.binary())})
 
 
 def _children(words: list[bytes], lo: int, hi: int, depth: int):
@@ -104,32 +228,42 @@ def _children(words: list[bytes], lo: int, hi: int, depth: int):
 
 
 class _Range:
-    """A range of distinct words, sorted, with their counts; from rows (word, c, ...)."""
+    """The words of a range, sorted and distinct, with their counts; from rows (words, counts, ...)."""
 
     def __init__(self, rows: pa.Table):
-        coded = rows.column("word").combine_chunks().dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        order = sorted(range(len(found)), key=found.__getitem__)
-        self.words: list[bytes] = [found[i] for i in order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        #: Of each row, its word's index.
-        self.index = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
-        self.c = np.zeros(len(order), dtype=np.int64)
-        np.add.at(self.c, self.index, rows.column("c").to_numpy())
+        self.parts = [_words(x.as_py()) for x in rows.column("words")]
+        total: dict[bytes, int] = {}
+        for words, counts in zip(self.parts, rows.column("counts")):
+            for w, c in zip(words, np.frombuffer(counts.as_py(), dtype=np.int64).tolist()):
+                total[w] = total.get(w, 0) + c
+        self.words: list[bytes] = sorted(total)
+        self.c = np.fromiter(map(total.__getitem__, self.words), dtype=np.int64, count=len(total))
         self.before = np.concatenate([[0], np.cumsum(self.c)]).tolist()
+        self.types_before = np.concatenate([[0], np.cumsum(self.c > 0)]).tolist()
 
     def count(self, lo: int, hi: int) -> int:
         return self.before[hi] - self.before[lo]
 
+    def types(self, lo: int, hi: int) -> int:
+        """Words of training documents."""
+        return self.types_before[hi] - self.types_before[lo]
+
+    def edges(self) -> set[bytes]:
+        """Nodes that the range may share with its neighbours."""
+        return {w[:d] for w in ((self.words[0], self.words[-1]) if self.words else ()) for d in range(min(len(w), DEPTH - 1) + 1)}
+
 
 def _size_class(n: int) -> int:
     return min(n.bit_length(), 24)
 
 
+_SURVEY = "range int, kind string, a binary, b int, n long"
+
+
 def _survey(rows: pa.Table) -> pa.Table:
-    """Rows (kind, a, b, n) of what the model needs besides the range itself: short contexts (c: key,
-    symbol), escape statistics (e: class, novel or all), and nodes on the range's borders (b: prefix, symbol)."""
+    """Rows (range, kind, a, b, n) of what the model needs besides the range itself: short contexts (c: key,
+    symbol), escape statistics (e: class, 1 for all or 0 for novel; of nodes with two training words or more), nodes on the range's borders (b: prefix, symbol, or
+    -1 for the training words below), the borders themselves (x: prefix), and totals (t: 0 for types, 1 for tokens)."""
     r = _Range(rows)
     short: Counter = Counter()
     for word, c in zip(r.words, r.c.tolist()):
@@ -141,7 +275,7 @@ def _survey(rows: pa.Table) -> pa.Table:
             short[last, CLOSE] += 1
     escapes: Counter = Counter()
     borders: Counter = Counter()
-    edges = {w[:d] for w in ((r.words[0], r.words[-1]) if r.words else ()) for d in range(min(len(w), DEPTH - 1) + 1)}
+    edges = r.edges()
     todo = [(0, len(r.words), 0)]
     while todo:
         lo, hi, depth = todo.pop()
@@ -156,45 +290,52 @@ def _survey(rows: pa.Table) -> pa.Table:
                 n += c
                 distinct += 1
                 ones += c == 1
-            if symbol != CLOSE and depth + 1 < DEPTH and (b - a > 1 or r.words[a][: depth + 1] in edges):
+            if symbol != CLOSE and depth + 1 < DEPTH and (r.types(a, b) > 1 or r.words[a][: depth + 1] in edges):
                 todo.append((a, b, depth + 1))
-        if n > 1:
+        if on_border:
+            borders[prefix, -1] += r.types(lo, hi)
+        elif n > 1:
             size, d = _size_class(n - 1), min(depth, 12)
             if ones:
                 key = (d, size, distinct == 2)
-                escapes[(*key, "new")] += ones
-                escapes[(*key, "all")] += ones
+                escapes[(*key, 0)] += ones
+                escapes[(*key, 1)] += ones
             if n > ones:
-                escapes[(d, size, distinct == 1, "all")] += n - ones
-    rows = [("c", k, str(s), n) for (k, s), n in short.items()]
-    rows += [("e", f"{d},{s},{int(one)}".encode(), what, n) for (d, s, one, what), n in escapes.items()]
-    rows += [("b", k, str(s), n) for (k, s), n in borders.items()]
-    rows.append(("t", b"", "types", int((r.c > 0).sum())))
-    rows.append(("t", b"", "tokens", int(r.c.sum())))
-    return pa.table({name: pa.array([x[i] for x in rows], t) for i, (name, t) in enumerate((("kind", pa.string()), ("a", pa.binary()), ("b", pa.string()), ("n", pa.int64())))})
+                escapes[(d, size, distinct == 1, 1)] += n - ones
+    out = [("c", k, s, n) for (k, s), n in short.items()]
+    out += [("e", f"{d},{s},{int(one)}".encode(), what, n) for (d, s, one, what), n in escapes.items()]
+    out += [("b", k, s, n) for (k, s), n in borders.items()]
+    out += [("x", k, 0, 0) for k in edges]
+    out += [("t", b"", 0, int((r.c > 0).sum())), ("t", b"", 1, int(r.c.sum()))]
+    own = rows.column("range")[0].as_py()
+    return pa.table({"range": pa.array([own] * len(out), pa.int32()), **{name: pa.array([x[i] for x in out], t) for i, (name, t) in enumerate((("kind", pa.string()), ("a", pa.binary()), ("b", pa.int32()), ("n", pa.int64())))}})
 
 
 class _Model:
-    """The parts of the model that every task has."""
+    """The parts of the model that every task has, and the border nodes of the range at hand."""
 
     def __init__(self, rows, ends: int):
-        self.order = max([0, *(len(a) for kind, a, _, _ in rows if kind == "c")])
-        self.short = [defaultdict(Counter) for _ in range(self.order + 1)]
-        self.borders: dict[bytes, dict[int, int]] = defaultdict(dict)
-        seen: dict[str, dict[str, int]] = defaultdict(dict)
+        self.order, self.ends = ORDER, ends
+        self.short = [defaultdict(Counter) for _ in range(ORDER + 1)]
+        seen: dict[str, dict[int, int]] = defaultdict(dict)
         for kind, a, b, n in rows:
             a = bytes(a)
             if kind == "c":
-                for order in range(self.order + 1):
-                    self.short[order][a[self.order - order :]][int(b)] += n
+                for order in range(ORDER + 1):
+                    self.short[order][a[ORDER - order :]][b] += n
             elif kind == "e":
-                seen[a.decode()][b] = n
-            elif kind == "b":
-                self.borders[a][int(b)] = n
-        if ends:
-            self.borders[b""][END] = ends
-        self.escape_at = {tuple(map(int, k.split(","))): (v.get("new", 0) + 0.5) / (v.get("all", 0) + 1.0) for k, v in seen.items()}
+                seen[a.decode()][b] = seen[a.decode()].get(b, 0) + n
+        self.escape_at = {tuple(map(int, k.split(","))): (v.get(0, 0) + 0.5) / (v.get(1, 0) + 1.0) for k, v in seen.items()}
         self.rest: dict = {}
+        self.set_borders([])
+
+    def set_borders(self, rows) -> None:
+        """rows (prefix, symbol, count) of nodes that more ranges than one have; the root also has ends of texts."""
+        self.borders: dict[bytes, dict[int, int]] = defaultdict(dict)
+        for prefix, symbol, n in rows:
+            self.borders[bytes(prefix)][symbol] = n
+        if self.ends:
+            self.borders[b""][END] = self.ends
 
     def escape(self, n: int, distinct: int, depth: int) -> float:
         # The context of size n that the statistics left one out of was of size n + 1.
@@ -295,43 +436,99 @@ class _Model:
 
 
 def _score_range(model):
-    def run(rows: pa.Table) -> pa.Table:
-        r = _Range(rows)
-        score = model.value.score(r)
-        return pa.table({"block": rows.column("block"), "word": rows.column("word"), "c": pa.array(r.c[r.index]), "lp": pa.array(score[r.index])})
+    """The scores and counts of a range's words, to each chunk in its own order."""
+
+    def run(rows: pa.Table, borders: pa.Table) -> pa.Table:
+        m, r = model.value, _Range(rows)
+        m.set_borders(zip(*(borders.column(c).to_pylist() for c in ("a", "b", "n"))))
+        score, at = m.score(r), {w: i for i, w in enumerate(r.words)}
+        index = [np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words)) for words in r.parts]
+        return pa.table({"chunk": rows.column("chunk"), "kind": pa.array([0] * len(index), pa.int32()), "first": rows.column("first"), "x": pa.array([score[i].tobytes() for i in index], pa.binary()), "c": pa.array([r.c[i].tobytes() for i in index], pa.binary())})
 
     return run
 
 
-def adapted(words: np.ndarray, lp: np.ndarray) -> float:
-    """log10 probability of the words of a text, where the k-th has the weight k / (k + ADAPT) on
-    its share among those before it, and the rest on the trie's probability."""
-    k = np.arange(len(words))
-    order = np.argsort(words, kind="stable")
-    ranked = words[order]
-    first = np.where(np.concatenate([[True], ranked[1:] != ranked[:-1]]), k, 0) if len(words) else k
-    earlier = np.empty(len(words))
-    earlier[order] = k - np.maximum.accumulate(first) if len(words) else 0
+def _earlier(key: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(how many earlier places have the same key, of how many the flag is set)."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(key) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    n, hits = np.empty(len(key)), np.zeros(len(key))
+    n[order] = np.arange(len(key)) - start
+    if flag is not None and len(key):
+        run = np.concatenate([[0], np.cumsum(flag[order])])
+        hits[order] = run[:-1] - run[start]
+    return n, hits
+
+
+def token_scores(doc: np.ndarray, before: np.ndarray, cur: np.ndarray, lp: np.ndarray, c: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """log10 probability of each token. lp and c are by word, then the end, then the start (whose c counts
+    training texts); pair counts each token's (word before, word)."""
+    k, _ = _earlier(doc)
+    context = c[before]
+    bits = np.where(context > 0, np.frexp(context.astype(np.float64))[1], 0)
+    n, hits = _earlier(doc * 64 + bits, pair > 0)
+    stay = np.where(context > 0, (hits + HITS) / (n + HITS + MISSES), 0.0)
+    p = (1 - stay) * 10.0 ** lp[cur] + stay * pair / np.maximum(context, 1)
     weight = k / (k + ADAPT)
-    return float(np.log10((1 - weight) * 10.0**lp + weight * earlier / np.maximum(k, 1)).sum())
+    same, _ = _earlier(doc * (len(c) + 1) + cur)
+    return np.log10((1 - weight) * p + weight * same / np.maximum(k, 1))
+
+
+def _sum_chunk(total: float, ends: int, end_lp: float, size: float, bits: int):
+    """Sums of the documents of one chunk; size: N + V + 1 of the base model."""
+
+    def run(chunks: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(chunks):
+            return _empty()
+        lengths = np.array(chunks.column("lengths")[0].as_py(), dtype=np.int64)
+        words = _words(chunks.column("words")[0].as_py())
+        doc, before, cur = _sequence(lengths, _numbers(chunks.column("ids")[0].as_py()), len(words))
+        lp, c = np.empty(len(words) + 2), np.empty(len(words) + 2, dtype=np.int64)
+        pairs = []
+        for kind, first, x, own in zip(*(back.column(n).to_pylist() for n in ("kind", "first", "x", "c"))):
+            if kind:
+                pairs.append((first, np.frombuffer(x, dtype="<u4")))
+            else:
+                part = np.frombuffer(x)
+                lp[first : first + len(part)] = part
+                c[first : first + len(part)] = np.frombuffer(own, dtype=np.int64)
+        lp[-2:], c[-2:] = (end_lp, 0.0), ends
+        _, place = np.unique(_pairs(words, before, cur, bits), return_inverse=True)
+        pair = np.concatenate([x for _, x in sorted(pairs, key=lambda p: p[0])]).astype(np.float64)[place]
+        per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
+        known = c[cur] > 0
+        score = per_doc(token_scores(doc, before, cur, lp, c, pair))
+        base = per_doc(np.log10((c[cur] + 1) / size))
+        n = len(lengths)
+        return pa.table({"doc_id": pa.array(chunks.column("doc_ids")[0].as_py(), pa.int64()), "held_out": pa.array(chunks.column("held")[0].as_py(), pa.bool_()), "n_tokens": pa.array(lengths + 1), "n_known": pa.array(per_doc(known).astype(np.int64)), "train_tokens": pa.array([int(total)] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
+    return run
 
-def _sum_block(total: float, end_count: int, end_lp: float, size: float):
-    """Sums of one block; size: N + V + 1 of the base model."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        c = words.column("c").to_numpy().astype(np.float64)
-        lp = words.column("lp").to_numpy()
-        base = np.log10((c + 1) / size)
-        rows = []
-        for text in docs.column("text"):
-            found = np.fromiter(map(at.__getitem__, text.as_py().encode().lower().split()), dtype=np.int64)
-            rows.append((len(found) + 1, int((c[found] > 0).sum()) + (end_count > 0), float(base[found].sum()) + math.log10((end_count + 1) / size), adapted(found, lp[found]) + end_lp - math.log10(1 + len(found) / ADAPT)))
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([int(total)] * len(rows), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
+def _empty() -> pa.Table:
+    return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
-    return run
+
+def _cuts(docs: DataFrame, n_docs: int, ranges: int) -> list[bytes]:
+    """Words at which ranges begin, from a bounded sample."""
+    if ranges < 2 or not n_docs:
+        return []
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0).limit(2 * SAMPLE_DOCS)
+    first = F.slice(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")), 1, SAMPLE_WORDS)
+    words = sorted({w.encode() for r in some.select(first.alias("w")).toLocalIterator() for w in r["w"] if w})
+    return sorted({words[len(words) * i // ranges] for i in range(1, ranges)}) if words else []
+
+
+def _border_escapes(borders: DataFrame) -> DataFrame:
+    """Escape statistics (kind, a, b, n) of nodes that more ranges than one may have, from their sums."""
+    symbol = F.col("b") >= 0
+    by = borders.groupBy("a").agg(F.sum(F.when(~symbol, F.col("n"))).alias("types"), F.sum(F.when(symbol, F.col("n"))).alias("all"), F.count_if(symbol & (F.col("n") == 1)).alias("ones"), F.count_if(symbol & (F.col("n") > 0)).alias("distinct")).where("types > 1 AND all > 1")
+    key = lambda one: F.concat_ws(",", F.least(F.length("a"), F.lit(12)).cast("string"), F.least(F.length(F.bin(F.col("all") - 1)), F.lit(24)).cast("string"), (F.col("distinct") == one).cast("int").cast("string")).cast("binary")
+    row = lambda one, what, n: F.struct(key(one).alias("a"), F.lit(what).alias("b"), n.alias("n"))
+    each = by.select(F.explode(F.array(row(2, 0, F.col("ones")), row(2, 1, F.col("ones")), row(1, 1, F.col("all") - F.col("ones")))).alias("r")).select("r.*").where("n > 0")
+    return each.groupBy(F.lit("e").alias("kind"), "a", "b").agg(F.sum("n").alias("n"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -341,34 +538,36 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     first = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(~F.col("held_out")), F.count(F.lit(1))).first()
     size, train_docs, n_docs = first[0] or 0, first[1], first[2]
-    # Blocks follow the order of doc_id, as files mostly do, so a scan task meets few of them; of ids
-    # that don't fall in order, or are null, only the number of rows sent is larger.
-    blocks = max(1, math.ceil(size / BLOCK_TEXT))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 and n_docs else None
-    by_id = F.size(F.filter(F.from_json(F.lit(str(sorted(set(cuts or [])))), "array<long>"), lambda x: x < F.col("doc_id")))
-    docs = docs.withColumn("block", F.coalesce(by_id, F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).cast("int"))
-    counted = docs.select("block", "held_out", "text").mapInArrow(_count_batches, "word binary, block int, c long")
-    n = partitions_for(spark, size, BLOCK_TEXT)
-    words = written(counted.repartitionByRange(n, "word").withColumn("range", F.spark_partition_id()), "words")
-    survey = words.select("range", "word", "c").groupBy("range").applyInArrow(_survey, "kind string, a binary, b string, n long")
-    rows = _bounded(written(survey.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "survey"))
+    chunks = written(docs.select("doc_id", "held_out", "text").mapInArrow(_chunk_batches, _CHUNKS), "ppm-chunks")
+    cuts = spark.sparkContext.broadcast(_cuts(docs, n_docs, partitions_for(spark, size, RANGE_TEXT)))
+    words = chunks.select("chunk", "words", "counts").mapInArrow(_word_batches(cuts), "range int, chunk long, first long, words binary, counts binary")
+    survey = written(words.groupBy("range").applyInArrow(_survey, _SURVEY), "ppm-survey")
+    sums = survey.where("kind <> 'x'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    # Contexts of two bytes and escapes, through Arrow: a row object takes the driver some twenty times the memory.
+    rows = sums.where("kind <> 'b'").toArrow()
+    rows = list(zip(*(rows.column(c).to_pylist() for c in ("kind", "a", "b", "n"))))
+    borders = sums.where("kind = 'b'").select("a", "b", "n")
+    more = _border_escapes(borders).toArrow()
+    rows += list(zip(*(more.column(c).to_pylist() for c in ("kind", "a", "b", "n"))))
     totals = {b: n for kind, _, b, n in rows if kind == "t"}
     model = _Model(rows, train_docs)
-    tokens = totals.get("tokens", 0) + train_docs
-    types = totals.get("types", 0) + (train_docs > 0)
-    scored = words.groupBy("range").applyInArrow(_score_range(spark.sparkContext.broadcast(model)), "block int, word binary, c long, lp double")
-    summed = _sum_block(tokens, train_docs, model.end(), float(tokens + types + 1))
-    return docs.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _bounded(survey: DataFrame) -> list[tuple]:
-    """The survey's rows, with short contexts of the greatest length of which there are few enough."""
-    for order in range(ORDER, -1, -1):
-        short = survey.where("kind = 'c'").groupBy("kind", F.expr(f"substring(a, {ORDER - order + 1}, {order})").alias("a"), "b").agg(F.sum("n").alias("n"))
-        if order == 0 or short.count() <= MOST_SHORT:
-            # Through Arrow: a row object takes the driver some twenty times the memory.
-            both = survey.where("kind <> 'c'").unionByName(short).toArrow()
-            return list(zip(*(both.column(c).to_pylist() for c in ("kind", "a", "b", "n"))))
+    tokens, types = totals.get(1, 0) + train_docs, totals.get(0, 0) + (train_docs > 0)
+    borders = borders.where("b >= 0")
+    root = borders.where("a = X''").select("b", "n").toArrow()  # 257 rows at most
+    model.set_borders([(b"", b, n) for b, n in zip(root.column("b").to_pylist(), root.column("n").to_pylist())])
+    end_lp = model.end()
+    edges = survey.where("kind = 'x'").select("range", "a").join(borders, "a")
+    scored = words.groupBy("range").cogroup(edges.groupBy("range")).applyInArrow(_score_range(spark.sparkContext.broadcast(model)), _BACK)
+    bits = min(60, 18 + max(size, 1).bit_length())
+    ranges = partitions_for(spark, size, PAIR_TEXT)
+    pairs = chunks.select("chunk", "held", "lengths", "ids", "words").mapInArrow(_pair_batches(bits, ranges), "range int, chunk long, pairs binary, counts binary")
+    counted = pairs.groupBy("range").applyInArrow(_pair_counts, _BACK)
+    back = scored.unionByName(counted)
+    summed = _sum_chunk(tokens, train_docs, end_lp, float(tokens + types + 1), bits)
+    return chunks.drop("counts").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+_BACK = "chunk long, kind int, first long, x binary, c binary"
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

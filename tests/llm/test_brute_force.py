@@ -68,18 +68,120 @@ def test_ppm_base_and_sum(spark, docs):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score < 0
 
 
+class PlainPpm:
+    """The model of ppm.py as dictionaries of prefixes, word by word."""
+
+    def __init__(self, texts):
+        self.c = collections.Counter(w for t in texts for w in words(t))
+        self.texts = len(texts)
+        self.pairs = collections.Counter(p for t in texts for p in zip([b"^", *words(t)], [*words(t), b"$"]))
+        self.nodes, self.below = collections.defaultdict(collections.Counter), collections.Counter()
+        self.short = [collections.defaultdict(collections.Counter) for _ in range(3)]
+        for w, n in self.c.items():
+            symbols = [*w, ppm.CLOSE]
+            for d in range(min(len(symbols), ppm.DEPTH)):
+                self.nodes[w[:d]][symbols[d]] += n
+                self.below[w[:d]] += 1
+            for d, x in enumerate(symbols):
+                last = (ppm.START + w[:d])[-2:]
+                for order in range(3):
+                    self.short[order][last[2 - order :]][x] += 1
+        new, every = collections.Counter(), collections.Counter()
+        for prefix, found in self.nodes.items():
+            n, ones = sum(found.values()), sum(c == 1 for c in found.values())
+            if self.below[prefix] > 1 and n > 1:
+                at = (min(len(prefix), 12), min((n - 1).bit_length(), 24))
+                new[(*at, len(found) == 2)] += ones
+                every[(*at, len(found) == 2)] += ones
+                every[(*at, len(found) == 1)] += n - ones
+        self.escape_at = {k: (new[k] + 0.5) / (v + 1.0) for k, v in every.items() if v}
+        if texts:
+            self.nodes[b""][ppm.END] = len(texts)
+
+    def low(self, last, symbol, out, at_start=False):
+        out, p = set(out), 1.0
+        for order in (2, 1, 0):
+            left = {s: c for s, c in self.short[order].get(last[2 - order :], {}).items() if s not in out}
+            if left:
+                if symbol in left:
+                    return p * (2 * left[symbol] - 1) / (2 * sum(left.values()))
+                p *= len(left) / (2 * sum(left.values()))
+                out |= left.keys()
+        return p / ((258 if at_start else 257) - len(out))
+
+    def word(self, w):
+        p, short = 1.0, False
+        for d, x in enumerate(w if w == [ppm.END] else [*w, ppm.CLOSE]):
+            prefix = b"" if x == ppm.END else w[:d]
+            found = self.nodes.get(prefix) if d < ppm.DEPTH and not short else None
+            last = (ppm.START + prefix)[-2:]
+            if not found:
+                p *= self.low(last, x, (), d == 0)
+                short = True
+                continue
+            n = sum(found.values())
+            e = self.escape_at.get((min(d, 12), min(n.bit_length(), 24), len(found) == 1), len(found) / (2 * n))
+            if x in found:
+                p *= (1 - e) * found[x] / n
+            else:
+                p *= e * self.low(last, x, found, d == 0)
+                short = True
+        return p
+
+    def score(self, text):
+        total, before, seen, tries = 0.0, b"^", collections.Counter(), collections.defaultdict(lambda: [0, 0])
+        for k, w in enumerate([*words(text), b"$"]):
+            end = k == len(words(text))
+            p, n = self.word([ppm.END] if end else w), self.texts if before == b"^" else self.c[before]
+            if n:
+                t, hits = tries[n.bit_length()]
+                stay = (hits + ppm.HITS) / (t + ppm.HITS + ppm.MISSES)
+                pair = self.pairs[before, w]
+                p = (1 - stay) * p + stay * pair / n
+                tries[n.bit_length()] = [t + 1, hits + (pair > 0)]
+            own = k / (k + ppm.ADAPT)
+            total += math.log10((1 - own) * p + own * (0 if end else seen[w]) / max(k, 1))
+            seen[w] += 1
+            before = w
+        return total
+
+
+def test_ppm_equals_plain_version(spark, docs, monkeypatch):
+    got = {r.doc_id: r.score for r in run(spark, "op2_ppm").collect()}
+    plain = PlainPpm([t for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2])
+    assert all(math.isclose(got[d], plain.score(t), rel_tol=1e-9) for d, t in docs)
+
+
+def test_ppm_does_not_depend_on_chunks_and_ranges(spark, docs, monkeypatch):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    one = {r.doc_id: r.score for r in ppm.score_documents(df).collect()}
+    for name, value in (("CHUNK", 20_000), ("RANGE_TEXT", 20_000), ("PAIR_TEXT", 20_000), ("SAMPLE_WORDS", 20)):
+        monkeypatch.setattr(ppm, name, value)
+    many = {r.doc_id: r.score for r in ppm.score_documents(df).collect()}
+    assert one.keys() == many.keys() and all(math.isclose(one[d], many[d], rel_tol=1e-9) for d in one)
+
+
 def test_ppm_is_a_distribution():
-    """Over an alphabet of two letters, the probabilities of all first symbols sum to one."""
-    import pyarrow as pa
-
-    t = pa.table({"word": pa.array([b"ab", b"a", b"b"], pa.binary()), "c": pa.array([3, 1, 2], pa.int64())})
-    m = ppm._Model([tuple(r.values()) for r in ppm._survey(t).to_pylist()], 4)
-    for prefix, start in ((b"", True), (b"a", False)):
-        counts = m.node(prefix, {ord("b"): 3, ppm.CLOSE: 1}) if prefix else m.node(b"", {})
-        n, esc = sum(counts.values()), None
-        esc = m.escape(n, len(counts), len(prefix))
-        low = sum(10 ** m.low((ppm.START + prefix)[-ppm.ORDER :], s, frozenset(counts), start) for s in range(258 if start else 257) if s not in counts)
-        assert math.isclose(1 - esc + esc * low, 1.0, rel_tol=1e-9)
+    """Over words of up to two letters of two, all words and the end have a total of one less what longer words have."""
+    plain = PlainPpm(["ab ab a", "b ab"])
+    counts = plain.nodes[b""]
+    e = plain.escape_at.get((0, sum(counts.values()).bit_length(), False), len(counts) / (2 * sum(counts.values())))
+    first = sum((1 - e) * counts[x] / sum(counts.values()) if x in counts else e * plain.low(ppm.START, x, counts, True) for x in range(258))
+    assert math.isclose(first, 1.0, rel_tol=1e-9)
+    assert math.isclose(sum(plain.pairs[b"ab", w] for w in (b"ab", b"a", b"b", b"$")), plain.c[b"ab"])
+
+
+def test_ppm_knows_what_it_has_read(spark):
+    """A text that training has as a whole scores above one of the same words in another order."""
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(vocabulary, 60)) for _ in range(40)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    shuffled = " ".join(rng.permutation(texts[0].split()))
+    df = spark.createDataFrame([*zip(ids, texts), (held[0], texts[0]), (held[1], shuffled)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score_documents(df).collect()}
+    assert got[held[0]] > got[held[1]] + 10
 
 
 def test_token_files(spark, docs):
