@@ -9,9 +9,10 @@ and nest: no class lies across the gap between two tokens of another. The class
 is the root; its tokens cut the page into slots, and texts that are tokens of valid classes are
 template. Tags of all hosts together give a template for hosts of few pages.
 
-Of the slots' texts that are not template, those are extracted that lie in an article (or main) element, if there is one, and in no element
+Of the slots' texts that are not template, those are extracted that lie in an article (or main) element, if there is one, else in the
+element that holds most of the text of the host's pages, and in no element
 that by its name, role or class is a menu, header, footer, sidebar, notice, advert, form or comment
-area; scripts, styles and other markup hold no text. Blocks are the texts between block-level tags:
+area (marks of html and body, and those such as has-sidebar, don't count; where marks leave no text, names alone decide); scripts, styles and other markup hold no text. Blocks are the texts between block-level tags:
 character references decoded, white space turned to single spaces, trimmed, one to a line.
 
 Cases: a page whose every text is template (most pages of its host are copies of it) keeps the texts that
@@ -41,11 +42,14 @@ MOST = 0.5
 ALL = 0.95
 #: Templates (tokens) up to which they are broadcast, about 30 bytes each; beyond, a join.
 FEW_TOKENS = 400_000
+#: Elements on top of each other of which the path is told apart, and searched for one that a tag closes.
+MOST_DEEP = 256
+#: Of pages without an article, the deepest element with this share of a host's text (outside of menus and
+#: such) holds the main text.
+HOLDS = 0.8
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(noscript|template|svg|iframe|object|math|textarea|title|select|button)\b[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z",
@@ -58,6 +62,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose start tag ends one of these.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements that hold a main text with its heading.
+HOLDERS = frozenset("body center details div html section table tbody td tr".split())
+#: Elements without text of the page; left open, the first two go on to the end, the others hold nothing.
+RAW = frozenset("script style".split())
+SKIPPED = frozenset("noscript template svg iframe object math textarea title select button".split())
+_END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RAW, *SKIPPED)}
 OUTSIDE = frozenset("aside dialog fieldset footer form head menu nav".split())
 #: Words of a class, id or role that mark an element as no main text.
 MARKS = frozenset(
@@ -67,14 +77,18 @@ MARKS = frozenset(
 )
 #: These count only outside an article.
 OUTER_MARKS = frozenset("header masthead topbar".split())
+#: Names that begin so tell of other elements, as has-sidebar does.
+_ABOUT = re.compile(r"(?:has|with|without|no|is|not)[_\-]", re.I)
 _SPLIT = re.compile(r"[\s_\-:/]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("text", "token", "article", "outside", "at")
+    """A text between block-level tags. outside: its element is no main text by a mark (1) or by its name (2)."""
 
-    def __init__(self, text: str, token: int, article: bool, outside: bool, at: int):
-        self.text, self.token, self.article, self.outside, self.at = text, token, article, outside, at
+    __slots__ = ("text", "token", "article", "outside", "at", "within")
+
+    def __init__(self, text: str, token: int, article: bool, outside: int, at: int, within: list[str]):
+        self.text, self.token, self.article, self.outside, self.at, self.within = text, token, article, outside, at, within
 
 
 def _hash(*parts: str) -> int:
@@ -85,40 +99,48 @@ def read(page: str) -> tuple[list[int], list[Block]]:
     """(tokens in page order, blocks of text). A block's `at` is its place among the tokens."""
     tokens: list[int] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, article, outside
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # name, path, article, outside
     parts: list[str] = []
-    at = 0
+    at, left_open = 0, set()
 
     def flush():
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
             _, path, article, outside = stack[-1]
-            blocks.append(Block(text, _hash(path, text), article, outside, len(tokens)))
+            blocks.append(Block(text, _hash(path, text), article, outside, len(tokens), [] if article else [x[1] for x in stack[:MOST_DEEP] if x[0] in HOLDERS]))
             tokens.append(blocks[-1].token)
 
-    for m in _MARK.finditer(page):
+    while m := _MARK.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        name = m[4] or m[7]
+        name = m[2] or m[5]
         if not name:
-            if m[1] or m[2]:
-                parts.append(" ")
             continue
         name = name.lower()
+        closes = m[1] or m[4]
+        if name in _END_OF and not closes and name not in left_open:
+            end = _END_OF[name].search(page, at)
+            if end or name in RAW:
+                parts.append(" ")
+                at = end.end() if end else len(page)
+                continue
+            left_open.add(name)  # none is closed after this one, so none need be looked for again
         block = name in BLOCKS
         if name == "br":
             parts.append(" ")
         elif block:
             flush()
-        if m[3] or m[6]:
-            for i in range(len(stack) - 1, 0, -1):
+        if closes:
+            for i in range(len(stack) - 1, max(0, len(stack) - MOST_DEEP), -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
             continue
-        for i in range(len(stack) - 1, 0, -1) if name in CLOSES else ():
+        if name in left_open:
+            continue
+        for i in range(len(stack) - 1, max(0, len(stack) - MOST_DEEP), -1) if name in CLOSES else ():
             # One that the last such element was not closed for stands beside it, not in it.
             if stack[i][0] in CLOSES[name]:
                 del stack[i:]
@@ -127,18 +149,24 @@ def read(page: str) -> tuple[list[int], list[Block]]:
                 break
         _, path, article, outside = stack[-1]
         marks = ""
-        attributes = m[5] or m[8]
+        attributes = m[3] or m[6]
         if attributes and "=" in attributes:
             found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)}
             marks = found.get("class", "")
-            words = {w.lower() for v in found.values() for w in _SPLIT.split(v)}
-            outside = outside or not words.isdisjoint(MARKS) or not article and not words.isdisjoint(OUTER_MARKS)
+            if name not in ("html", "body"):
+                words = {w.lower() for v in found.values() for one in v.split() if not _ABOUT.match(one) for w in _SPLIT.split(one)}
+                if not words.isdisjoint(MARKS) or not article and not words.isdisjoint(OUTER_MARKS):
+                    outside = outside or 1
         if name in VOID:
             tokens.append(_hash(path, name))
             continue
         article = article or name in ("article", "main")
-        outside = outside or name in OUTSIDE or name == "header" and not article
-        path = f"{path}/{name}.{marks}" if marks else f"{path}/{name}"
+        if name in OUTSIDE or name == "header" and not article:
+            outside = 2
+        if len(stack) > MOST_DEEP:  # elements left open by the thousand: they stand beside each other
+            path = stack[MOST_DEEP][1]
+        else:
+            path = f"{path}/{name}.{marks}" if marks else f"{path}/{name}"
         stack.append((name, path, article, outside))
         tokens.append(_hash(path))
     if at < len(page):
@@ -157,7 +185,7 @@ _SEEN = "host long, token long, is_text boolean, pages long, times long, one lon
 
 def _learn_batches(batches):
     for batch in batches:
-        seen: dict[tuple[int, int, bool], list] = {}
+        seen: dict[tuple[int, int, bool | None], list] = {}
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens, blocks = read(page)
             texts = {b.token for b in blocks}
@@ -165,6 +193,17 @@ def _learn_batches(batches):
             for i, t in enumerate(tokens):
                 first.setdefault(t, i)
             own = xxhash.xxh64_intdigest(page)
+            if not any(b.article for b in blocks):
+                held: Counter = Counter()
+                for b in blocks:
+                    if not b.outside:
+                        for depth, path in enumerate(dict.fromkeys(b.within)):
+                            held[path, depth] += len(b.text)
+                for (path, depth), chars in held.items():
+                    x = seen.setdefault((_hash("host", host_of(url)), _hash("in", path), None), [0, 0, 0, 0, 0.0])
+                    x[0] += 1
+                    x[1] += chars
+                    x[4] += depth
             for group in (_hash("host", host_of(url)), 0):
                 for t, n in (*Counter(tokens).items(), (0, 1)):
                     if t in texts and not group:
@@ -184,21 +223,25 @@ def _learn_batches(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host (0: all hosts), root (tokens of the root class in order), classes (of the others), texts
-    (tokens of text in classes)."""
+    """host (0: all hosts), classes (tokens in order, the root class first), texts (tokens of text in
+    classes), container (the element with most of the text, where pages have no article)."""
     workers_can_import(pages.sparkSession)
     seen = pages.select(F.col("url").cast("string"), whole("html").alias("html")).mapInArrow(_learn_batches, _SEEN)
     sums = seen.groupBy("host", "token", "is_text").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "one", "two", "place")]).where(f"pages >= {PAGES}")
     sums = written(sums, "template-tokens")
-    hosts = sums.where("token = 0").select("host", F.col("pages").alias("of"))
-    kept = sums.where("token <> 0").join(hosts, "host").where(F.col("pages") >= MOST * F.col("of"))
+    hosts = sums.where("token = 0 AND is_text IS NOT NULL").select("host", F.col("pages").alias("of"))
+    held = sums.where("is_text IS NULL")
+    most = held.groupBy("host").agg(F.max("times").alias("all"))
+    containers = held.join(most, "host").where(F.col("times") >= HOLDS * F.col("all")).groupBy("host").agg(F.max_by("token", F.struct(F.col("place") / F.col("pages"), "times", "token")).alias("container"))
+    kept = sums.where("token <> 0 AND is_text IS NOT NULL").join(hosts, "host").where(F.col("pages") >= MOST * F.col("of"))
     text_fits = ~F.col("is_text") | ((F.col("of") >= TEXT_PAGES) & (F.col("pages") >= ALL * F.col("of")) & (F.col("times") == F.col("pages")))
     classes = kept.where(text_fits).groupBy("host", "of", "pages", "times", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "is_text"))).alias("tokens"))
     valid = classes.where("n >= 2")
     rank = F.struct((F.col("pages") == F.col("times")).alias("once"), "pages", "n", "one")
     by_host = valid.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), F.col("tokens"))), asc=False).alias("all"))
     tokens = lambda x: F.transform(x["tokens"], lambda t: t["token"])
-    return by_host.select("host", F.transform("all", tokens).alias("classes"), F.transform(F.filter(F.flatten(F.transform("all", lambda x: x["tokens"])), lambda t: t["is_text"]), lambda t: t["token"]).alias("texts"))
+    found = by_host.select("host", F.transform("all", tokens).alias("classes"), F.transform(F.filter(F.flatten(F.transform("all", lambda x: x["tokens"])), lambda t: t["is_text"]), lambda t: t["token"]).alias("texts"))
+    return found.join(containers, "host", "full_outer")
 
 
 def in_order(order: list[int], places: dict[int, list[int]]) -> bool:
@@ -210,8 +253,9 @@ def in_order(order: list[int], places: dict[int, list[int]]) -> bool:
     return all(a < b for a, b in zip(flat, flat[1:]))
 
 
-def extract(page: str, classes: list[list[int]], texts: list[int]) -> str:
-    """The main text, given the template's classes (the root first) and its tokens of text."""
+def extract(page: str, classes: list[list[int]], texts: list[int], container: int | None = None) -> str:
+    """The main text, given the template's classes (the root first), its tokens of text, and the element that
+    holds the main text where there is no article."""
     tokens, blocks = read(page)
     wanted = {t for c in classes for t in c}
     places: dict[int, list[int]] = {}
@@ -233,18 +277,22 @@ def extract(page: str, classes: list[list[int]], texts: list[int]) -> str:
         valid.append(order)
     fixed = {t for order in valid for t in order} & set(texts)
     # Slots are the gaps between the root's tokens that hold text the template doesn't have; what the
-    # template has is dropped in them too. Tag rules choose among the texts of slots.
-    able = [b for b in blocks if not b.outside]
+    # template has is dropped in them too. Tag rules, then the container, choose among the texts of slots.
+    able = [b for b in blocks if not b.outside] or [b for b in blocks if b.outside < 2]  # marks that leave nothing tell nothing
     free = [b for b in able if b.token not in fixed]
-    chosen = free or able  # all of it is template: a page that most of its host's pages are copies of
-    inside = any(b.article for b in chosen)
-    out = [b.text for b in chosen if b.article or not inside]
-    return "\n".join(out)
+    chosen = free or able  # all of it is template: a page that most of its host's pages are copies of it
+    if any(b.article for b in chosen):
+        chosen = [b for b in chosen if b.article]
+    elif container is not None:
+        known: dict[str, int] = {}
+        place = lambda p: known[p] if p in known else known.setdefault(p, _hash("in", p))
+        chosen = [b for b in chosen if any(place(p) == container for p in b.within)] or chosen
+    return "\n".join(b.text for b in chosen)
 
 
 def _extract_batches(batches):
     for batch in batches:
-        rows = [extract(page, classes or general or [], texts or []) for page, classes, texts, general in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+        rows = [extract(page, classes or general or [], texts or [], container) for page, classes, texts, container, general in zip(*(c.to_pylist() for c in batch.columns[2:]))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -259,7 +307,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     keyed = pages.mapInArrow(_host_batches, "page_id long, url string, html string, host long")
     joined = keyed.join(F.broadcast(own) if size <= FEW_TOKENS else own, "host", "left")
     pooled = F.from_json(F.lit(str([list(x) for x in general[0]["classes"]] if general else [])), "array<array<bigint>>")
-    return joined.select("page_id", "url", "html", "classes", "texts", pooled.alias("general")).mapInArrow(_extract_batches, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "classes", "texts", "container", pooled.alias("general")).mapInArrow(_extract_batches, "page_id long, url string, text string")
 
 
 def _host_batches(batches):
