@@ -16,8 +16,8 @@ that share too few shingles with all open documents of other components can't ha
 the rest gets a further hub. What is open after that is gathered into clusters (documents that buckets
 chain together), and within a cluster the documents outside of its largest component are compared with all, in
 blocks of bounded size whose tasks return links only. So large groups of copies cost rows in proportion to their size, and no
-link between different components is left out. Components come from large-star and small-star
-rounds over written tables; no links, sets or components reach the driver.
+link between different components is left out. Components come from one task where there are few edges, from large-star and small-star
+rounds over written tables beyond; no links, sets or components reach the driver.
 
 Texts move only for documents that share a bucket: once with the ids of a pair, and once to the hub's group,
 which is salted. Which documents these are is broadcast where there are few (FEW ids), joined beyond.
@@ -50,6 +50,8 @@ HUBS = 1
 FEW = 1_000_000
 #: Documents and bytes of text in one side of a block.
 BLOCK_DOCS, BLOCK_TEXT = 2048, 8e6
+#: Edges up to which one task joins components (16 bytes each); beyond, rounds over tables. Both give the same.
+FEW_EDGES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([int.from_bytes(xxhash.xxh128_digest(f"a{i}")[:8], "little") | 1 for i in range(R)], dtype=np.uint64)
 _B = np.array([int.from_bytes(xxhash.xxh128_digest(f"b{i}")[:8], "little") for i in range(R)], dtype=np.uint64)
@@ -304,13 +306,36 @@ def _can_link(left: DataFrame, info: DataFrame, texts: DataFrame, k: int, percen
     return out
 
 
+def _joined(t: pa.Table) -> pa.Table:
+    """node, component of edges (u, v), by union to the lesser root."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for a, b in zip(t.column("u").to_pylist(), t.column("v").to_pylist()):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([root(x) for x in nodes], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it can reach), of nodes that links(a, b) name, as a written table.
 
-    Alternates large-star and small-star until the edges stay the same, which then lead from every node
-    to its component's least.
+    Few edges are joined in one task. Else large-star and small-star alternate until the edges stay the same,
+    which then lead from every node to its component's least.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.count() <= FEW_EDGES:
+        out = written(edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_joined, "node long, component long"), "components")
+        drop_written(edges)
+        return out
     before = -1
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -250,6 +250,52 @@ def test_template_decides_within_articles(spark):
     assert all(got[99 + i] == "Title 0\nRead by our editors\nStory number 0 of many" for i in range(12))
 
 
+def test_template_finds_the_main_element_without_articles(spark):
+    def page(i):
+        body = "".join(f"<p>Sentence {j} of story {i} tells of the day {i * j}.</p>" for j in range(6))
+        return f"<html><body class='has-sidebar'><div class='top'><p>Site {i % 3}</p></div><div class='with-menu story'><h1>Title {i}</h1>{body}</div><div class='boxes'><p>Box {i}</p></div></body></html>"
+
+    out = template.main_texts(spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(12)], "page_id long, url string, html string"))
+    for r in out.collect():
+        assert r.text.split("\n") == [f"Title {r.page_id}", *(f"Sentence {j} of story {r.page_id} tells of the day {r.page_id * j}." for j in range(6))]
+
+
+def test_template_marks_that_leave_nothing_do_not_count():
+    text = lambda page: template.extract(page, [], [])
+    assert text("<body class='has-sidebar'><article><p>One</p></article></body>") == "One"
+    assert text("<div class='search-results-guide'><p>How to search</p></div>") == "How to search"
+    assert text("<nav><p>Menu</p></nav>") == ""
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "title", "div", "p", "a"])
+def test_template_reads_unclosed_tags_in_linear_time(tag):
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        tokens, blocks = template.read(f"<{tag}>x" * n + "<article>end</article>")
+        took.append(time.perf_counter() - began)
+        assert blocks[-1].text == "end"
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_classes_of_a_host_equal_a_plain_deduction(spark):
+    """Tokens with equal occurrence vectors, in half of the pages or more, two or more to a class."""
+    page = lambda i: "<body><div class='a'><p>Same</p></div>" + "<ul><li>x</li></ul>" * (i % 3) + f"<p>Own {i}</p></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(10)]
+    found = template.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).where("host <> 0").first()
+    counts = [collections.Counter(template.read(p)[0]) for _, _, p in rows]
+    texts = {b.token for _, _, p in rows for b in template.read(p)[1]}
+    by_vector = collections.defaultdict(set)
+    for t in set().union(*counts):
+        v = tuple(c[t] for c in counts)
+        n = sum(x > 0 for x in v)
+        if n >= template.PAGES and n >= 5 and (t not in texts or n >= 9.5 and sum(v) == n):
+            by_vector[v].add(t)
+    assert sorted(map(sorted, found.classes)) == sorted(sorted(x) for x in by_vector.values() if len(x) > 1)
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for d, t in docs:
@@ -288,6 +334,56 @@ def test_near_duplicate_families(spark):
     assert all(got[i] == 0 for i in range(40)) and all(got[100 + i] == 100 + i for i in range(40))
 
 
+def test_components_are_the_same_in_rounds(spark, monkeypatch):
+    from duelframe.llm import near_dedup
+
+    rng = np.random.default_rng(4)
+    links = [(i, i + 1) for i in range(30)] + [tuple(map(int, rng.integers(100, 160, 2))) for _ in range(50)] + [(7, 7), (200, 201)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one = sorted(map(tuple, near_dedup.components(df).collect()))
+    monkeypatch.setattr(near_dedup, "FEW_EDGES", 0)
+    assert one == sorted(map(tuple, near_dedup.components(df).collect())) and (30, 0) in one and (201, 200) in one
+    assert near_dedup.components(df.limit(0)).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark, monkeypatch):
+    """2,000 edits of one text, of which some are linked to no other; in blocks of few documents."""
+    from duelframe.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 200)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        doc = list(base)
+        for j in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            doc[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(doc)))
+    sets = [near_dedup.shingles(t, 4) for _, t in rows]
+    parent = list(range(2000))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(2000):
+        for j in np.flatnonzero(near_dedup.similar(sets[i], sets[:i], 80)).tolist():
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert [got[i] for i in range(2000)] == [root(i) for i in range(2000)]
+    assert len({*got.values()}) > 1
+
+
+def test_drop_near_keeps_columns_of_any_type(spark):
+    from duelframe.llm import near_dedup
+
+    df = spark.sql("SELECT * FROM VALUES (1, 'a b c d e f', map('k', 1), 'x'), (1, 'a b c d e f', map('k', 1), 'x'), (2, 'a b c d e f', map('k', 2), 'y'), (NULL, 'a b c d e f', map('k', 3), 'z'), (3, NULL, NULL, NULL) AS t(doc_id, text, m, a)")
+    out = near_dedup.drop_near(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.a) for r in out.collect()) == [(0, "z"), (1, "x"), (3, None)]
+
+
 def test_texts_that_share_an_id_keep_their_links(spark):
     """A small text under the id of a large one is not measured by the large one's size."""
     from duelframe.llm import near_dedup
