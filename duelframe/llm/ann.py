@@ -15,9 +15,10 @@ vector> comes from the bits alone; its error is within BOUND standard deviations
 whose upper bound reaches the floor and the K-th largest lower bound are reranked by exact inner products of the
 original vectors in double precision. The best of each block are merged by query.
 
-Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-those of another dimension than most; equal scores are ordered by vec_id; fewer candidates than K
-give fewer rows; repeated rows of one vec_id count once; an empty table gives no rows.
+Cases: vectors that are null, zero, or hold null or non-finite components take no part; those of each dimension are
+searched among themselves; equal scores are ordered by vec_id; fewer candidates than K
+give fewer rows; rows that share a vec_id are one candidate with the largest of their scores, and as a query the
+least of their vectors counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,19 +152,27 @@ def _search_block(shared, k: int):
         packed = np.frombuffer(b"".join(vectors.column("code").to_pylist()), dtype=np.uint8).reshape(len(x), -1)
         norm, fix = vectors.column("norm").to_numpy(), vectors.column("fix").to_numpy()
         out_q, out_v, out_s = [], [], []
+        by_id = np.argsort(vid, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], vid[by_id][1:] != vid[by_id][:-1]]))
+        repeated = len(first) < len(vid)
         for lo in range(0, len(q), 128):
             part, ids = q[lo : lo + 128], qid[lo : lo + 128]
             estimate, error = estimates(part, centres[key[0].as_py()], turn, packed, norm, fix)
             own = ids[:, None] == vid[None, :]
             low = np.where(own, -np.inf, estimate - error)
-            at_least = np.partition(low, max(len(x) - k, 0), axis=1)[:, max(len(x) - k, 0)]
+            if repeated:  # several rows of one vec_id must not raise the floor as if they were several
+                low = np.stack([np.maximum.reduceat(r[by_id], first) for r in low])
+            at_least = np.partition(low, max(low.shape[1] - k, 0), axis=1)[:, max(low.shape[1] - k, 0)]
             at_least = np.maximum(at_least, floors[lo : lo + 128] - 1e-9 * np.abs(np.nan_to_num(floors[lo : lo + 128], neginf=0.0)))
             chosen = ~own & (estimate + error >= at_least[:, None])
             for i in range(len(part)):
                 c = np.flatnonzero(chosen[i])
                 # Each row is summed by itself, so that equal vectors have equal scores everywhere.
                 s = (x[c] * part[i]).sum(axis=1)
-                best = np.lexsort((vid[c], -s))[:k]
+                best = np.lexsort((vid[c], -s))
+                if repeated:  # the best of each vec_id
+                    best = best[np.sort(np.unique(vid[c][best], return_index=True)[1])]
+                best = best[:k]
                 out_q.append(np.full(len(best), ids[i]))
                 out_v.append(vid[c][best])
                 out_s.append(s[best])
@@ -173,31 +182,40 @@ def _search_block(shared, k: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vectors(vec_id, embedding) that take part: one row for each vec_id, of the most frequent dimension."""
+    """vectors(vec_id, embedding) that take part; single precision stays single, since it holds the same values."""
     e = F.col("embedding")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    v = vectors.select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & fine)
-    return v
+    return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & fine).select(F.col("vec_id").cast("long"), e.cast(kind).alias("embedding"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each of queries(vec_id, embedding) among
-    vectors(vec_id, embedding), without itself."""
-    spark = vectors.sparkSession
-    workers_can_import(spark)
+    vectors(vec_id, embedding), without itself. Each dimension of the queries is searched on its own."""
     v, q = usable(vectors), usable(queries)
     size = F.size("embedding")
-    most = v.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    d, n = (most["d"], most["n"]) if most else (1, 0)
-    v, q = v.where(size == d), q.where(size == d)
-    if vectors.select("vec_id").count() != vectors.select("vec_id").distinct().count():
-        v, q = v.dropDuplicates(["vec_id"]), q.dropDuplicates(["vec_id"])
+    several = q.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not several.isEmpty():
+        q = q.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    found = [_search_dimension(v.where(size == r["d"]), q.where(size == r["d"]), r["d"], k, probes) for r in q.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()]  # a row for each dimension
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for x in found[1:]:
+        found[0] = found[0].unionByName(x)
+    return found[0]
+
+
+def _search_dimension(v: DataFrame, q: DataFrame, d: int, k: int, probes: int) -> DataFrame:
+    spark = v.sparkSession
+    workers_can_import(spark)
+    n, kind = v.count(), dict(v.dtypes)["embedding"]
     lists = max(1, min(MOST_LISTS, n // LIST_SIZE))
-    sample = v.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").toArrow() if lists > 1 else None  # of fixed size
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow() if lists > 1 else None  # of fixed size
     centres = kmeans(_matrix(sample.column(0), d), lists) if sample is not None and len(sample) else np.zeros((1, d))
+    lists = len(centres)
     shared = spark.sparkContext.broadcast((centres, rotation(d)))
-    index = written(v.select("vec_id", "embedding").mapInArrow(_assign_batches(shared), "vec_id long, embedding array<double>, list int, code binary, norm double, fix double"), "ann-index")
-    asked = "query_id long, query array<double>, floor double, list int"
+    index = written(v.select("vec_id", "embedding").mapInArrow(_assign_batches(shared), f"vec_id long, embedding {kind}, list int, code binary, norm double, fix double"), "ann-index")
+    asked = f"query_id long, query {kind}, floor double, list int"
     probed = written(q.select("vec_id", "embedding").mapInArrow(_probe_batches(shared, probes), asked), "ann-probes")
     found = _meet(index, probed, shared, k)
     if lists > probes:
@@ -213,6 +231,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
+    # A vec_id of several rows may come more than once; of k rows of each block, all but its best are spare.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,12 +2,13 @@
 
 Layout: rows in ascending doc_id order, over all files in the order of their names; `ids` is
 dictionary-encoded (a vocabulary of 50,000 ids fits one dictionary page, so an id costs 16 bits),
-the integer columns doc_id, n_tokens and start_in_file are delta-encoded (data page v2), row
+the integer columns doc_id and n_tokens are delta-encoded (data page v2), row
 groups and pages have a set size, and the writer adds column and offset indexes. A reader of
 metadata never touches the ids; a reader of some documents skips row groups and pages by doc_id.
 
 Cases: null text is empty; an empty document holds the end id alone; null doc_ids sort first;
-rows that share a doc_id stay separate rows, in an order fixed by their text; an empty table gives
+rows that share a doc_id stay separate rows, shorter texts first (and may go to several files, as many as
+they fill); the string of a special token becomes that token's id, as in the library; texts and words of any length are taken whole; an empty table gives
 an empty file set; other columns of the input are ignored.
 """
 
@@ -56,7 +57,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        #: Texts that hold one of these are encoded whole.
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         nl = self.lib.encode("\n", add_special_tokens=False).ids
         #: A lone line feed is one id, and it never merges with what stands beside it.
@@ -97,7 +99,8 @@ class _Encoder:
         known.update(zip(other, self.ids([], [x if x[:1] == "\n" else " " + x for x in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(x) for x in texts]
+        whole_ = {i for i, x in enumerate(texts) if any(t in x for t in self.special)}
+        split = [[x] if i in whole_ else self.chunks(x) for i, x in enumerate(texts)]
         firsts = [x.pop(0) for x in split]
         chunks = list(chain.from_iterable(split))
         if len(self.known) > REMEMBERED:
@@ -155,8 +158,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(partitions_for(spark, total, TEXT_PER_FILE), -(-total // 1_000_000)))
-    dealt = docs.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    encoded = dealt.mapInArrow(_encode_batches(tokenizer or default_tokenizer(), end_id), "doc_id long, n_tokens long, ids array<int>")
+    # Where many rows share a doc_id, their length and the part of the input that they come from cut them.
+    docs = docs.withColumns({"size": F.octet_length("text"), "part": F.spark_partition_id()})
+    dealt = docs.repartitionByRange(int(n), "doc_id", "size", "part").sortWithinPartitions("doc_id", "size", "part", "text")
+    encoded = dealt.select("doc_id", "text").mapInArrow(_encode_batches(tokenizer or default_tokenizer(), end_id), "doc_id long, n_tokens long, ids array<int>")
     (
         encoded.write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
@@ -192,7 +197,8 @@ def _metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def _starts(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     files = metadata.groupBy("_file").agg(F.sum("n_tokens").alias("_all"))
-    before = files.select("_file", F.coalesce(F.sum("_all").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")  # names alone misplace the hundred thousandth
+    before = files.select("_file", F.coalesce(F.sum("_all").over(Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(before, "_file").withColumn("start", F.col("_before") + F.col("_inside")).drop("_file", "_row", "_before", "_inside")
 

@@ -190,7 +190,6 @@ def test_token_files(spark, docs):
     from duelframe.llm.token_files import default_tokenizer
 
     lib = Tokenizer.from_file(default_tokenizer())
-    lib.encode_special_tokens = True
     start = 0
     got = {r.doc_id: r for r in run(spark, "op3_token_files").collect()}
     for d, t in docs:
@@ -199,6 +198,29 @@ def test_token_files(spark, docs):
         start += len(ids)
 
 
+def test_token_files_hold_what_they_promise(spark, tmp_path):
+    """Special tokens as the library has them; encodings, row groups and indexes as the footer tells."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from duelframe.llm import token_files
+
+    lib = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = {1: "a <|endoftext|> b", 2: "c  <|endoftext|>", **{i: f"plain text {i} " * 20 for i in range(3, 3000)}}
+    df = spark.createDataFrame([*texts.items(), (5, "x"), (5, "x")], "doc_id long, text string").repartition(3)
+    token_files.write_token_files(df, str(tmp_path / "out"))
+    rows = token_files.read_tokens(spark, str(tmp_path / "out"), (1, 2)).collect()
+    assert {r.doc_id: r.ids for r in rows} == {d: [*lib.encode(texts[d], add_special_tokens=False).ids, 2] for d in (1, 2)} and 50256 in rows[0].ids
+    starts = token_files.digest(spark, str(tmp_path / "out")).orderBy("start").collect()
+    assert [r.doc_id for r in starts] == sorted([*texts, 5, 5]) and all(a.start + a.n_tokens == b.start for a, b in zip(starts, starts[1:]))
+    for path in (tmp_path / "out").glob("*.parquet"):
+        group = pq.ParquetFile(path).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings
+        assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "n_tokens"))
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+
+
 def test_quality_counts(spark, docs):
     got = {r.doc_id: r for r in run(spark, "op4_quality").collect()}
     for d, t in docs:
@@ -400,7 +422,7 @@ def test_texts_that_share_an_id_keep_their_links(spark):
 def test_sharding(spark, duck):
     from duelframe.llm.sharding import SHARD_SQL
 
-    got = {(r.doc_id, r.size, r.shard, r.slot) for r in run(spark, "op7_sharding").collect()}
+    got = {tuple(r) for r in run(spark, "op7_sharding").collect()}
     assert got == set(duck.sql(SHARD_SQL).fetchall())
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from duelframe.llm import ann, mixing, near_dedup, pieces, ppm, quality, sharding, template, token_files, warc
 from duelframe.llm.common import new_path
+from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard int, n_words long"
 LONG = " ".join(f"word{i} the" for i in range(5000))
@@ -78,6 +79,40 @@ def test_sharding(docs, none):
     assert sharding.shard_rows(none, 8).count() == 0
 
 
+def test_sharding_keeps_columns_of_any_name(spark):
+    rows = [(None if i % 3 else i, "s" if i % 2 else None, i, i, i) for i in range(60)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, source string, _part long, bucket long, u long"), 4, then=("u",))
+    assert out.columns == ["doc_id", "source", "_part", "bucket", "u", "shard", "slot"]
+    got = out.collect()
+    assert sorted((r["_part"], r.bucket, r.u) for r in got) == [(i, i, i) for i in range(60)]
+    assert [sum(r.shard == s for r in got) for s in range(4)] == [15] * 4
+
+
+def test_clashing_names_and_long_words(spark):
+    rows = [(1, "z" * 30_000 + " a b c d e f", "en", 1, 2, 3, 4), (2, "x" * 3000 + "▁" * 50, None, 1, 2, 3, 4), (3, None, "en", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text int, _words int, piece_ids int, c0 int")
+    out = pieces.encode_decoded(df)
+    assert out.columns == ["doc_id", "text", "lang", "_text", "_words", "c0", "piece_ids", "decoded"]
+    lib = pieces.load(pieces.default_model()).lib
+    assert all(list(r.piece_ids) == lib.encode(r.text or "") and r["_text"] == 1 for r in out.collect())
+    assert quality.judge(df).columns[: len(df.columns)] == df.columns and quality.keep_good(df).columns == df.columns
+    assert ppm.score_documents(df).count() == 3 and near_dedup.drop_near(df).columns == df.columns
+    domains = spark.createDataFrame([(1, "clean"), (2, "poor")], "doc_id long, domain string")
+    assert mixing.mixed(df, domains).columns == df.columns
+
+
+def test_pipeline_stages(spark, none):
+    import corpus_pipeline
+
+    rows = [(None, None, None, None, 0, "x"), (1, "", "en", "a", 0, "x"), (2, "word " * 40, "en", "a", 200, "x"), (2, "word " * 40, "en", "a", 200, "x")]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string"), none):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            assert set(docs.columns) >= set(columns), name
+        assert docs.count() >= 0 and "decoded" in docs.columns
+
+
 def test_mixing(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, 1, 1), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
     domains = mixing.label_domains(labels)
@@ -91,6 +126,9 @@ def test_ann(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     out = [(r.rank, r.vec_id, r.score) for r in ann.search(v, v.where("vec_id = 0")).orderBy("rank").collect()]
     assert out == [(1, 1, 1.0), (2, 7, 1.0), (3, 2, 0.5)]
+    more = v.unionByName(spark.createDataFrame([(2, [2.0, 0.0]), (9, [1.0, 1.0, 1.0])], v.schema)).withColumn("rank", F.lit(1))
+    out = [(r.query_id, r.vec_id, r.score) for r in ann.search(more, more.where("vec_id IN (0, 8)"), k=2).orderBy("query_id", "rank").collect()]
+    assert out == [(0, 2, 2.0), (0, 1, 1.0), (8, 9, 6.0)]
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
