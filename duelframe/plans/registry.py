@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from duelframe.operators import endpoints, evaluation, features, form, market, matchup, metrics, ranking, ratings, relational, skills
+from duelframe.operators import endpoints, evaluation, features, form, learned, market, matchup, metrics, ranking, ratings, relational, skills
 from duelframe.plans import sql
-from duelframe.sources import documents
+from duelframe.sources import documents, records, sinks
 from duelframe.streaming import windows
 
-_MODULES = (metrics, form, features, endpoints, market, ratings, skills, ranking, evaluation, matchup, relational, documents, windows, sql)
+_MODULES = (metrics, form, features, endpoints, market, ratings, skills, ranking, evaluation, matchup, relational, documents, records, sinks, learned, windows, sql)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in _MODULES:
