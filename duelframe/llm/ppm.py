@@ -59,12 +59,14 @@ ADAPT = 1600
 #: Hits and misses that a size of context starts with, in the estimate of its escape.
 HITS, MISSES = 0.4, 2.0
 #: Bytes of text in a chunk, and in a range of words or pairs.
-CHUNK, RANGE_TEXT, PAIR_TEXT = 12e6, 160e6, 32e6
+CHUNK, RANGE_TEXT, PAIR_TEXT = 5e6, 160e6, 16e6
 #: Words of a bounded sample of documents that decide where ranges begin; results don't depend on them.
 SAMPLE_DOCS, SAMPLE_WORDS = 1000, 300
 FOLDS, HELD_OUT = 7, 2
 #: Symbols after the 256 bytes.
 CLOSE, END = 256, 257
+#: Scores travel in units of 2 ** -30.
+UNIT = 2.0**30
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +74,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-_CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary, counts binary"
+_CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary, totals binary, counts binary"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes as the largest needs, byte plane by byte plane, which compress well."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
+    full = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    full[:, : raw[0]] = planes.T
+    return full.view("<u8").ravel().astype(np.int64)
+
+
+def _by_frequency(totals: np.ndarray) -> np.ndarray:
+    """Numbers of words from the most frequent down: their own numbers in a text are then small."""
+    return np.lexsort((np.arange(len(totals)), -totals))
 
 
 def _chunk_batches(batches):
@@ -85,20 +105,21 @@ def _chunk_batches(batches):
     def row():
         found = list(numbers)
         order = sorted(range(len(found)), key=found.__getitem__)
-        rank = np.empty(len(order), dtype=np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        ids = rank[np.concatenate([x for _, _, x in docs])] if numbers else np.zeros(0, np.uint32)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        ids = rank[np.concatenate([x for _, _, x in docs])] if numbers else np.zeros(0, np.int64)
         train = np.repeat([not held for _, held, _ in docs], [len(x) for _, _, x in docs])
-        counts = np.bincount(ids[train], minlength=len(order)).astype(np.int64)
-        planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        totals, counts = np.bincount(ids, minlength=len(order)), np.bincount(ids[train], minlength=len(order))
+        place = np.empty(len(order), dtype=np.int64)
+        place[_by_frequency(totals)] = np.arange(len(order))
         one = lambda v, t: pa.array([v], t)
-        return pa.RecordBatch.from_arrays([one(random.getrandbits(62), pa.int64()), one([d for d, _, _ in docs], pa.list_(pa.int64())), one([h for _, h, _ in docs], pa.list_(pa.bool_())), one([len(x) for _, _, x in docs], pa.list_(pa.int32())), one(planes, pa.binary()), one(b"\n".join(found[i] for i in order), pa.binary()), one(counts.tobytes(), pa.binary())], names=[x.split()[0] for x in _CHUNKS.split(", ")])
+        return pa.RecordBatch.from_arrays([one(random.getrandbits(62), pa.int64()), one([d for d, _, _ in docs], pa.list_(pa.int64())), one([h for _, h, _ in docs], pa.list_(pa.bool_())), one([len(x) for _, _, x in docs], pa.list_(pa.int32())), one(_planes(place[ids]), pa.binary()), one(b"\n".join(found[i] for i in order), pa.binary()), one(_planes(totals), pa.binary()), one(_planes(counts), pa.binary())], names=[x.split()[0] for x in _CHUNKS.split(", ")])
 
     for batch in batches:
         for i in range(batch.num_rows):
             doc_id, held, text = (batch.column(j)[i].as_py() for j in range(3))
             words = text.encode().lower().split()
-            docs.append((doc_id, held, np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))))
+            docs.append((doc_id, held, np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int32, count=len(words))))
             size += len(text) + 64
             if size > CHUNK:
                 yield row()
@@ -107,8 +128,8 @@ def _chunk_batches(batches):
         yield row()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _numbers(ids: bytes, totals: bytes) -> np.ndarray:
+    return _by_frequency(_of_planes(totals))[_of_planes(ids)] if len(ids) > 1 else np.zeros(0, np.int64)
 
 
 def _words(blob: bytes) -> list[bytes]:
@@ -122,12 +143,12 @@ def _word_batches(shared):
         cuts = shared.value
         for batch in batches:
             for chunk, blob, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                words, counts = _words(blob), np.frombuffer(counts, dtype=np.int64)
+                words, counts = _words(blob), _of_planes(counts)
                 out, lo = [], 0
                 for i, cut in enumerate([*cuts, None]):
                     hi = len(words) if cut is None else bisect_left(words, cut, lo)
                     if hi > lo:
-                        out.append((i, chunk, lo, b"\n".join(words[lo:hi]), counts[lo:hi].tobytes()))
+                        out.append((i, chunk, lo, b"\n".join(words[lo:hi]), _planes(counts[lo:hi])))
                     lo = hi
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "first", "words", "counts"])
@@ -163,17 +184,12 @@ def _pairs(words: list[bytes], before: np.ndarray, cur: np.ndarray, bits: int) -
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Sorted numbers as differences, of as few bytes as they need, byte plane by byte plane."""
-    d = np.diff(x, prepend=np.uint64(0))
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """Sorted numbers as differences."""
+    return _planes(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
-    full = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    full[:, : raw[0]] = planes.T
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_of_planes(raw).astype(np.uint64), dtype=np.uint64)
 
 
 def _pair_batches(bits: int, ranges: int):
@@ -181,13 +197,13 @@ def _pair_batches(bits: int, ranges: int):
 
     def run(batches):
         for batch in batches:
-            for chunk, held, lengths, ids, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for chunk, held, lengths, ids, blob, totals in zip(*(c.to_pylist() for c in batch.columns)):
                 words = _words(blob)
-                doc, before, cur = _sequence(np.array(lengths, dtype=np.int64), _numbers(ids), len(words))
+                doc, before, cur = _sequence(np.array(lengths, dtype=np.int64), _numbers(ids, totals), len(words))
                 found, place = np.unique(_pairs(words, before, cur, bits), return_inverse=True)
                 counts = np.bincount(place[~np.array(held, dtype=bool)[doc]], minlength=len(found))
                 at = np.searchsorted(found, _starts(bits, ranges)).tolist()
-                out = [(i, chunk, _packed(found[lo:hi]), counts[lo:hi].astype("<u4").tobytes()) for i, (lo, hi) in enumerate(zip(at, [*at[1:], len(found)])) if hi > lo]
+                out = [(i, chunk, _packed(found[lo:hi]), _planes(counts[lo:hi])) for i, (lo, hi) in enumerate(zip(at, [*at[1:], len(found)])) if hi > lo]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "chunk", "pairs", "counts"])
 
@@ -203,10 +219,10 @@ def _pair_counts(t: pa.Table) -> pa.Table:
     own = [_unpacked(x.as_py()) for x in t.column("pairs")]
     found, place = np.unique(np.concatenate(own), return_inverse=True)
     total = np.zeros(len(found), dtype=np.int64)
-    np.add.at(total, place, np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in t.column("counts")]))
+    np.add.at(total, place, np.concatenate([_of_planes(x.as_py()) for x in t.column("counts")]))
     back, lo = [], 0
     for x in own:
-        back.append(np.minimum(total[place[lo : lo + len(x)]], 0xFFFFFFFF).astype("<u4").tobytes())
+        back.append(_planes(total[place[lo : lo + len(x)]]))
         lo += len(x)
     return pa.table({"chunk": t.column("chunk"), "kind": pa.array([1] * len(own), pa.int32()), "first": t.column("range").cast(pa.int64()), "x": pa.array(back, pa.binary()), "c": pa.array([b""] * len(own), pa.binary())})
 
@@ -234,7 +250,7 @@ class _Range:
         self.parts = [_words(x.as_py()) for x in rows.column("words")]
         total: dict[bytes, int] = {}
         for words, counts in zip(self.parts, rows.column("counts")):
-            for w, c in zip(words, np.frombuffer(counts.as_py(), dtype=np.int64).tolist()):
+            for w, c in zip(words, _of_planes(counts.as_py()).tolist()):
                 total[w] = total.get(w, 0) + c
         self.words: list[bytes] = sorted(total)
         self.c = np.fromiter(map(total.__getitem__, self.words), dtype=np.int64, count=len(total))
@@ -443,7 +459,7 @@ def _score_range(model):
         m.set_borders(zip(*(borders.column(c).to_pylist() for c in ("a", "b", "n"))))
         score, at = m.score(r), {w: i for i, w in enumerate(r.words)}
         index = [np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words)) for words in r.parts]
-        return pa.table({"chunk": rows.column("chunk"), "kind": pa.array([0] * len(index), pa.int32()), "first": rows.column("first"), "x": pa.array([score[i].tobytes() for i in index], pa.binary()), "c": pa.array([r.c[i].tobytes() for i in index], pa.binary())})
+        return pa.table({"chunk": rows.column("chunk"), "kind": pa.array([0] * len(index), pa.int32()), "first": rows.column("first"), "x": pa.array([_planes(np.rint(-UNIT * score[i])) for i in index], pa.binary()), "c": pa.array([_planes(r.c[i]) for i in index], pa.binary())})
 
     return run
 
@@ -484,16 +500,16 @@ def _sum_chunk(total: float, ends: int, end_lp: float, size: float, bits: int):
             return _empty()
         lengths = np.array(chunks.column("lengths")[0].as_py(), dtype=np.int64)
         words = _words(chunks.column("words")[0].as_py())
-        doc, before, cur = _sequence(lengths, _numbers(chunks.column("ids")[0].as_py()), len(words))
+        doc, before, cur = _sequence(lengths, _numbers(chunks.column("ids")[0].as_py(), chunks.column("totals")[0].as_py()), len(words))
         lp, c = np.empty(len(words) + 2), np.empty(len(words) + 2, dtype=np.int64)
         pairs = []
         for kind, first, x, own in zip(*(back.column(n).to_pylist() for n in ("kind", "first", "x", "c"))):
             if kind:
-                pairs.append((first, np.frombuffer(x, dtype="<u4")))
+                pairs.append((first, _of_planes(x)))
             else:
-                part = np.frombuffer(x)
+                part = _of_planes(x) / -UNIT
                 lp[first : first + len(part)] = part
-                c[first : first + len(part)] = np.frombuffer(own, dtype=np.int64)
+                c[first : first + len(part)] = _of_planes(own)
         lp[-2:], c[-2:] = (end_lp, 0.0), ends
         _, place = np.unique(_pairs(words, before, cur, bits), return_inverse=True)
         pair = np.concatenate([x for _, x in sorted(pairs, key=lambda p: p[0])]).astype(np.float64)[place]
@@ -560,7 +576,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     scored = words.groupBy("range").cogroup(edges.groupBy("range")).applyInArrow(_score_range(spark.sparkContext.broadcast(model)), _BACK)
     bits = min(60, 18 + max(size, 1).bit_length())
     ranges = partitions_for(spark, size, PAIR_TEXT)
-    pairs = chunks.select("chunk", "held", "lengths", "ids", "words").mapInArrow(_pair_batches(bits, ranges), "range int, chunk long, pairs binary, counts binary")
+    pairs = chunks.select("chunk", "held", "lengths", "ids", "words", "totals").mapInArrow(_pair_batches(bits, ranges), "range int, chunk long, pairs binary, counts binary")
     counted = pairs.groupBy("range").applyInArrow(_pair_counts, _BACK)
     back = scored.unionByName(counted)
     summed = _sum_chunk(tokens, train_docs, end_lp, float(tokens + types + 1), bits)
