@@ -67,6 +67,33 @@ def test_skills_fade_when_idle(spark):
     assert [r.m for r in rows[:2]] == [10.0, 10.0] and rows[2].m < 10.0 and rows[2].s > 100.0
 
 
+def test_skills_equal_a_plain_account_of_one_bout(spark):
+    """The first bout of all, skill by skill, from what its rounds hold."""
+    import math
+
+    p = skills.Parameters()
+    x = skills.fold_rows(spark, SF).orderBy("ts", "fight_id").first()
+    after = {r.fighter_id: r for r in ratings.folded(skills.fold_rows(spark, SF).where(F.col("fight_id") == x.fight_id), skills.fold_skills(final=True), "fighter_id long, last date, mu array<double>, sigma array<double>").collect()}
+    at = skills.SKILLS.index("str_vol")
+    sigma = p.sigma_start
+    for one in x.rounds:  # volume alone: each side against the other, K from all uncertainties of the moment
+        total = one.red.sig_landed + one.blue.sig_landed
+        if total:
+            sigma = max(1 / math.sqrt(1 / sigma**2 + 1 / p.tau**2), p.sigma_least)
+    assert math.isclose(after[x.red_id].sigma[at], sigma, rel_tol=1e-9)
+    points = p.sigma_start
+    for _ in x.rounds:  # points are counted in every round
+        points = max(1 / math.sqrt(1 / points**2 + 1 / p.tau**2), p.sigma_least)
+    assert all(math.isclose(after[who].sigma[0], points, rel_tol=1e-9) for who in (x.red_id, x.blue_id))
+
+
+def test_skills_seed_and_fading(spark):
+    rows = skills.skills_now(spark, SF).collect()
+    assert rows and all(60 - 1e-9 <= r.pts_sigma <= skills.Parameters().sigma_start + 1e-9 for r in rows)
+    seeds = spark.createDataFrame([(15, 0), (5, 5), (0, 0)], "w int, l int").select(skills.newcomer_seed(F.col("w"), F.col("l"))).collect()
+    assert [round(r[0], 6) for r in seeds] == [22.5, 0.0, 0.0]
+
+
 def test_ranks_are_dense(spark):
     rows = QUERIES["points_ranking"](spark, SF).groupBy("division").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
     assert all(r.r == list(range(1, len(r.r) + 1)) for r in rows)
