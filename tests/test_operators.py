@@ -127,3 +127,55 @@ def test_guard_allows_words(spark):
 
 def test_days(spark):
     assert dt.date(2024, 1, 1) <= adapter.bouts(spark, SF).agg(F.min("date")).first()[0]
+
+
+def test_sliding_sessions_and_duplicates_as_streams(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.unionByName(e.limit(100)).repartition(2).write.parquet(str(tmp_path / "in"))
+    batch = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    read = lambda: windows.read_stream(spark, str(tmp_path / "in"), glob="*.parquet", late="40 days")
+
+    def run(df, name, mode):
+        q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        assert q.awaitTermination(200)
+        return spark.table(name)
+
+    distinct = run(windows.distinct_events(read()), "distinct_events", "append")
+    assert distinct.count() == e.count()
+    slid = run(windows.sliding(read()), "slid", "complete")
+    assert slid.agg(F.sum("n")).first()[0] == 2 * (e.count() + 100)
+    assert windows.sessions(batch).count() > 0
+
+
+def test_late_results_fill_and_runs_are_resumed(spark, tmp_path):
+    from duelframe.streaming import state
+
+    schema = "fight_id long, winner_id long, seen int"
+    at, into = str(tmp_path / "in"), str(tmp_path / "bouts")
+    for rows in ([(1, None, 1), (2, None, 1)], [(1, 7, 2), (1, 8, 3), (2, None, 2)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+        state.available_now(spark.readStream.schema(schema).parquet(at), state.late_fill(into, "fight_id", F.col("seen")), str(tmp_path / "c"))
+    assert sorted(map(tuple, spark.read.parquet(into).collect())) == [(1, 8, 3), (2, None, 2)]
+
+
+def test_streamed_ratings_go_on_from_state(spark, tmp_path):
+    from duelframe.streaming import state
+
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        b = adapter.bouts(spark, SF)
+        m = F.lower(F.coalesce("method", F.lit("")))
+        k = F.when(m.contains("ko") | m.contains("sub"), 40.0).when(m.contains("dec"), 28.0).otherwise(32.0)
+        score = F.when(F.col("winner_id").isNull(), 0.5).otherwise((F.col("winner_id") == F.col("red_id")).cast("double"))
+        rows = b.select(F.lit("all").alias("pool"), "fight_id", "ts", "red_id", "blue_id", score.alias("score"), k.alias("k"))
+        cut = b.selectExpr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)").first()[0]
+        early = F.unix_micros(F.col("ts").cast("timestamp")) <= cut
+        at, got = str(tmp_path / "in"), []
+        for part in (early, ~early):
+            rows.where(part).coalesce(1).write.mode("append").parquet(at)
+            state.available_now(state.rated(spark.readStream.schema(rows.schema).parquet(at)), lambda df, i: got.extend(df.collect()), str(tmp_path / "c"))
+        want = {(r.fight_id, r.fighter_id): r.elo_after for r in ratings.elo_history(spark, SF).collect()}
+        assert {(r.fight_id, r.fighter_id): round(r.elo_after, 6) for r in got} == pytest.approx(want, abs=1e-5)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
