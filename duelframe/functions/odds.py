@@ -35,10 +35,5 @@ def parse(text: str | Column) -> Column:
     return F.when(F.upper(t) == "EVEN", F.lit(100)).otherwise(F.regexp_replace(t, r"^\+", "").try_cast("int"))
 
 
-def expected(a: Column, b: Column) -> Column:
-    """The score that a rating expects against another."""
-    return 1.0 / (1.0 + F.pow(F.lit(10.0), (b - a) / 400.0))
-
-
 def kelly(p: Column, d: Column) -> Column:
     return F.try_divide(p * (d - 1.0) - (1.0 - p), d - 1.0)

@@ -19,14 +19,14 @@ def _in_order():
 FRAMES = {"avg": Window.unboundedPreceding, "recent": -5, "last3": -3}
 
 
-def rolling(sides: DataFrame) -> DataFrame:
-    """All frames of one ordering in one select: one shuffle and one sort."""
+def rolling(sides: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All frames of one ordering in one select: one shuffle and one sort. keep: columns to carry along."""
     by = _in_order()
     cols = [F.avg(c).over(by.rowsBetween(start, -1)).alias(f"{p}_{c}") for p, start in FRAMES.items() for c in ROLLED]
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"career_{c}") for c in ("won", "lost")]
     finish = F.col("won") * F.greatest("is_ko", "is_sub")
-    return sides.select("fight_id", "fighter_id", *cols, *sums, F.coalesce(F.sum(finish).over(before), F.lit(0)).alias("career_finishes"))
+    return sides.select("fight_id", "fighter_id", *keep, *cols, *sums, F.coalesce(F.sum(finish).over(before), F.lit(0)).alias("career_finishes"))
 
 
 def pre_bout_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def nodes_of(model: GBTClassificationModel) -> list[list[dict]]:
 
         def walk(node) -> int:
             at = len(rows)
-            rows.append({"f": -1, "v": node.prediction() * weight})
+            rows.append({"f": -1, "v": 2.0 * node.prediction() * weight})  # the margin is half the log odds
             if node.subtreeDepth() > 0:
                 split = node.split()
                 rows[at] |= {"f": split.featureIndex(), "t": split.threshold(), "l": walk(node.leftChild()), "r": walk(node.rightChild())}

@@ -15,8 +15,7 @@ FEATURES = tuple(f"{p}_{c}" for p in FRAMES for c in ROLLED)
 
 def matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """red_, blue_ and diff_ features, one row for each bout, by one conditional aggregation."""
-    s = adapter.sides(spark, sf_dir)
-    rolled = form.rolling(s).join(s.select("fight_id", "fighter_id", "corner", "won", "ts"), ["fight_id", "fighter_id"])
+    rolled = form.rolling(adapter.sides(spark, sf_dir), keep=("corner", "won", "ts"))
     side = lambda corner, c: F.max(F.when(F.col("corner") == corner, F.col(c))).alias(f"{corner}_{c}")
     by = rolled.groupBy("fight_id").agg(*[side(k, c) for k in ("red", "blue") for c in FEATURES], F.max(F.when(F.col("corner") == "red", F.col("won"))).alias("label"), F.max("ts").alias("ts"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -81,5 +80,10 @@ def bout_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("fight_id", F.to_json(doc).alias("document"), F.coalesce(F.size("quotes"), F.lit(0)).alias("n_quotes"))
 
 
+DOCUMENT_SQL = oracle(
+    "SELECT p.fight_id, '{\"fight_id\":' || p.fight_id || ',\"red\":{\"id\":' || red_id || ',\"kd\":' || r.kd || '},\"blue\":{\"id\":' || blue_id || ',\"kd\":' || b.kd || '}' || coalesce(',\"quotes\":[' || q.l || ']', '') || '}' AS document, CAST(coalesce(q.n, 0) AS INTEGER) AS n_quotes FROM pr p JOIN sides r ON r.fight_id = p.fight_id AND r.corner = 'red' JOIN sides b ON b.fight_id = p.fight_id AND b.corner = 'blue' LEFT JOIN q ON q.fight_id = p.fight_id",
+    "q AS (SELECT fight_id, count(*) AS n, string_agg('{\"id\":' || id || ',\"bookmaker\":\"' || bookmaker || '\",\"red_odds\":' || red_odds || ',\"blue_odds\":' || blue_odds || '}', ',' ORDER BY id) AS l FROM quotes GROUP BY fight_id)",
+)
+
 QUERIES = {"matchup_mirror": matchup_mirror, "temporal_split": temporal_split, "style_matrix": style_matrix, "bout_document": bout_document}
-ORACLES = {"matchup_mirror": MIRROR_SQL, "temporal_split": SPLIT_SQL, "style_matrix": STYLE_SQL}
+ORACLES = {"matchup_mirror": MIRROR_SQL, "temporal_split": SPLIT_SQL, "style_matrix": STYLE_SQL, "bout_document": DOCUMENT_SQL}

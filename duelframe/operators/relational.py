@@ -73,7 +73,7 @@ def top_k_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eager_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table in two roles, outer joined: supplier and customer nations of orders."""
+    """Orders outer joined to customer, nation and region, then grouped."""
     n, c, o = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
     r = _t(spark, sf_dir, "region")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -125,6 +125,14 @@ def test_guard_allows_words(spark):
     assert sql.query(spark, "SELECT 'update' AS x").first()[0] == "update"
 
 
+@pytest.mark.parametrize("bad", [f"SELECT * FROM parquet.`{SF}/nation.parquet`", f"SELECT 1 WHERE 1 IN (SELECT n_nationkey FROM parquet.`{SF}/nation.parquet`)"])
+def test_guard_refuses_files(spark, bad):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        sql.query(spark, bad)
+
+
 def test_days(spark):
     assert dt.date(2024, 1, 1) <= adapter.bouts(spark, SF).agg(F.min("date")).first()[0]
 
