@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -11,15 +13,34 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+_shipped: set[str] = set()
+
+
 def workers_can_import(spark: SparkSession) -> None:
-    """Put the library on the path of Python workers that start from now on.
+    """Let Python workers import the library: functions are pickled by reference, so that caches at module level
+    outlive one task.
 
-    Functions are pickled by reference, so that caches at module level outlive one task.
+    Workers of a local master get the library's folder on their path; those of a cluster, which have no such folder, get
+    the library itself as a zip file, once for each application.
     """
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        have = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in have:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    elif sc.applicationId not in _shipped:
+        with tempfile.TemporaryDirectory() as at:
+            sc.addPyFile(zipped(at))
+        _shipped.add(sc.applicationId)
+
+
+def zipped(into: str) -> str:
+    """The library's modules as a zip file."""
+    path = os.path.join(into, "duelframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(Path(ROOT, "duelframe").rglob("*.py")):
+            z.write(file, file.relative_to(ROOT))
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
