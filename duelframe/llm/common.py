@@ -3,45 +3,21 @@
 from __future__ import annotations
 
 import math
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.session import shared_dir, workers_can_import  # noqa: F401
+
 #: A word, everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_can_import(spark: SparkSession) -> None:
-    """Put the library on the path of Python workers that start from now on.
-
-    Functions are pickled by reference, so that caches at module level outlive one task.
-    """
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset, as in tests, one of our own is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file:/tmp/checkpoints/duelframe"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 

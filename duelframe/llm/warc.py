@@ -119,21 +119,28 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, segment: in
     made.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parsed(data: bytes):
-    """(fields, block) of each record; names of fields in lower case."""
+def parsed(data: bytes, damaged: bool = False):
+    """(fields, block) of each record; names of fields in lower case. With damaged, what can't be read is a record
+    of no fields, and the next one is looked for."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+        end = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : max(end, at)].decode(errors="replace").split("\r\n")
         fields = {}
         for x in lines:
             name, _, value = x.partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size = fields.get("content-length", "")
+        block = data[end + 4 : end + 4 + int(size)] if size.isdigit() else b""
+        if not first.startswith("WARC/") or not size.isdigit() or len(block) < int(size):
+            if not damaged:
+                raise ValueError(f"no record at byte {at}")
+            yield {}, b""
+            following = data.find(b"\r\n\r\nWARC/", at)
+            at = following + 4 if following >= 0 else len(data)
+            continue
+        yield fields, block
+        at = end + 4 + len(block) + 4
 
 
 _PARTS = "page_id long, kind string, record_id string, refers_to string, digest string, uri string, n int, total long, block binary"
@@ -157,7 +164,17 @@ def _payload(kind: str, block: bytes, digest: str | None) -> bytes | None:
     return body
 
 
-def _read_batches(segmented: bool):
+def _or_damaged(kind: str, block: bytes, digest: str | None, damaged: bool) -> tuple[str, bytes | None]:
+    """(kind, payload); the kind is `damaged` where the payload can't be had and that is allowed."""
+    try:
+        return kind, _payload(kind, block, digest)
+    except (ValueError, IndexError):
+        if not damaged:
+            raise
+        return "damaged", None
+
+
+def _read_batches(segmented: bool, damaged: bool):
     schema = _schema(_PARTS if segmented else _WHOLE)
 
     def run(batches):
@@ -166,7 +183,11 @@ def _read_batches(segmented: bool):
                 data = content.as_py()
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = []
-                for f, block in parsed(data):
+                for f, block in parsed(data, damaged):
+                    if not f:
+                        if not segmented:
+                            rows.append((None, "damaged", None, None, None, None, None))
+                        continue
                     part = "warc-segment-number" in f
                     kind = f["warc-type"]
                     if part != segmented or kind not in ("response", "revisit", "continuation", "resource"):
@@ -178,32 +199,41 @@ def _read_batches(segmented: bool):
                         total = f.get("warc-segment-total-length")
                         rows.append((page_id, kind, f.get("warc-segment-origin-id") or f["warc-record-id"], f.get("warc-refers-to"), digest, f.get("warc-target-uri"), int(f["warc-segment-number"]), total and int(total), block))
                     else:
-                        rows.append((page_id, kind, f["warc-record-id"], f.get("warc-refers-to"), digest, f.get("warc-target-uri"), _payload(kind, block, digest)))
+                        found, payload = _or_damaged(kind, block, digest, damaged)
+                        rows.append((page_id, found, f["warc-record-id"], f.get("warc-refers-to"), digest, f.get("warc-target-uri"), payload))
                 for lo in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[lo : lo + 1000]), schema)], schema=schema)
 
     return run
 
 
-def _join_batches(batches):
+def _join_batches(damaged: bool):
     schema = _schema(_WHOLE)
-    for batch in batches:
-        rows = []
-        for page_id, kind, record_id, refers_to, digest, uri, copies, total, parts in zip(*(c.to_pylist() for c in batch.columns)):
-            block = b"".join(x["block"] for x in parts)
-            if kind is None or [x["n"] for x in parts] != list(range(1, len(parts) + 1)) or len(block) != total:
-                raise ValueError(f"segments of {record_id} are missing")
-            rows += [(page_id, kind, record_id, refers_to, digest, uri, _payload(kind, block, digest))] * copies
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-
-
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, record_id, refers_to (a record's id), digest, uri, payload (null: revisit)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page_id, kind, record_id, refers_to, digest, uri, copies, total, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                block = b"".join(x["block"] for x in parts)
+                if kind is None or [x["n"] for x in parts] != list(range(1, len(parts) + 1)) or len(block) != total:
+                    if not damaged:
+                        raise ValueError(f"segments of {record_id} are missing")
+                    rows += [(page_id, "damaged", record_id, refers_to, digest, uri, None)] * max(copies, 1)
+                    continue
+                found, payload = _or_damaged(kind, block, digest, damaged)
+                rows += [(page_id, found, record_id, refers_to, digest, uri, payload)] * copies
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def read_archive(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
+    """page_id, record_type, record_id, refers_to (a record's id), digest, uri, payload (null: revisit, damaged)."""
     workers_can_import(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    alone = files.mapInArrow(_read_batches(False), _WHOLE)
-    parts = files.mapInArrow(_read_batches(True), _PARTS)
+    alone = files.mapInArrow(_read_batches(False, damaged), _WHOLE)
+    parts = files.mapInArrow(_read_batches(True, damaged), _PARTS)
     head = F.col("n") == 1
     of_head = lambda c: F.max(F.when(head, F.col(c))).alias(c)
     grouped = parts.groupBy("record_id").agg(
@@ -212,7 +242,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.max("total").alias("total"),
         F.sort_array(F.collect_set(F.struct("n", "block"))).alias("parts"),
     )
-    joined = grouped.select("page_id", "kind", "record_id", "refers_to", "digest", "uri", "copies", "total", "parts").mapInArrow(_join_batches, _WHOLE)
+    joined = grouped.select("page_id", "kind", "record_id", "refers_to", "digest", "uri", "copies", "total", "parts").mapInArrow(_join_batches(damaged), _WHOLE)
     return alone.unionByName(joined)
 
 

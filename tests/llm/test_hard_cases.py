@@ -147,6 +147,23 @@ def test_warc(spark):
     assert warc.read_archive(spark, path).count() == 0
 
 
+def test_warc_with_damaged_records(spark, tmp_path):
+    rows = [(i, f"u{i}", f"page {i} " * (3000 if i == 4 else 3)) for i in range(6)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    import gzip
+
+    file = next((tmp_path / "a").glob("*.gz"))
+    data = gzip.decompress(file.read_bytes())
+    data = data.replace(b"page 1 page 1", b"page 9 page 1").replace(b"WARC-Segment-Number: 3", b"WARC-Segment-Number: 9")
+    broken = data[: data.rindex(b"page 5") - 4]  # the last record is cut short
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc.gz").write_bytes(gzip.compress(broken))
+    with pytest.raises(Exception, match="digest|segments|record"):
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+    got = sorted(((r.page_id if r.page_id is not None else 99, r.record_type) for r in warc.read_archive(spark, str(tmp_path / "b"), damaged=True).collect()))
+    assert got == [(0, "response"), (1, "damaged"), (2, "response"), (3, "response"), (4, "damaged"), (99, "damaged")]
+
+
 def test_chunked_framing_is_checked():
     assert warc.dechunked(warc.chunked(b"abc" * 5000)) == b"abc" * 5000
     with pytest.raises(ValueError):
