@@ -100,8 +100,21 @@ def fold_points(t: pa.Table) -> pa.Table:
     return _table(out, _POINTS)
 
 
+#: Results that don't count for the ranking, by what their method says.
+NOT_RANKED = ("No Contest", "DQ", "Draw")
+
+
+def ranked(bouts: DataFrame) -> DataFrame:
+    """Bouts with a winner whose method counts; an unknown method does."""
+    method = F.coalesce("method", F.lit(""))
+    out = bouts.where("winner_id IS NOT NULL")
+    for text in NOT_RANKED:
+        out = out.where(~method.contains(text))
+    return out
+
+
 def points_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = adapter.bouts(spark, sf_dir).where("winner_id IS NOT NULL").withColumn("division", division(F.col("weight_class"))).where("division <> 'unknown'")
+    b = ranked(adapter.bouts(spark, sf_dir)).withColumn("division", division(F.col("weight_class"))).where("division <> 'unknown'")
     b = b.withColumn("category", method_category(F.col("method"), F.col("finish_round")))
     rows = b.select("fight_id", "ts", "red_id", "blue_id", "winner_id", "category")
     found = folded(rows, fold_points, "fight_id long, fighter_id long, opponent_id long, won boolean, elo_before double, opponent_elo_before double, elo_after double")
@@ -208,11 +221,17 @@ def resume_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("fighter_id", F.round("score", 8).alias("score"))
 
 
+def running_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resume score before each bout as the source system runs it: all begin at 0 and every change is a
+    multiple of an opponent's score, so it stays 0; resume_iterated is the one that tells something."""
+    return adapter.sides(spark, sf_dir).select("fight_id", "fighter_id", F.lit(0.0).alias("resume_score"))
+
+
 def _resume_sql() -> str:
     tables = ["ed AS (SELECT fighter_id, opponent_id, sum(CASE WHEN won = 1 THEN CASE WHEN greatest(is_ko, is_sub) = 1 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END WHEN lost = 1 THEN -0.5::DOUBLE ELSE 0.0::DOUBLE END) AS w, count(*) AS n FROM sides GROUP BY ALL)", "s0 AS (SELECT DISTINCT fighter_id, 1.0::DOUBLE AS score FROM sides)"]
     tables += [f"s{i + 1} AS (SELECT ed.fighter_id, 1.0::DOUBLE + 0.85::DOUBLE * sum(w * score) / sum(n) AS score FROM ed JOIN s{i} ON s{i}.fighter_id = ed.opponent_id GROUP BY ed.fighter_id)" for i in range(PASSES)]
     return oracle(f"SELECT fighter_id, round(score, 8) AS score FROM s{PASSES}", *tables)
 
 
-QUERIES = {"elo_history": elo_history, "elo_final": elo_final, "elo_points": elo_points, "method_elo": method_elo, "resume_iterated": resume_iterated}
-ORACLES = {"elo_history": ELO_HISTORY_SQL, "method_elo": _method_sql(), "elo_final": ELO_FINAL_SQL, "elo_points": ELO_POINTS_SQL, "resume_iterated": _resume_sql()}
+QUERIES = {"elo_history": elo_history, "elo_final": elo_final, "elo_points": elo_points, "method_elo": method_elo, "resume_iterated": resume_iterated, "running_resume": running_resume}
+ORACLES = {"elo_history": ELO_HISTORY_SQL, "method_elo": _method_sql(), "elo_final": ELO_FINAL_SQL, "elo_points": ELO_POINTS_SQL, "resume_iterated": _resume_sql(), "running_resume": oracle("SELECT fight_id, fighter_id, 0.0::DOUBLE AS resume_score FROM sides")}

@@ -39,6 +39,28 @@ def test_method_elo_moves_one_class(spark):
     assert rows and all(r.ko_elo > 0 for r in rows)
 
 
+def test_ranking_leaves_out_what_is_no_result(spark):
+    rows = [(1, 7, "KO/TKO"), (2, None, "Submission"), (3, 7, "DQ"), (4, 7, "Overturned - No Contest"), (5, 7, None), (6, 7, "Draw")]
+    df = spark.createDataFrame(rows, "fight_id long, winner_id long, method string")
+    assert sorted(r.fight_id for r in ratings.ranked(df).collect()) == [1, 5]
+
+
+def test_features_of_hand_made_sides(spark):
+    """A bout with no attempts at all, one of a single side, and one with counts: rates, shares, flags."""
+    from duelframe.operators import features
+
+    s = adapter.sides(spark, SF).limit(1)
+    base = {c: 0 for c in (*adapter.COUNTS, *(f"opp_{c}" for c in adapter.COUNTS))}
+    make = lambda fight, corner, **more: {**base, "fight_id": fight, "corner": corner, "fighter_id": 1 if corner == "red" else 2, "opponent_id": 3, "ts": None, "date": None, "weight_class": "x", "method": None, "finish_round": 1, "fight_seconds": 600, "won": 1, "lost": 0, "is_ko": 0, "is_sub": 0, "is_dec": 0, **more}
+    rows = [make(1, "red"), make(1, "blue"), make(2, "red", sig_attempted=4), make(3, "red", sig_landed=3, sig_attempted=4, kd=1, is_ko=1), make(3, "blue", td_attempted=1, won=0, lost=1)]
+    df = spark.createDataFrame([[r.get(c) for c in s.columns] for r in rows], s.schema)
+    kept = features.paired(features.contested(df))
+    assert {(r.fight_id, r.corner) for r in kept.collect()} == {(3, "red"), (3, "blue")}
+    red = features.bout_features(kept).where("corner = 'red'").first()
+    assert (red.sig_landed_per5, red.sig_acc, red.td_acc, red.ko_win, red.finished, red.sig_def) == (1.5, 0.75, 0.0, 1, 1, 1.0)
+    assert red.striking_composite == pytest.approx(0.30 * 0.5 / 10 + 0.25 * 0.75 + 0.25 * 1.5 / 30 + 0.20)
+
+
 def test_no_leakage(spark):
     s = adapter.sides(spark, SF)
     last = s.agg(F.max("ts")).first()[0]
