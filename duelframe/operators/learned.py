@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions import text
 from duelframe.operators import features, market, ratings
-from duelframe.session import new_path, workers_can_import
+from duelframe.session import new_path, staged, workers_can_import
 from duelframe.sources import adapter
 
 SEED = 42
@@ -71,13 +71,6 @@ def with_parts(m: DataFrame, shares: tuple[float, ...] = (0.8, 0.9)) -> DataFram
     return m.crossJoin(cuts).withColumn("part", part).drop("_cuts")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table, from which each fit and score reads."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matchups with parts (train, calibration, test) and gaps filled by means of the training part."""
     m = staged(with_parts(winner_matchups(spark, sf_dir)), "matchups")

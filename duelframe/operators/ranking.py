@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.text import division
 from duelframe.operators import ratings
+from duelframe.session import staged
 from duelframe.sources import adapter
 from duelframe.sources.adapter import oracle
 
@@ -58,7 +59,7 @@ def quality(pct: Column) -> Column:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fighter_id, division, points, elo, sos of eligible entities (as of the last bout's date)."""
-    h = ratings.points_history(spark, sf_dir)
+    h = staged(ratings.points_history(spark, sf_dir), "points-history")
     as_of = F.broadcast(h.agg(F.max("date").alias("as_of")))
     order = F.struct("ts", "fight_id")
     now = h.groupBy("fighter_id").agg(F.count(F.lit(1)).alias("bouts"), F.max("date").alias("last"), F.max_by("division", order).alias("division"), F.max_by("elo_after", order).alias("elo")).crossJoin(as_of)
