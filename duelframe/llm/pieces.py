@@ -39,7 +39,7 @@ from .common import table, whole, workers_can_import
 
 MARK = "▁"
 #: Bytes of words and their ids that a worker remembers, about.
-REMEMBERED = 96 << 20
+REMEMBERED = 160 << 20
 #: Pairs of pieces of which a worker remembers whether they fit.
 FITS = 400_000
 LONG = 2000
