@@ -298,7 +298,7 @@ _STAKE_SQL = "greatest(0.0::DOUBLE, least(({p} * ({d} - 1) - (1 - {p})) / ({d} -
 BANKROLL_SQL = oracle(
     "SELECT round(log10(bank), 6) AS log_bank, round(log10(peak), 6) AS log_peak, round(drawdown, 6) AS drawdown, bets FROM f ORDER BY n DESC LIMIT 1",
     *_BEST,
-    f"k AS (SELECT red_prob AS p, {_DEC.format('red_best')} AS dr, {_DEC.format('blue_best')} AS db, red_won = 1 AS w, row_number() OVER (ORDER BY r.ts, r.fight_id) AS n FROM preds q JOIN best USING (fight_id) JOIN pr r ON r.fight_id = q.fight_id WHERE red_won IS NOT NULL)",
+    f"k AS MATERIALIZED (SELECT red_prob AS p, {_DEC.format('red_best')} AS dr, {_DEC.format('blue_best')} AS db, red_won = 1 AS w, row_number() OVER (ORDER BY r.ts, r.fight_id) AS n FROM preds q JOIN best USING (fight_id) JOIN pr r ON r.fight_id = q.fight_id WHERE red_won IS NOT NULL)",
     f"""f AS (SELECT 0::BIGINT AS n, 10000.0::DOUBLE AS bank, 10000.0::DOUBLE AS peak, 0.0::DOUBLE AS drawdown, 0::BIGINT AS bets
   UNION ALL SELECT n, nb, greatest(peak, nb), greatest(drawdown, (greatest(peak, nb) - nb) / greatest(peak, nb)), bets + b FROM (
     SELECT n, peak, drawdown, bets, CASE WHEN sr > 1 THEN bank + CASE WHEN w THEN sr * (dr - 1) ELSE -sr END WHEN sb > 1 THEN bank + CASE WHEN NOT w THEN sb * (db - 1) ELSE -sb END ELSE bank END AS nb, CASE WHEN sr > 1 OR sb > 1 THEN 1 ELSE 0 END AS b FROM (

@@ -181,7 +181,7 @@ def _history_sql(name: str, bouts: str, k: str, key: str = "{0}{1}") -> tuple[st
     red, blue, red_of, blue_of = (key.format(p, c) for p in ("", "o.") for c in ("red_id", "blue_id"))
     at = lambda k, f, start: f"coalesce(f.m[{k}].{f}, {start})"
     return (
-        f"{name}_o AS (SELECT *, row_number() OVER (ORDER BY ts, fight_id) AS n FROM {bouts})",
+        f"{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, fight_id) AS n FROM {bouts})",
         f"""{name}_f(n, fight_id, red_id, blue_id, red_before, blue_before, d, m) AS (
   SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, MAP([-1::BIGINT], [{{'e': {START}::DOUBLE, 'c': 0::BIGINT}}])
   UNION ALL SELECT n, fight_id, red_id, blue_id, re, be, d, map_concat(m, MAP([{red}, {blue}], [{{'e': re + d, 'c': rc + 1}}, {{'e': be - d, 'c': bc + 1}}])) FROM (
