@@ -57,8 +57,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        #: Texts that hold one of these are encoded whole.
+        #: Texts that hold one of these are encoded whole, by a tokenizer of their own: one that looks for them in
+        #: every chunk is slower.
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.lib.encode_special_tokens = True
+        self.full = lambda: Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         nl = self.lib.encode("\n", add_special_tokens=False).ids
         #: A lone line feed is one id, and it never merges with what stands beside it.
@@ -99,8 +102,13 @@ class _Encoder:
         known.update(zip(other, self.ids([], [x if x[:1] == "\n" else " " + x for x in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole_ = {i for i, x in enumerate(texts) if any(t in x for t in self.special)}
-        split = [[x] if i in whole_ else self.chunks(x) for i, x in enumerate(texts)]
+        special = [i for i, x in enumerate(texts) if any(t in x for t in self.special)]
+        if special:
+            full = self.full()
+            own = {i: np.asarray(full.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes() for i in special}
+            rest = iter(self.encode([x for i, x in enumerate(texts) if i not in own]))
+            return [own[i] if i in own else next(rest) for i in range(len(texts))]
+        split = [self.chunks(x) for x in texts]
         firsts = [x.pop(0) for x in split]
         chunks = list(chain.from_iterable(split))
         if len(self.known) > REMEMBERED:
