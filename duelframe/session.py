@@ -21,16 +21,22 @@ def workers_can_import(spark: SparkSession) -> None:
     outlive one task.
 
     Workers of a local master get the library's folder on their path; those of a cluster, which have no such folder, get
-    the library itself as a zip file, once for each application.
+    the library itself as a zip file, once for each application. It lies in the shared folder for good, since executors
+    fetch it when their first task starts, and new ones later.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local"):
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         have = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
         if ROOT not in have:
             sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
     elif sc.applicationId not in _shipped:
+        into = f"{shared_dir(spark)}/code/{sc.applicationId}"
+        path, conf = sc._jvm.org.apache.hadoop.fs.Path, sc._jsc.hadoopConfiguration()
         with tempfile.TemporaryDirectory() as at:
-            sc.addPyFile(zipped(at))
+            local = path(f"file://{zipped(at)}")
+            to = path(f"{into}/duelframe.zip")
+            to.getFileSystem(conf).copyFromLocalFile(False, True, local, to)
+        sc.addPyFile(f"{into}/duelframe.zip")
         _shipped.add(sc.applicationId)
 
 
