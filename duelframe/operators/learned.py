@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions import text
 from duelframe.operators import features, market, ratings
-from duelframe.session import new_path, staged, workers_can_import
+from duelframe.session import staged, workers_can_import
 from duelframe.sources import adapter
 
 SEED = 42
@@ -204,71 +204,7 @@ def interval_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _winner(spark, sf_dir).agg(F.avg(w).alias("mean"), q[0].alias("median"), q[1].alias("p75"), q[2].alias("p90"), F.max(w).alias("max"))
 
 
-# -- contributions
-
-
-def nodes_of(model: GBTClassificationModel) -> list[list[dict]]:
-    """Each tree's nodes: feature (-1: leaf), threshold, value, left, right, n; weighted values of log odds."""
-    out = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        rows: list[dict] = []
-
-        def walk(node) -> int:
-            at = len(rows)
-            rows.append({"f": -1, "v": 2.0 * node.prediction() * weight})  # the margin is half the log odds
-            if node.subtreeDepth() > 0:
-                split = node.split()
-                rows[at] |= {"f": split.featureIndex(), "t": split.threshold(), "l": walk(node.leftChild()), "r": walk(node.rightChild())}
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append(rows)
-    return out
-
-
-def contributions_of(x: np.ndarray, forest: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
-    """(base, by feature): along each row's path, the change of a node's value belongs to the feature that the
-    node splits on. Base and contributions add up to the model's log odds."""
-    base, out = np.zeros(len(x)), np.zeros(x.shape)
-
-    def down(tree: list[dict], at: int, rows: np.ndarray) -> None:
-        node = tree[at]
-        if node["f"] < 0 or not len(rows):
-            return
-        left = x[rows, node["f"]] <= node["t"]
-        for child, part in ((node["l"], rows[left]), (node["r"], rows[~left])):
-            out[part, node["f"]] += tree[child]["v"] - node["v"]
-            down(tree, child, part)
-
-    for tree in forest:
-        base += tree[0]["v"]
-        down(tree, 0, np.arange(len(x)))
-    return base, out
-
-
-def _contribution_batches(shared, names: tuple[str, ...]):
-    def run(batches):
-        for t in batches:
-            x = t[list(names)].to_numpy(float)
-            base, c = contributions_of(x, shared.value)
-            n = len(names)
-            yield pd.DataFrame({"fight_id": np.repeat(t["fight_id"].to_numpy(), n), "feature": np.tile(np.array(names), len(t)), "contribution": c.reshape(-1), "value": x.reshape(-1), "base": np.repeat(base, n)})
-
-    return run
-
-
-def contributions(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
-    """The features that moved each test bout's log odds most, with their values: the model is saved and loaded
-    first, as an application would."""
-    workers_can_import(spark)
-    m = prepared(spark, sf_dir)
-    path = new_path(spark, "winner-model")
-    save(fit_winner(m), path)
-    forest = nodes_of(load(path).stages[-1])
-    rows = m.where("part = 2").select("fight_id", *INPUTS)
-    found = rows.mapInPandas(_contribution_batches(spark.sparkContext.broadcast(forest), INPUTS), "fight_id long, feature string, contribution double, value double, base double")
-    rank = F.row_number().over(Window.partitionBy("fight_id").orderBy(F.desc(F.abs("contribution")), "feature"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top)
+# -- importance
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("diff_elo", "diff_avg_won", "odds_diff", "diff_age")) -> DataFrame:
@@ -307,7 +243,7 @@ CLASSES = ("ko", "sub", "dec")
 METHOD_INPUTS = ("weight_class_ordinal", "is_5_round", "winner_prob", "ko_tendency", "sub_tendency", "dec_tendency", "favorite_prob", "fav_ko_rate", "fav_sub_rate", "fav_finish_rate", "combined_ko_rate", "combined_sub_rate", "combined_dec_rate", "combined_been_ko_rate", "combined_been_subbed_rate")
 
 
-def _method_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def method_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duelframe.operators.endpoints import method_matchup
 
     ts = adapter.bouts(spark, sf_dir).select("fight_id", "ts")
@@ -334,7 +270,7 @@ def _shares(x: DataFrame, parts: dict[str, Column]) -> DataFrame:
 def method_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bouts after the training part with three-class probabilities: A (finish or not, then KO or submission),
     B (submission or not, then KO or decision), one model a class (R), the blend C of A and B, and C calibrated."""
-    x = _method_rows(spark, sf_dir)
+    x = method_rows(spark, sf_dir)
     models = {"finish": _binary(x, "is_finish"), "ko_of_finish": _binary(x, "is_ko", "is_finish = 1"), "sub": _binary(x, "is_sub"), "ko_of_rest": _binary(x, "is_ko", "is_sub = 0"), "ko": _binary(x, "is_ko"), "dec": _binary(x, "is_dec")}
     y = x.where("part > 0")
     for name, model in models.items():
@@ -443,5 +379,5 @@ def parameter_search(spark: SparkSession, sf_dir: str, trials: int = 24, top: in
     return best.join(again, "trial").withColumn("rank", F.row_number().over(Window.orderBy("log_loss", "trial")))  # `top` rows
 
 
-QUERIES = {f.__name__: f for f in (winner_predictions, calibration_scores, interval_widths, contributions, permutation_importance, styles_kmeans, method_probabilities, temporal_cv, parameter_search)}
+QUERIES = {f.__name__: f for f in (winner_predictions, calibration_scores, interval_widths, permutation_importance, styles_kmeans, method_probabilities, temporal_cv, parameter_search)}
 ORACLES: dict[str, str] = {}

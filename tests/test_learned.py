@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from duelframe.operators import learned
@@ -60,14 +59,6 @@ def test_parts_follow_time(matchups):
     assert 0.75 < r[0].n / sum(x.n for x in r) < 0.85
 
 
-def test_contributions_add_up_to_the_log_odds(spark, matchups, model, tmp_path):
-    learned.save(model, str(tmp_path / "m"))
-    forest = learned.nodes_of(learned.load(str(tmp_path / "m")).stages[-1])
-    rows = model.transform(matchups.where("part = 2")).select(*learned.INPUTS, vector_to_array("probability")[1].alias("p")).toPandas()
-    base, by = learned.contributions_of(rows[list(learned.INPUTS)].to_numpy(float), forest)
-    assert np.allclose(base + by.sum(axis=1), np.log(rows["p"] / (1 - rows["p"])), atol=1e-6)
-
-
 def test_winner_is_calibrated(matchups, model):
     oof = learned.out_of_fold(matchups, folds=2, rounds=2)
     assert oof.count() == matchups.where("part = 0 AND label IS NOT NULL").count()
