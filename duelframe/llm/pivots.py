@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, workers_can_import, written
+from .common import table, workers_can_import, written
 from .near_dedup import components
 
 LEAST = 0.93
@@ -45,6 +45,8 @@ SHARED = 4
 SAMPLE, APART = 20_000, 0.8
 #: Entries in one side of a unit.
 BLOCK = 2048
+#: Parts in which a list's entries meet its sizes.
+SALTS = 64
 #: Hubs at most, and members of the same three nearest pivots from which a group names one.
 CORES, CORE_MEMBERS = 256, 64
 
@@ -219,14 +221,18 @@ def linked(c: DataFrame, d: int, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast((rank, hubs, [r["label"] for r in large], half))
     entry = f"label {dict(c.dtypes)['label']}, list int, core int, class long, copies long, bits binary, embedding {kind}"
     entries = written(known.mapInArrow(_post_batches(shared, d, least, posted), entry), "pivot-lists")
-    # Blocks of a list: those of each core, then those of what is in none.
-    sizes = entries.groupBy("label", "list", "core").agg(F.count(F.lit(1)).alias("n"))
+    # Blocks of a list: those of each core, then those of what is in none. Entries meet their list's sizes by salt, so a long list
+    # isn't joined in one task, nor its units made in one.
+    salt = F.pmod(F.xxhash64("class"), F.lit(SALTS)).alias("salt")
+    counts = entries.groupBy("label", "list", salt, "core").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("label", "list", "core").agg(F.sum("n").alias("n"))
     sizes = sizes.groupBy("label", "list").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("core", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))).alias("cores")).where("n > 1")  # CORES + 1 in a list at most
+    sizes = counts.select("label", "list", "salt").distinct().join(sizes, ["label", "list"])
     start = F.aggregate(F.filter("cores", lambda x: x["core"] < F.col("core")), F.lit(0), lambda a, x: a + x["blocks"])
     own = F.aggregate(F.filter("cores", lambda x: x["core"] == F.col("core")), F.lit(0), lambda a, x: a + x["blocks"])
     total = F.aggregate("cores", F.lit(0), lambda a, x: a + x["blocks"])
     short = F.col("n") <= BLOCK  # one block holds the whole list
-    x = entries.join(sizes, ["label", "list"]).withColumns({"_start": start, "_own": own, "_total": total})
+    x = entries.withColumn("salt", salt).join(sizes, ["label", "list", "salt"]).withColumns({"_start": start, "_own": own, "_total": total})
     x = x.withColumn("block", F.when(short, 0).otherwise(F.col("_start") + F.pmod(F.xxhash64("class"), F.col("_own")).cast("int")))
     x = x.withColumn("other", F.explode(F.when(short, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_total") - 1))))
     one_core = ~short & (F.col("core") >= 0) & F.col("other").between(F.col("_start"), F.col("_start") + F.col("_own") - 1)
