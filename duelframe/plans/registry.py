@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from duelframe.operators import endpoints, evaluation, features, form, learned, market, matchup, metrics, models, ranking, ratings, relational, skills
+from duelframe.operators import endpoints, evaluation, features, form, information, learned, market, matchup, metrics, models, ranking, ratings, relational, skills
 from duelframe.plans import sql
 from duelframe.sources import documents, records, sinks
 from duelframe.streaming import state, windows
 
-_MODULES = (metrics, form, features, endpoints, market, ratings, skills, ranking, evaluation, matchup, relational, documents, records, sinks, learned, models, windows, state, sql)
+_MODULES = (metrics, form, features, endpoints, market, ratings, skills, ranking, evaluation, matchup, relational, documents, records, sinks, learned, models, information, windows, state, sql)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in _MODULES:
