@@ -11,7 +11,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions import text
-from duelframe.operators import features, market, ratings
+from duelframe.operators import dirichlet, features, market, ratings, vennabers
 from duelframe.session import staged, workers_can_import
 from duelframe.sources import adapter
 
@@ -113,46 +112,6 @@ def out_of_fold(m: DataFrame, folds: int = 5, rounds: int = 5) -> DataFrame:
     return staged(out, "out-of-fold")
 
 
-#: Scores are counted in this many cells for intervals, so what a task gets has a fixed size.
-CELLS = 500
-
-
-def venn_abers(scores: list[float], ones: list[float], n: list[float], at: float) -> tuple[float, float]:
-    """(p0, p1): the isotonic fit at a score when it is added with the result 0, and with 1.
-
-    scores are sorted; ones of n results at each are 1. The fit at a place is the largest of the least means of
-    runs that start at or before it and end at or after it."""
-    x, s, w = np.asarray(scores, float), np.asarray(ones, float), np.asarray(n, float)
-    lo, hi = np.searchsorted(x, at, "left"), np.searchsorted(x, at, "right")
-    found = []
-    for y in (0.0, 1.0):
-        own = (s[lo:hi].sum() + y, w[lo:hi].sum() + 1.0)
-        left_s, left_w = np.concatenate([[0.0], np.cumsum(s[:lo][::-1])]), np.concatenate([[0.0], np.cumsum(w[:lo][::-1])])
-        right_s, right_w = np.concatenate([[0.0], np.cumsum(s[hi:])]), np.concatenate([[0.0], np.cumsum(w[hi:])])
-        means = (left_s[:, None] + right_s + own[0]) / (left_w[:, None] + right_w + own[1])
-        found.append(float(means.min(axis=1).max()))
-    return found[0], found[1]
-
-
-def _intervals(batches):
-    for t in batches:
-        pairs = [venn_abers(r.scores, r.ones, r.n, r.cell / CELLS) for r in t.itertuples()]
-        yield pd.DataFrame({"cell": t["cell"], "va_low": [a for a, _ in pairs], "va_high": [b for _, b in pairs]})
-
-
-def intervals(calibration: DataFrame, rows: DataFrame, p: str = "p") -> DataFrame:
-    """rows with va_low, va_high and va_prob = high / (1 - low + high), by cells of the score."""
-    spark = rows.sparkSession
-    workers_can_import(spark)
-    cell = F.floor(F.col(p) * CELLS).cast("int")
-    seen = calibration.groupBy(F.floor(F.col("p") * CELLS).cast("int").alias("c")).agg(F.sum("label").alias("ones"), F.count(F.lit(1)).cast("double").alias("n"))
-    packed = seen.agg(F.sort_array(F.collect_list(F.struct((F.col("c") / CELLS).alias("s"), "ones", "n"))).alias("l"))  # CELLS + 1 at most
-    packed = packed.select(F.transform("l", lambda x: x["s"]).alias("scores"), F.transform("l", lambda x: x["ones"]).alias("ones"), F.transform("l", lambda x: x["n"]).alias("n"))
-    asked = rows.select(cell.alias("cell")).distinct().crossJoin(F.broadcast(packed))
-    table = asked.mapInPandas(_intervals, "cell int, va_low double, va_high double")
-    return rows.withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell").withColumn("va_prob", F.col("va_high") / (1.0 - F.col("va_low") + F.col("va_high")))
-
-
 def calibrated(m: DataFrame, model: PipelineModel, oof: DataFrame) -> DataFrame:
     """Test rows with the raw score p and those of Platt, isotonic (also on out-of-fold scores) and Venn-Abers."""
     scored = staged(probability(model, m.where("part > 0"), "p").select("fight_id", "ts", "part", "label", "p", "odds_red_prob", "odds_blue_prob", "red_best", "blue_best"), "scored")
@@ -163,7 +122,7 @@ def calibrated(m: DataFrame, model: PipelineModel, oof: DataFrame) -> DataFrame:
     for name, on in (("isotonic", fit_on), ("isotonic_folds", oof)):
         model_ = IsotonicRegression(featuresCol="p", labelCol="label").fit(on.select("p", "label"))
         out = model_.transform(out).withColumn(name, F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("prediction")))).drop("prediction")
-    return intervals(oof, out)
+    return vennabers.intervals(oof, out)
 
 
 METHODS = ("p", "platt", "isotonic", "isotonic_folds", "va_prob")
@@ -282,7 +241,7 @@ def method_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = staged(y.select("fight_id", "part", "method_class", *keep), "method-scores")
     w = blend_weights(y.where("part = 1")).first()
     y = _shares(y, {f"c_{c}": w[f"w_{c}"] * F.col(f"a_{c}") + (1 - w[f"w_{c}"]) * F.col(f"b_{c}") for c in CLASSES})
-    return dirichlet(y)
+    return calibrated_methods(y)
 
 
 def _log_loss(names: list[str]) -> Column:
@@ -303,28 +262,35 @@ def blend_weights(rows: DataFrame, step: float = 0.1) -> DataFrame:
     return by.orderBy(F.round("loss", 12), *[f"w_{c}" for c in CLASSES]).limit(1)
 
 
-def dirichlet(rows: DataFrame, on: str = "part = 1") -> DataFrame:
-    """rows with d_<class>: multinomial logistic regression on log probabilities, with a small ridge, sharpened
-    by the temperature of least log loss on the same rows."""
-    logs = [F.log(F.greatest(F.col(f"c_{c}"), F.lit(1e-6))).alias(f"l_{c}") for c in CLASSES]
-    number = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("method_class")).cast("double") - 1.0
-    x = rows.select("*", *logs, number.alias("y"))
-    steps = [VectorAssembler(inputCols=[f"l_{c}" for c in CLASSES], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-3)]
-    model = Pipeline(stages=steps).fit(x.where(on))
-    raw = model.transform(x).withColumn("s", vector_to_array("rawPrediction")).drop("x", "rawPrediction", "probability", "prediction", *[f"l_{c}" for c in CLASSES])
-    raw = raw.withColumns({f"s_{c}": F.coalesce(F.get("s", F.lit(i)), F.lit(-30.0)) for i, c in enumerate(CLASSES)}).drop("s", "y")
-    tried = raw.where(on).select("*", F.explode(F.array(*[F.lit(t / 10) for t in range(5, 31)])).alias("t"))
-    soft = text.softmax(*[F.col(f"s_{c}") / F.col("t") for c in CLASSES])
-    by = tried.withColumns({f"m_{c}": soft[i] for i, c in enumerate(CLASSES)}).groupBy("t").agg(_log_loss([f"m_{c}" for c in CLASSES]).alias("loss")).orderBy("loss", "t").limit(1).select("t")
-    out = raw.crossJoin(F.broadcast(by))  # one row
-    soft = text.softmax(*[F.col(f"s_{c}") / F.col("t") for c in CLASSES])
-    return out.withColumns({f"d_{c}": soft[i] for i, c in enumerate(CLASSES)}).drop("t", *[f"s_{c}" for c in CLASSES])
+#: Temperatures that are tried.
+TEMPERATURES = tuple(0.5 + 0.05 * i for i in range(51))
+
+
+def calibrated_methods(rows: DataFrame, on: str = "part = 1") -> DataFrame:
+    """rows with d_<class>, Dirichlet calibration of the blend, and t_<class>, the blend at the temperature of least log loss; both fitted
+    where `on` holds."""
+    number = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("method_class")).cast("int") - 1
+    blend = [f"c_{c}" for c in CLASSES]
+    w, b = dirichlet.fit(rows.where(on).withColumn("_y", number), blend, "_y")
+    out = dirichlet.apply(rows, w, b, blend, [f"d_{c}" for c in CLASSES])
+    logs = [F.log(F.greatest(F.col(c), F.lit(dirichlet.FLOOR))) for c in blend]
+    at = lambda t: text.softmax(*[x / t for x in logs])
+    loss = lambda t: _log_loss_of(at(F.lit(t)))
+    losses = rows.where(on).agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()  # one row
+    best = min(range(len(TEMPERATURES)), key=lambda i: (losses[i] if losses[i] is not None else 0.0, TEMPERATURES[i]))
+    soft = at(F.lit(TEMPERATURES[best]))
+    return out.withColumns({f"t_{c}": soft[i] for i, c in enumerate(CLASSES)})
+
+
+def _log_loss_of(soft) -> Column:
+    own = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("method_class")).cast("int")
+    return F.avg(-F.log(F.greatest(F.element_at(F.array(*[soft[i] for i in range(len(CLASSES))]), own), F.lit(1e-15))))
 
 
 def method_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = method_scores(spark, sf_dir).where("part = 2")
     top = lambda m: text.argmax(CLASSES, *[F.col(f"{m}_{c}") for c in CLASSES])
-    return y.select("fight_id", "method_class", *[f"{m}_{c}" for m in ("a", "b", "r", "c", "d") for c in CLASSES], top("d").alias("predicted"))
+    return y.select("fight_id", "method_class", *[f"{m}_{c}" for m in ("a", "b", "r", "c", "d", "t") for c in CLASSES], top("d").alias("predicted"))
 
 
 # -- search and validation

@@ -19,34 +19,6 @@ def model(matchups):
     return learned.fit_winner(matchups, rounds=4)
 
 
-def pooled(y, w):
-    """Isotonic means by pooling adjacent violators."""
-    out = []
-    for a, b in zip(y, w):
-        out.append([a * b, b, 1])
-        while len(out) > 1 and out[-2][0] / out[-2][1] >= out[-1][0] / out[-1][1]:
-            s, n, k = out.pop()
-            out[-1] = [out[-1][0] + s, out[-1][1] + n, out[-1][2] + k]
-    return [s / n for s, n, k in out for _ in range(k)]
-
-
-def test_intervals_equal_isotonic_fits():
-    rng = np.random.default_rng(1)
-    x = np.unique(rng.integers(0, 100, 40)) / 100
-    n = rng.integers(1, 5, len(x)).astype(float)
-    ones = np.array([rng.binomial(int(k), p) for k, p in zip(n, x)], dtype=float)
-    for at in (0.0, x[3], 0.5, 0.987):
-        for result, got in zip((0.0, 1.0), learned.venn_abers(x, ones, n, at)):
-            ys, ws, xs = ones.copy(), n.copy(), x.copy()
-            if at in xs:
-                i = int(np.flatnonzero(xs == at)[0])
-                ys[i], ws[i] = ys[i] + result, ws[i] + 1
-            else:
-                i = int(np.searchsorted(xs, at))
-                xs, ys, ws = np.insert(xs, i, at), np.insert(ys, i, result), np.insert(ws, i, 1.0)
-            assert pooled(ys / ws, ws)[i] == pytest.approx(got)
-
-
 def test_image_twice_is_identity(matchups):
     back = learned.image(learned.image(matchups)).select(*matchups.columns)
     cols = ["fight_id", "label", "diff_elo", "red_elo", "blue_elo", "odds_red_prob", "odds_diff"]
@@ -71,7 +43,7 @@ def test_winner_is_calibrated(matchups, model):
 
 def test_methods_blend_to_distributions(spark):
     y = learned.method_scores(spark, SF)
-    for m in "abrcd":
+    for m in "abrcdt":
         assert y.where(F.abs(sum([F.col(f"{m}_{c}") for c in learned.CLASSES[1:]], F.col(f"{m}_{learned.CLASSES[0]}")) - 1) > 1e-6).count() == 0
 
 
