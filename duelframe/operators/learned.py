@@ -13,8 +13,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +25,6 @@ from duelframe.session import staged, workers_can_import
 from duelframe.sources import adapter
 
 SEED = 42
-STYLES = 6
 #: The boosted trees (rounds are the parameter `rounds`).
 TREES = {"maxDepth": 3, "stepSize": 0.037, "featureSubsetStrategy": "0.65", "minInstancesPerNode": 32, "maxBins": 128, "seed": SEED}
 ROUNDS = 20
@@ -185,17 +183,6 @@ def permutation_importance(spark: SparkSession, sf_dir: str, names: tuple[str, .
     return out.select("feature", "accuracy", (base - F.col("accuracy")).alias("importance"))
 
 
-# -- styles
-
-
-def styles_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each entity's style: k-means on scaled means; numbers of styles mean nothing."""
-    p = features.style_profile(spark, sf_dir)
-    cols = list(features.STYLE_COLUMNS)
-    steps = [VectorAssembler(inputCols=cols, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True), KMeans(k=STYLES, seed=SEED, featuresCol="x", predictionCol="style", initSteps=5, maxIter=50)]
-    return Pipeline(stages=steps).fit(p).transform(p).select("fighter_id", "style", *[(F.col("style") == i).cast("double").alias(f"style_{i}") for i in range(STYLES)])
-
-
 # -- methods
 
 CLASSES = ("ko", "sub", "dec")
@@ -345,5 +332,5 @@ def parameter_search(spark: SparkSession, sf_dir: str, trials: int = 24, top: in
     return best.join(again, "trial").withColumn("rank", F.row_number().over(Window.orderBy("log_loss", "trial")))  # `top` rows
 
 
-QUERIES = {f.__name__: f for f in (winner_predictions, calibration_scores, interval_widths, permutation_importance, styles_kmeans, method_probabilities, temporal_cv, parameter_search)}
+QUERIES = {f.__name__: f for f in (winner_predictions, calibration_scores, interval_widths, permutation_importance, method_probabilities, temporal_cv, parameter_search)}
 ORACLES: dict[str, str] = {}

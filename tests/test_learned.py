@@ -53,8 +53,6 @@ def test_blend_finds_the_better_side(spark):
     assert tuple(learned.blend_weights(df, step=0.25).first())[:3] == (1.0, 1.0, 1.0)
 
 
-def test_search_and_styles(spark):
+def test_search_folds_the_same_again(spark):
     best = learned.parameter_search(spark, SF, trials=5, top=2).collect()
     assert len(best) == 2 and all(r.log_loss == r.again for r in best)
-    styles = learned.styles_kmeans(spark, SF).collect()
-    assert len(styles) == len({r.fighter_id for r in styles}) and all(sum(r[f"style_{i}"] for i in range(learned.STYLES)) == 1 for r in styles)
