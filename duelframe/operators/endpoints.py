@@ -126,15 +126,15 @@ TENDENCIES = {
 }
 
 
-def method_matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bouts with a mapped method: both sides' method rates, tendencies, and rates weighed by the winner's
+def method_matchup(spark: SparkSession, sf_dir: str, decided: bool = True) -> DataFrame:
+    """Bouts with a mapped method (all, unless `decided`): both sides' method rates, tendencies, and rates weighed by the winner's
     probability; bouts without a prediction have nulls in these."""
     form = features.rolled(features.side_features(spark, sf_dir), ("won",))
     f = form.select("fight_id", "corner", *[F.expr(features.CAREER[m]).alias(m) for m in METHOD_RATES])
     side = lambda corner, c: F.max(F.when(F.col("corner") == corner, F.col(c))).alias(f"{corner}_{c}")
     by = f.groupBy("fight_id").agg(*[side(k, m) for k in ("red", "blue") for m in METHOD_RATES])
     b = adapter.bouts(spark, sf_dir).where(F.col("date") >= F.lit("2015-01-01").cast("date"))
-    b = b.select("fight_id", text.method_class(F.col("method")).alias("method_class"), F.regexp_replace(text.division(F.col("weight_class")), "^w_", "").alias("division"), text.is_long(F.col("time_format")).cast("double").alias("is_5_round")).where("method_class IS NOT NULL")
+    b = b.select("fight_id", text.method_class(F.col("method")).alias("method_class"), F.regexp_replace(text.division(F.col("weight_class")), "^w_", "").alias("division"), text.is_long(F.col("time_format")).cast("double").alias("is_5_round")).where("method_class IS NOT NULL" if decided else "true")
     p = adapter.predictions(spark, sf_dir).select("fight_id", F.col("red_prob").alias("p"))
     ordinal = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ORDINALS.items() for x in kv]), F.col("division")), F.lit(5)).cast("double")
     x = by.join(b, "fight_id").join(p, "fight_id", "left")
@@ -233,7 +233,7 @@ def interval_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bets by strategy and threshold: narrow intervals only, or the cautious end of the interval instead of the
     prediction itself. The grid is exploded beside each bout, then one aggregation."""
     x = adapter.predictions(spark, sf_dir).where("red_won IS NOT NULL").join(market.best_prices(adapter.quotes(spark, sf_dir)), "fight_id")
-    x = x.withColumns({"p0": F.expr(_LOW), "p1": F.expr(_HIGH)})
+    x = x.withColumns({"p0": F.col("va_low"), "p1": F.col("va_high")} if "va_low" in x.columns else {"p0": F.expr(_LOW), "p1": F.expr(_HIGH)})
     grid = [F.struct(F.lit("width").alias("strategy"), F.lit(w).alias("level")) for w in WIDTHS] + [F.struct(F.lit(s).alias("strategy"), F.lit(e).alias("level")) for s in ("point", "cautious") for e in EDGE_GRID]
     x = x.select("*", F.explode(F.array(*grid)).alias("g")).select("*", "g.strategy", "g.level")
     p, cautious, width = F.col("red_prob"), F.col("strategy") == "cautious", F.col("strategy") == "width"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions import text
-from duelframe.operators import dirichlet, features, market, ratings, vennabers
+from duelframe.operators import dirichlet, endpoints, features, market, ratings, vennabers
 from duelframe.session import staged, workers_can_import
 from duelframe.sources import adapter
 
@@ -35,21 +35,37 @@ ODDS = ("odds_red_prob", "odds_blue_prob", "odds_diff", "odds_fav_is_red")
 INPUTS = (*(f"diff_{c}" for c in NUMBERS), *(f"{s}_{c}" for s in ("red", "blue") for c in SIDED), *ODDS)
 
 
-def winner_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fight_id, ts, label (red won; null: no winner), and INPUTS of each bout, from one aggregation by bout."""
+def winner_matchups(spark: SparkSession, sf_dir: str, upcoming: bool = False) -> DataFrame:
+    """fight_id, ts, label (red won; null: no winner), and INPUTS of each bout, from one aggregation by bout.
+
+    With `upcoming`, bouts of the last day have no results yet: column upcoming tells them, their label is null, and both sides have
+    their newest form, from all bouts before that day."""
     s = adapter.sides(spark, sf_dir)
-    f = features.rolled(features.bout_features(features.paired(features.contested(s))), FORM)
-    f = f.select(*features.KEYS, *[c for c in NUMBERS if c.split("_")[0] in ("avg", "recent", "last3")], *[F.expr(features.CAREER[c]).alias(c) for c in ("career_fights", "career_win_pct", "finish_rate", "been_finished_rate")])
+    f = features.bout_features(features.paired(features.contested(s)))
     elo = ratings.elo_history(spark, sf_dir).select("fight_id", "fighter_id", F.col("elo_before").alias("elo"))
+    last = F.broadcast(s.agg(F.max("date").alias("_last")))  # one row
+    to_come = F.lit(False)
+    if upcoming:
+        to_come = F.to_date("ts") == F.col("_last")
+        known = f.crossJoin(last).where(~to_come)
+        f = known.unionByName(s.select(*features.KEYS).crossJoin(last).where(to_come), allowMissingColumns=True)
+    f = features.rolled(f, FORM)
+    f = f.select(*features.KEYS, *[c for c in NUMBERS if c.split("_")[0] in ("avg", "recent", "last3")], *[F.expr(features.CAREER[c]).alias(c) for c in ("career_fights", "career_win_pct", "finish_rate", "been_finished_rate")])
     body = features.physical(spark, sf_dir).select("fighter_id", "reach_inches", "dob")
     f = f.join(elo, ["fight_id", "fighter_id"], "left").join(body, "fighter_id", "left").withColumn("age", text.age(F.to_date("ts"), F.col("dob")))
+    if upcoming:  # the rating before the day, which the day's first bout has
+        day = Window.partitionBy("fighter_id", to_come).orderBy("ts", "fight_id")
+        f = f.crossJoin(last).withColumn("elo", F.when(to_come, F.first("elo").over(day)).otherwise(F.col("elo"))).drop("_last")
     side = lambda k, c: F.max(F.when(F.col("corner") == k, F.col(c)))
     by = f.groupBy("fight_id").agg(*[side(k, c).alias(f"{k}_{c}") for k in ("red", "blue") for c in NUMBERS])
-    b = adapter.bouts(spark, sf_dir).select("fight_id", "ts", F.when(F.col("winner_id").isNotNull(), (F.col("winner_id") == F.col("red_id")).cast("double")).alias("label"))
+    b = adapter.bouts(spark, sf_dir).crossJoin(last)
+    if upcoming:
+        b = b.withColumn("winner_id", F.when(~to_come, F.col("winner_id")))
+    b = b.select("fight_id", "ts", to_come.alias("upcoming"), F.when(F.col("winner_id").isNotNull(), (F.col("winner_id") == F.col("red_id")).cast("double")).alias("label"))
     p = market.best_prices(adapter.quotes(spark, sf_dir)).select("fight_id", F.col("red_mean").alias("odds_red_prob"), F.col("blue_mean").alias("odds_blue_prob"), "red_best", "blue_best")
     x = by.join(b, "fight_id").join(p, "fight_id", "left")
-    x = x.select("fight_id", "ts", "label", "red_best", "blue_best", *[(F.col(f"red_{c}") - F.col(f"blue_{c}")).alias(f"diff_{c}") for c in NUMBERS], *[F.col(f"{s}_{c}") for s in ("red", "blue") for c in SIDED], "odds_red_prob", "odds_blue_prob", (F.col("odds_red_prob") - F.col("odds_blue_prob")).alias("odds_diff"), (F.col("odds_red_prob") > 0.5).cast("double").alias("odds_fav_is_red"))
-    return x
+    own = ["upcoming"] if upcoming else []
+    return x.select("fight_id", "ts", "label", *own, "red_best", "blue_best", *[(F.col(f"red_{c}") - F.col(f"blue_{c}")).alias(f"diff_{c}") for c in NUMBERS], *[F.col(f"{s}_{c}") for s in ("red", "blue") for c in SIDED], "odds_red_prob", "odds_blue_prob", (F.col("odds_red_prob") - F.col("odds_blue_prob")).alias("odds_diff"), (F.col("odds_red_prob") > 0.5).cast("double").alias("odds_fav_is_red"))
 
 
 def image(m: DataFrame) -> DataFrame:
@@ -189,11 +205,10 @@ CLASSES = ("ko", "sub", "dec")
 METHOD_INPUTS = ("weight_class_ordinal", "is_5_round", "winner_prob", "ko_tendency", "sub_tendency", "dec_tendency", "favorite_prob", "fav_ko_rate", "fav_sub_rate", "fav_finish_rate", "combined_ko_rate", "combined_sub_rate", "combined_dec_rate", "combined_been_ko_rate", "combined_been_subbed_rate")
 
 
-def method_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from duelframe.operators.endpoints import method_matchup
-
+def method_rows(spark: SparkSession, sf_dir: str, decided: bool = True) -> DataFrame:
+    """Method matchups with parts and filled gaps, and a flag for each class; those without a method too, unless `decided`."""
     ts = adapter.bouts(spark, sf_dir).select("fight_id", "ts")
-    x = staged(with_parts(method_matchup(spark, sf_dir).join(ts, "fight_id"), (0.7, 0.8)), "method-matchups")
+    x = staged(with_parts(endpoints.method_matchup(spark, sf_dir, decided).join(ts, "fight_id"), (0.7, 0.8)), "method-matchups")
     flags = {f"is_{c}": (F.col("method_class") == c).cast("double") for c in CLASSES} | {"is_finish": (F.col("method_class") != "dec").cast("double")}
     return staged(features.imputed(x, list(METHOD_INPUTS), F.col("part") == 0).withColumns(flags), "method-matchups")
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions import text
-from duelframe.operators import boosting, learned
-from duelframe.session import new_path
+from duelframe.operators import boosting, endpoints, evaluation, features, learned, market, vennabers
+from duelframe.session import new_path, staged
+from duelframe.sources import adapter, sinks
 
 #: Share of the training rows that decide when to stop.
 HELD_OUT = 0.15
@@ -71,5 +72,83 @@ def method_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.withColumn("predicted", text.argmax(learned.CLASSES, *[F.col(n) for n in names]))
 
 
-QUERIES = {f.__name__: f for f in (contributions, method_joint)}
+# -- the predictions table
+
+
+def all_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matchups of past bouts with their parts, and of upcoming ones as part 3; gaps filled by means of the training part."""
+    x = staged(learned.winner_matchups(spark, sf_dir, upcoming=True), "matchups")
+    parts = learned.with_parts(x.where("NOT upcoming")).unionByName(x.where("upcoming").withColumn("part", F.lit(3)))
+    return staged(features.imputed(parts, list(learned.INPUTS), F.col("part") == 0), "matchups")
+
+
+def write_predictions(spark: SparkSession, sf_dir: str, path: str, contributions_path: str, rounds: int = ROUNDS) -> None:
+    """Scores all past and upcoming bouts with both models and replaces the two tables: predictions, and the top contributions.
+
+    red_prob is the winner model's, and va_low and va_high are its Venn-Abers bounds from the calibration part; the method model gets
+    red_prob as an input, as the winner's. Numbers are rounded half to even."""
+    m = all_matchups(spark, sf_dir)
+    forest = winner_forest(m, rounds)
+    p = boosting.scored(forest, m, ("fight_id", "part", "label", "upcoming"), ("p_blue", "p"))
+    p = staged(p, "winner-scores")
+    p = vennabers.intervals(p.where("part = 1 AND label IS NOT NULL"), p)
+    four = lambda c: F.bround(c, 4)
+    winner = p.select("fight_id", "upcoming", F.when(F.col("p") >= 0.5, "red").otherwise("blue").alias("predicted_winner"), four(F.abs(F.col("p") - 0.5)).alias("confidence"), four(F.col("p")).alias("red_prob"), four(F.col("va_low")).alias("va_low"), four(F.col("va_high")).alias("va_high"))
+    winner = staged(winner.withColumn("predicted_method", F.lit(None).cast("string")), "winner-predictions")
+    with adapter.reading_predictions(spark, winner_path(winner)):
+        rows = learned.method_rows(spark, sf_dir, decided=False)
+    known = rows.join(winner.where("NOT upcoming").select("fight_id"), "fight_id")
+    methods = boosting.scored(method_forest(known.where("method_class IS NOT NULL"), rounds), rows, ("fight_id",), tuple(f"p_{c}" for c in learned.CLASSES))
+    methods = methods.withColumn("predicted_method", text.argmax(learned.CLASSES, *[F.col(f"p_{c}") for c in learned.CLASSES]))
+    out = winner.drop("predicted_method").join(methods.select("fight_id", "predicted_method", *[four(F.col(f"p_{c}")).alias(f"p_{c}") for c in learned.CLASSES]), "fight_id", "left")
+    sinks.replace_table(out, path)
+    top = top_contributions(forest, m)
+    sinks.replace_table(top.select("fight_id", "rank", "feature", F.bround("contribution", 6).alias("contribution"), F.bround("value", 4).alias("value")), contributions_path)
+
+
+def winner_path(df: DataFrame) -> str:
+    """The folder of a staged table."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
+_made: dict[tuple[str, str], str] = {}
+
+
+def predictions_path(spark: SparkSession, sf_dir: str) -> str:
+    """The tables of an application's run over sf_dir, made once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        path = new_path(spark, "model-predictions")
+        write_predictions(spark, sf_dir, path, f"{path}-contributions")
+        _made[key] = path
+    return _made[key]
+
+
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions table."""
+    return spark.read.parquet(predictions_path(spark, sf_dir))
+
+
+def model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contributions table: a bout's top features."""
+    return spark.read.parquet(predictions_path(spark, sf_dir) + "-contributions")
+
+
+def over_predictions(query):
+    """The query over the predictions table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with adapter.reading_predictions(spark, predictions_path(spark, sf_dir)):
+            return query(spark, sf_dir)
+
+    return run
+
+
+#: Queries of predictions, over the models' instead of made-up ones.
+OVER_PREDICTIONS = {
+    f.__name__: f
+    for f in (market.picks_edge, market.winner_metrics_conf, market.winner_metrics_edge, market.value_bets_grid, evaluation.method_metrics, evaluation.confusion, evaluation.reliability, evaluation.scores, endpoints.interval_bets, endpoints.upcoming_bouts, endpoints.overall_metrics, endpoints.bankroll)
+}
+
+QUERIES = {f.__name__: f for f in (contributions, method_joint, model_predictions, model_contributions)} | {f"model_{n}": over_predictions(f) for n, f in OVER_PREDICTIONS.items()}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,9 @@ common table expressions, for oracles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,11 +102,32 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select((f * 3 + b).alias("id"), "fight_id", F.concat(F.lit("book"), b.cast("string")).alias("bookmaker"), F.when(even, favourite).otherwise(underdog).cast("int").alias("red_odds"), F.when(even, underdog).otherwise(favourite).cast("int").alias("blue_odds")).withColumns({"red_implied": odds.implied("red_odds"), "blue_implied": odds.implied("blue_odds")})
 
 
+#: Names a table of predictions, as models.write_predictions makes it; unset: made up.
+PREDICTIONS = "duelframe.predictions"
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """red_prob, predicted_method (and bounds where the table has them) of bouts, with their outcome: from the table that PREDICTIONS names, or made
+    up."""
     f = F.col("fight_id")
+    outcome = (F.when(F.col("winner_id").isNotNull(), (F.col("winner_id") == F.col("red_id")).cast("int")).alias("red_won"), "method", "weight_class", "finish_round")
+    at = spark.conf.get(PREDICTIONS, None)
+    if at:
+        p = spark.read.parquet(at)
+        return bouts(spark, sf_dir).select("fight_id", *outcome).join(p.select("fight_id", "red_prob", "predicted_method", "va_low", "va_high"), "fight_id")
     classes = F.array(F.lit("ko"), F.lit("sub"), F.lit("dec"))
-    x = bouts(spark, sf_dir).where(f % 10 != 8).select("fight_id", ((37 * f) % 1000 / F.lit(1000.0)).alias("red_prob"), F.element_at(classes, (f % 3 + 1).cast("int")).alias("predicted_method"), F.when(F.col("winner_id").isNotNull(), (F.col("winner_id") == F.col("red_id")).cast("int")).alias("red_won"), "method", "weight_class", "finish_round")
-    return x
+    return bouts(spark, sf_dir).where(f % 10 != 8).select("fight_id", ((37 * f) % 1000 / F.lit(1000.0)).alias("red_prob"), F.element_at(classes, (f % 3 + 1).cast("int")).alias("predicted_method"), *outcome)
+
+
+@contextmanager
+def reading_predictions(spark: SparkSession, path: str) -> Iterator[None]:
+    """Queries that are made within read the table under `path`."""
+    before = spark.conf.get(PREDICTIONS, None)
+    spark.conf.set(PREDICTIONS, path)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PREDICTIONS) if before is None else spark.conf.set(PREDICTIONS, before)
 
 
 #: Names, stances and places of the invented entities and cards.
