@@ -8,11 +8,13 @@ adapted bouts first, so that what they read back is known.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from duelframe.functions import text
 from duelframe.session import workers_can_import
@@ -23,6 +25,8 @@ from duelframe.sources.adapter import oracle
 TOTALS = ("name", "kd", "sig", "sig_pct", "total", "td", "td_pct", "sub_att", "rev", "ctrl")
 STRIKES = ("name", "sig", "sig_pct", "head", "body", "leg", "distance", "clinch", "ground")
 PAIRS = ("sig", "total", "td", "head", "body", "leg", "distance", "clinch", "ground")
+#: Ends of class names that tell what an element holds.
+MARKS = ("__label", "__text-item", "__fight-title", "__person")
 
 
 class BoutPage(HTMLParser):
@@ -34,12 +38,14 @@ class BoutPage(HTMLParser):
         self.items: dict[str, str] = {}
         self.tables: list[list[list[list[str]]]] = []
         self.title = ""
-        self._open: list[tuple[str, str]] = []
+        self._open: list[tuple[str, str, list[tuple[str, str]]]] = []
+        #: Open elements by tag, and by tag and mark.
+        self._inside: Counter = Counter()
         self._label = self._value = ""
         self.feed(html)
 
     def _in(self, name: str, mark: str = "") -> bool:
-        return any(t == name and mark in c for t, c in self._open)
+        return self._inside[name, mark] > 0
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
@@ -57,14 +63,20 @@ class BoutPage(HTMLParser):
         elif tag == "p" and self.tables and self.tables[-1] and self.tables[-1][-1]:
             self.tables[-1][-1][-1].append("")
         if tag not in ("br", "img", "hr", "meta", "link", "input"):
-            self._open.append((tag, mark))
+            keys = [(tag, ""), *((tag, m) for m in MARKS if m in mark)]
+            self._open.append((tag, mark, keys))
+            self._inside.update(keys)
 
     def handle_endtag(self, tag):
+        if not self._inside[tag, ""]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
                 if tag == "i" and "__text-item" in self._open[i][1]:
                     self.items[" ".join(self._label.split()).rstrip(":")] = " ".join(self._value.split())
                     self._label = self._value = ""
+                for *_, keys in self._open[i:]:
+                    self._inside.subtract(keys)
                 del self._open[i:]
                 break
 
@@ -120,10 +132,29 @@ def _parse(batches):
         yield pd.DataFrame([r for u, h in zip(t["url"], t["html"]) for r in bout_rows(u, h)], columns=_NAMES)
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """pages dealt anew by url over as many partitions as the session shuffles into: parsing takes longer than moving, and what comes out of an
+    aggregation may lie in one."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+
+
 def parse_bouts(pages: DataFrame) -> DataFrame:
     """BOUT rows of pages(url, html)."""
     workers_can_import(pages.sparkSession)
-    return pages.select("url", "html").mapInPandas(_parse, BOUT)
+    return spread(pages.select("url", "html")).mapInPandas(_parse, BOUT)
+
+
+class BoutRows:
+    """The table function bout_rows(url, html): BOUT rows of one page."""
+
+    def eval(self, url: str, html: str):
+        yield from bout_rows(url, html)
+
+
+def register_bout_rows(spark: SparkSession) -> None:
+    """Let SQL call bout_rows beside a table of pages, as in FROM pages, LATERAL bout_rows(url, html)."""
+    workers_can_import(spark)
+    spark.udtf.register("bout_rows", udtf(BoutRows, returnType=BOUT, useArrow=True))
 
 
 def _row(names: tuple[str, ...], red: Column, blue: Column) -> Column:
@@ -158,13 +189,21 @@ def pages_of_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.concat(F.lit("http://x/fight-details/"), F.col("fight_id").cast("string")).alias("url"), html.alias("html"))
 
 
-def bout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bout pages read back: counts by round and corner, who won, and the seconds fought."""
-    p = parse_bouts(pages_of_bouts(spark, sf_dir))
+def _read_back(p: DataFrame) -> DataFrame:
     fmt = F.regexp_extract("format", r"\(([^)]+)\)", 1)
     seconds = text.elapsed(fmt, F.col("round").cast("int"), F.col("time"))
-    counts = ["kd", "sub_att", "rev", "ctrl_seconds", *[f"{n}_{x}" for n in PAIRS for x in ("landed", "attempted")]]
-    return p.select(text.last_segment(F.col("url")).cast("long").alias("fight_id"), "round_number", "corner", F.col("fighter").cast("long").alias("fighter_id"), (F.col("mark") == "W").alias("won"), "title", "method", seconds.alias("seconds"), *counts)
+    return p.select(text.last_segment(F.col("url")).cast("long").alias("fight_id"), "round_number", "corner", F.col("fighter").cast("long").alias("fighter_id"), (F.col("mark") == "W").alias("won"), "title", "method", seconds.alias("seconds"), *_COUNTS)
+
+
+def bout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bout pages read back: counts by round and corner, who won, and the seconds fought."""
+    return _read_back(parse_bouts(pages_of_bouts(spark, sf_dir)))
+
+
+def bout_pages_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by SQL: a lateral join of pages with the table function."""
+    register_bout_rows(spark)
+    return _read_back(spark.sql("SELECT r.* FROM {pages} p, LATERAL bout_rows(p.url, p.html) r", pages=spread(pages_of_bouts(spark, sf_dir))))
 
 
 _COUNTS = ["kd", "sub_att", "rev", "ctrl_seconds", *[f"{n}_{x}" for n in PAIRS for x in ("landed", "attempted")]]
@@ -211,5 +250,5 @@ def roster_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROSTER_SQL = oracle("SELECT lower(strip_accents(first_name || ' ' || last_name)) AS name, CASE fighter_id % 3 WHEN 0 THEN 'US' ELSE 'GE' END AS country FROM fighters WHERE fighter_id % 3 < 2")
 
-QUERIES = {f.__name__: f for f in (bout_pages, fighter_listing, event_listing, roster_flags)}
-ORACLES = {"bout_pages": BOUT_SQL, "fighter_listing": LISTING_SQL, "event_listing": EVENTS_SQL, "roster_flags": ROSTER_SQL}
+QUERIES = {f.__name__: f for f in (bout_pages, bout_pages_sql, fighter_listing, event_listing, roster_flags)}
+ORACLES = {"bout_pages": BOUT_SQL, "bout_pages_sql": BOUT_SQL, "fighter_listing": LISTING_SQL, "event_listing": EVENTS_SQL, "roster_flags": ROSTER_SQL}

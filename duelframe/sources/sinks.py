@@ -28,22 +28,37 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """df in place of the table: written beside it first, so a failed job leaves the old table, and no reader
-    meets an empty one. df may read the table itself."""
+    """df in place of the table: written beside it first, so a failed job leaves the old table. df may read the table itself.
+
+    The old table is moved aside, then the new one in; if that fails, the old one is moved back. Between the two moves there is no
+    table under the path, so readers that may come at any moment should retry, or read a path that is never replaced."""
     spark = df.sparkSession
     mark = uuid.uuid4().hex
     staged, old = f"{path}-staged-{mark}", f"{path}-old-{mark}"
     df.write.parquet(staged)
     at, fs = _files(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(at) and not fs.rename(at, hadoop(old)):
+    moved = fs.exists(at)
+    if moved and not _rename(fs, at, hadoop(old)):
+        fs.delete(hadoop(staged), True)
         raise OSError(f"{path} can't be moved")
-    if not fs.rename(hadoop(staged), at):
+    try:
+        done = _rename(fs, hadoop(staged), at)
+    except Exception:
+        done = False
+    if not done:
+        if moved and not _rename(fs, hadoop(old), at):
+            raise OSError(f"{path} is under {old}: neither the new table nor the old one can be moved there")
+        fs.delete(hadoop(staged), True)
         raise OSError(f"{staged} can't be moved to {path}")
     fs.delete(hadoop(old), True)
     spark.catalog.refreshByPath(path)
 
 
+def _rename(fs, a, b) -> bool:
+    return fs.rename(a, b)
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Only the partitions that df has rows of are replaced."""
     df.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
