@@ -14,6 +14,7 @@ an empty file set; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from itertools import chain
@@ -61,7 +62,7 @@ class _Encoder:
         #: every chunk is slower.
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.lib.encode_special_tokens = True
-        self.full = lambda: Tokenizer.from_file(path)
+        self.full = functools.cache(lambda: Tokenizer.from_file(path))
         self.known: dict[str, bytes] = {}
         nl = self.lib.encode("\n", add_special_tokens=False).ids
         #: A lone line feed is one id, and it never merges with what stands beside it.
@@ -166,9 +167,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(partitions_for(spark, total, TEXT_PER_FILE), -(-total // 1_000_000)))
-    # Where many rows share a doc_id, their length and the part of the input that they come from cut them.
-    docs = docs.withColumns({"size": F.octet_length("text"), "part": F.spark_partition_id()})
-    dealt = docs.repartitionByRange(int(n), "doc_id", "size", "part").sortWithinPartitions("doc_id", "size", "part", "text")
+    # Where rows share a doc_id, their length and the part of the input that they come from cut them.
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        dealt = docs.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id")
+    else:
+        docs = docs.withColumns({"size": F.octet_length("text"), "part": F.spark_partition_id()})
+        dealt = docs.repartitionByRange(int(n), "doc_id", "size", "part").sortWithinPartitions("doc_id", "size", "part", "text")
     encoded = dealt.select("doc_id", "text").mapInArrow(_encode_batches(tokenizer or default_tokenizer(), end_id), "doc_id long, n_tokens long, ids array<int>")
     (
         encoded.write.option("parquet.writer.version", "PARQUET_2_0")
