@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values: (needle, division for men, division for women), in the order of the rules.
 DIVISION_RULES = (("strawweight", "strawweight", "w_strawweight"), ("flyweight", "flyweight", "w_flyweight"), ("bantamweight", "bantamweight", "w_bantamweight"), ("featherweight", "featherweight", "w_bantamweight"), ("lightweight", "lightweight", "lightweight"), ("welterweight", "welterweight", "welterweight"), ("middleweight", "middleweight", "middleweight"), ("light heavyweight", "light_heavyweight", "light_heavyweight"), ("heavyweight", "heavyweight", "heavyweight"))
@@ -110,6 +114,26 @@ def folded(name: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.translate(name, _FROM, _TO), "[̀-ͯ]", "")))
 
 
+#: What folded() takes to its base letter, or leaves, as compatibility decomposition does: ASCII, the table's letters, and marks that stand apart.
+_FOLDED = f"^[\\x00-\\x7F{_FROM}\u0300-\u034e\u0350-\u036f]*\\z"
+_WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _decomposed(name: Column) -> Column:
+    def run(names: pa.Array) -> pa.Array:
+        plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower().strip()
+        return pa.array([None if x is None else plain(x) for x in names.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, StringType())(name)
+
+
+def unaccented(name: Column) -> Column:
+    """Compatibility decomposition without combining marks, in lower case, stripped, of any script. Texts of ASCII and the table's letters stay
+    in the engine's own functions; only others reach the Arrow function, which gets nulls for the rest."""
+    plain = name.rlike(_FOLDED)
+    return F.when(plain, F.btrim(folded(name), F.lit(_WHITE))).otherwise(_decomposed(F.when(~plain, name)))
+
+
 def slug(name: Column) -> Column:
     """Lower case without accents; what is neither letter, digit nor space goes; spaces become one hyphen."""
     return F.regexp_replace(F.trim(F.regexp_replace(folded(name), r"[^a-z0-9\s-]", "")), r"[\s-]+", "-")
