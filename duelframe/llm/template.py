@@ -49,7 +49,7 @@ MOST_DEEP = 256
 HOLDS = 0.8
 
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z",
@@ -66,7 +66,7 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 HOLDERS = frozenset("body center details div html section table tbody td tr".split())
 #: Elements without text of the page; left open, the first two go on to the end, the others hold nothing.
 RAW = frozenset("script style".split())
-SKIPPED = frozenset("noscript template svg iframe object math textarea title select button".split())
+SKIPPED = frozenset("noscript template svg iframe object textarea title select button".split())
 _END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RAW, *SKIPPED)}
 OUTSIDE = frozenset("aside dialog fieldset footer form head menu nav".split())
 #: Words of a class, id or role that mark an element as no main text.
@@ -75,6 +75,8 @@ MARKS = frozenset(
     "login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup "
     "social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: In an article, an id of one of these is an anchor by the words of its heading, no mark.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: These count only outside an article.
 OUTER_MARKS = frozenset("header masthead topbar".split())
 #: Names that begin so tell of other elements, as has-sidebar does.
@@ -154,7 +156,8 @@ def read(page: str) -> tuple[list[int], list[Block]]:
             found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)}
             marks = found.get("class", "")
             if name not in ("html", "body"):
-                words = {w.lower() for v in found.values() for one in v.split() if not _ABOUT.match(one) for w in _SPLIT.split(one)}
+                telling = [v for k, v in found.items() if k != "id" or not article or name not in ANCHORED]
+                words = {w.lower() for v in telling for one in v.split() if not _ABOUT.match(one) for w in _SPLIT.split(one)}
                 if not words.isdisjoint(MARKS) or not article and not words.isdisjoint(OUTER_MARKS):
                     outside = outside or 1
         if name in VOID:

@@ -282,6 +282,11 @@ def test_template_finds_the_main_element_without_articles(spark):
         assert r.text.split("\n") == [f"Title {r.page_id}", *(f"Sentence {j} of story {r.page_id} tells of the day {r.page_id * j}." for j in range(6))]
 
 
+def test_template_keeps_anchors_formulas_and_what_follows_empty_comments():
+    page = "<body><article><h1>T</h1><!--><p>Let <math><mi>x</mi></math> be.</p><!---><h2 id='related-work'>Related</h2><section id='discussion'><p>Findings</p></section><section class='comments' id='c'><p>Reader</p></section></article></body>"
+    assert [(b.text, bool(b.outside)) for b in template.read(page)[1]] == [("T", False), ("Let x be.", False), ("Related", False), ("Findings", False), ("Reader", True)]
+
+
 def test_template_marks_that_leave_nothing_do_not_count():
     text = lambda page: template.extract(page, [], [])
     assert text("<body class='has-sidebar'><article><p>One</p></article></body>") == "One"
