@@ -218,7 +218,10 @@ def fit(rows: DataFrame, inputs: tuple[str, ...], label: str, classes: int, sett
 
     def sums_of(growing: list[Tree], open_nodes: list[list[int]]) -> dict:
         shared = spark.sparkContext.broadcast((fresh, growing, open_nodes))
-        by = table.mapInArrow(_sum_batches(shared, len(inputs), outputs, width), _SUMS).groupBy("k", "node", "salt").applyInArrow(_added, _SUMS).groupBy("k", "node").applyInArrow(_added, _SUMS)
+        by = table.mapInArrow(_sum_batches(shared, len(inputs), outputs, width), _SUMS)
+        if len(table.inputFiles()) > SALTS:  # of a few files, no sum has more than SALTS parts anyway
+            by = by.groupBy("k", "node", "salt").applyInArrow(_added, _SUMS)
+        by = by.groupBy("k", "node").applyInArrow(_added, _SUMS)
         found = {(r["k"], r["node"]): np.frombuffer(r["sums"]) for r in by.collect()}  # bins of the open nodes
         loss = found.pop((-1, 0), np.zeros(2))
         if growing[0].n == [0.0] and loss[1]:  # before the round

@@ -7,12 +7,16 @@ that was read back, as an application would.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions import text
 from duelframe.operators import boosting, endpoints, evaluation, features, learned, market, vennabers
-from duelframe.session import new_path, staged
+from duelframe.session import new_path, staged, workers_can_import
 from duelframe.sources import adapter, sinks
 
 #: Share of the training rows that decide when to stop.
@@ -72,6 +76,77 @@ def method_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.withColumn("predicted", text.argmax(learned.CLASSES, *[F.col(n) for n in names]))
 
 
+# -- importance and validation
+
+REPEATS, BLOCK = 10, 20_000
+
+
+def _permuted(forest: boosting.Forest, names: tuple[str, ...]):
+    def run(key, t):
+        """Right answers of one block and repeat: as it stands, and with one input's values dealt to other rows at a time."""
+        rng = np.random.default_rng([learned.SEED, int(key[0]), int(key[1])])
+        t = t.sort_values("fight_id", kind="stable")
+        x, y = t[list(names)].to_numpy(float), t["label"].to_numpy(float)
+        right = lambda z: int(((forest.margins(z)[:, 0] >= 0) == (y == 1)).sum())
+        used = {f for _, tree in forest.trees for f in tree.feature if f >= 0}
+        base, out = right(x), []
+        for i, name in enumerate(names):
+            order = rng.permutation(len(x))  # drawn for all, so one input's draws don't depend on which others are used
+            if i in used:
+                z = x.copy()
+                z[:, i] = x[order, i]
+            out.append((name, int(key[1]), len(x), base, right(z) if i in used else base))
+        return pd.DataFrame(out, columns=["feature", "repeat", "n", "base", "permuted"])
+
+    return run
+
+
+def importance(forest: boosting.Forest, rows: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """feature, accuracy, importance, deviation: accuracy lost on rows(fight_id, label) when an input's values are dealt to other rows, as mean and
+    population deviation over repeats. Values are dealt within blocks of about BLOCK rows, which go to tasks by block and repeat."""
+    workers_can_import(rows.sparkSession)
+    names = forest.inputs
+    x = rows.where("label IS NOT NULL").select("fight_id", "label", *[F.col(c).cast("double").alias(c) for c in names])
+    blocks = max(1, math.ceil(x.count() / BLOCK))
+    x = x.withColumn("block", F.pmod(F.xxhash64("fight_id", F.lit("block")), F.lit(blocks))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    by = x.groupBy("block", "repeat").applyInPandas(_permuted(forest, names), "feature string, repeat int, n long, base long, permuted long")
+    each = by.groupBy("feature", "repeat").agg((F.sum("base") / F.sum("n")).alias("base"), ((F.sum("base") - F.sum("permuted")) / F.sum("n")).alias("lost"))
+    return each.groupBy("feature").agg(F.max("base").alias("accuracy"), F.avg("lost").alias("importance"), F.stddev_pop("lost").alias("deviation"))
+
+
+def input_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inputs of the winner model by the accuracy that later bouts lose."""
+    m = learned.prepared(spark, sf_dir)
+    return importance(winner_forest(m), m.where("part > 0"))
+
+
+def folds_by(m: DataFrame, unit: str, folds: int) -> DataFrame:
+    """m with fold: its unit of time (year, month, week ...) counted from the first that is scored, the last `folds` units; rows before them
+    have fold 0."""
+    at = F.date_trunc(unit, F.col("ts").cast("timestamp"))
+    units = m.select(at.alias("_unit")).distinct()  # a row for each unit
+    back = F.row_number().over(Window.orderBy(F.desc("_unit")))
+    units = units.withColumn("_back", back).select("_unit", F.greatest(F.lit(0), F.lit(folds + 1) - F.col("_back")).alias("fold"))
+    return m.withColumn("_unit", at).join(F.broadcast(units), "_unit").drop("_unit")
+
+
+def cv_by_time(spark: SparkSession, sf_dir: str, unit: str = "week", folds: int = 3, rounds: int = 6) -> DataFrame:
+    """Folds that grow in time: each of the last `folds` units is scored by a model of all bouts before it. With mean and population deviation over
+    folds on each row. The driver's tables hold some weeks; over years, unit is year."""
+    m = staged(folds_by(learned.winner_matchups(spark, sf_dir).where("label IS NOT NULL"), unit, folds), "folds")
+    out = None
+    for i in range(1, folds + 1):
+        x = staged(features.imputed(m.where(F.col("fold") <= i), list(learned.INPUTS), F.col("fold") < i), "fold")
+        train = x.where(F.col("fold") < i).drop("fold")
+        both = train.unionByName(learned.image(train)).withColumn("y", F.col("label").cast("int"))
+        forest = boosting.fit(both, learned.INPUTS, "y", 2, boosting.Settings(rounds=rounds, rate=RATE, **boosting.WINNER))
+        scored = boosting.scored(forest, x.where(F.col("fold") == i), ("label",), ("p0", "p"))
+        one = learned.scores_of(scored, ("p",)).select(F.lit(i).alias("fold"), F.lit(train.count()).alias("trained"), "n", "accuracy", "auc", "log_loss", "brier")
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy()  # a row for each fold
+    return staged(out, "cv").select("*", F.avg("accuracy").over(w).alias("mean_accuracy"), F.stddev_pop("accuracy").over(w).alias("deviation"))
+
+
 # -- the predictions table
 
 
@@ -150,5 +225,5 @@ OVER_PREDICTIONS = {
     for f in (market.picks_edge, market.winner_metrics_conf, market.winner_metrics_edge, market.value_bets_grid, evaluation.method_metrics, evaluation.confusion, evaluation.reliability, evaluation.scores, endpoints.interval_bets, endpoints.upcoming_bouts, endpoints.overall_metrics, endpoints.bankroll)
 }
 
-QUERIES = {f.__name__: f for f in (contributions, method_joint, model_predictions, model_contributions)} | {f"model_{n}": over_predictions(f) for n, f in OVER_PREDICTIONS.items()}
+QUERIES = {f.__name__: f for f in (contributions, method_joint, input_importance, cv_by_time, model_predictions, model_contributions)} | {f"model_{n}": over_predictions(f) for n, f in OVER_PREDICTIONS.items()}
 ORACLES: dict[str, str] = {}

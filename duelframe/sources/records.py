@@ -250,5 +250,40 @@ def roster_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROSTER_SQL = oracle("SELECT lower(strip_accents(first_name || ' ' || last_name)) AS name, CASE fighter_id % 3 WHEN 0 THEN 'US' ELSE 'GE' END AS country FROM fighters WHERE fighter_id % 3 < 2")
 
-QUERIES = {f.__name__: f for f in (bout_pages, bout_pages_sql, fighter_listing, event_listing, roster_flags)}
-ORACLES = {"bout_pages": BOUT_SQL, "bout_pages_sql": BOUT_SQL, "fighter_listing": LISTING_SQL, "event_listing": EVENTS_SQL, "roster_flags": ROSTER_SQL}
+#: The class of a profile's image, the block that holds another one, and where relative addresses lead.
+HERO, MAIN_BLOCK, SITE = "hero-profile__image", "block-mainpagecontent", "http://x"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a tag, in either quotes or none; empty without it."""
+    value = lambda i: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", i)
+    return F.coalesce(*[F.nullif(value(i), F.lit("")) for i in (1, 2, 3)], F.lit(""))
+
+
+def profile_image(html: Column) -> Column:
+    """The address of a profile page's image: of the first image of the profile's class, else of the first in the main block; null without one."""
+    images = lambda h: F.regexp_extract_all(h, F.lit("(?is)(<img\\b[^>]*>)"))
+    hero = F.get(F.filter(images(html), lambda x: F.array_contains(F.split(F.trim(_attribute(x, "class")), r"\s+"), HERO)), F.lit(0))
+    block = F.regexp_extract(html, rf"(?is)<[a-z0-9]+\b[^>]*\sid\s*=\s*[\"']?{MAIN_BLOCK}\b[^>]*>(.*)", 1)
+    src = F.nullif(F.replace(_attribute(F.coalesce(hero, F.get(images(block), F.lit(0))), "src"), F.lit("&amp;"), F.lit("&")), F.lit(""))
+    return F.when(src.startswith("http"), src).otherwise(F.concat(F.lit(SITE), src))
+
+
+def profile_images(spark: SparkSession, sf_dir: str, days: int = 3 * 365) -> DataFrame:
+    """Images of entities that have competed in the last years, from profile pages of two layouts."""
+    b = adapter.bouts(spark, sf_dir)
+    since = F.broadcast(b.agg(F.date_sub(F.max("date"), days).alias("since")))  # one row
+    active = b.join(since, b["date"] >= since["since"]).select(F.explode(F.array("red_id", "blue_id")).alias("fighter_id")).distinct()
+    f = adapter.fighters(spark, sf_dir).join(active, "fighter_id", "left_semi")
+    number = F.col("fighter_id").cast("string")
+    body = F.when(F.col("fighter_id") % 3 == 0, F.concat(F.lit('<img src="/logo.png"><div><img alt="a" CLASS="c hero-profile__image" src="http://x/i/'), number, F.lit('.png?w=1&amp;h=2"></div>'))).when(F.col("fighter_id") % 3 == 1, F.concat(F.lit("<img src='/logo.png'><div class=x id='block-mainpagecontent'><p>t</p><img src='/b/"), number, F.lit(".png'></div>"))).otherwise(F.lit("<div><img class='hero-profile__image-none' src='/c.png'></div>"))
+    url = F.concat(F.lit("http://x/athlete/"), text.slug(F.concat_ws(" ", "first_name", "last_name")))
+    pages = f.select(url.alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    x = pages.select(F.regexp_extract(text.last_segment(F.col("url")), r"(\d+)$", 1).cast("long").alias("fighter_id"), profile_image(F.col("html")).alias("image"))
+    return x.where("image IS NOT NULL")
+
+
+IMAGES_SQL = oracle("SELECT fighter_id, CASE fighter_id % 3 WHEN 0 THEN 'http://x/i/' || fighter_id || '.png?w=1&h=2' ELSE 'http://x/b/' || fighter_id || '.png' END AS image FROM fighters WHERE fighter_id % 3 < 2 AND fighter_id IN (SELECT unnest([red_id, blue_id]) FROM pr WHERE date >= (SELECT max(date) FROM pr) - 1095)")
+
+QUERIES = {f.__name__: f for f in (bout_pages, bout_pages_sql, fighter_listing, event_listing, roster_flags, profile_images)}
+ORACLES = {"bout_pages": BOUT_SQL, "bout_pages_sql": BOUT_SQL, "fighter_listing": LISTING_SQL, "event_listing": EVENTS_SQL, "roster_flags": ROSTER_SQL, "profile_images": IMAGES_SQL}

@@ -169,7 +169,9 @@ def test_joint_method_model_loses_no_more_than_one_model_a_class(spark):
 
     from .conftest import SF
 
-    joint, single = (f(spark, SF).toPandas() for f in (models.method_joint, learned.method_scores))
+    rows = learned.method_rows(spark, SF)
+    joint = boosting.scored(models.method_forest(rows, rounds=12), rows.where("part > 0"), ("fight_id", "part", "method_class"), ("p_ko", "p_sub", "p_dec")).toPandas()
+    single = learned.method_scores(spark, SF).toPandas()
     x = joint.merge(single, on=["fight_id", "part", "method_class"])
     assert len(x) == len(single) and np.allclose(x[["p_ko", "p_sub", "p_dec"]].sum(axis=1), 1)
     loss = lambda p: -np.mean([math.log(max(r[f"{p}_{r['method_class']}"], 1e-15)) for _, r in x.iterrows()])

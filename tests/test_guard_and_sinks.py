@@ -84,3 +84,15 @@ def test_sql_parses_pages_as_the_data_frame_does(spark):
 
 def test_pages_are_parsed_in_all_partitions(spark):
     assert records.parse_bouts(records.pages_of_bouts(spark, SF)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_profile_images(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "<img class=hero-profile__image src=/a.png>": "http://x/a.png", '<IMG SRC="https://y/a.png" class="x hero-profile__image y">': "https://y/a.png", "<img src='/l.png'><img class='hero-profile__image' src='/a.png'><img class='hero-profile__image' src='/b.png'>": "http://x/a.png",
+        "<img class='hero-profile__image'><div id='block-mainpagecontent'><img src='/m.png'></div>": None, "<img src='/l.png'><section id=\"block-mainpagecontent\"><p><img src='/m.png?a=1&amp;b=2'></p></section>": "http://x/m.png?a=1&b=2",
+        "<img src='/l.png'>": None, "": None, "<div id='block-mainpagecontent-2x'></div>": None,
+    }
+    got = {r.html: r.x for r in spark.createDataFrame([(h,) for h in cases], "html string").select("html", records.profile_image(F.col("html")).alias("x")).collect()}
+    assert got == cases
