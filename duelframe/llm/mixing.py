@@ -3,13 +3,14 @@
 A naive Bayes classifier over hashed words, fitted on labelled documents, gives every document a
 posterior over domains. Projected-gradient least squares then finds a nonnegative rate for each
 document such that the expected tokens of each domain, sum(rate * tokens * posterior), match the
-targets. The gradient of a document needs only the residual of each domain, so an iteration is one
-aggregation of as many sums as there are domains; the rate of a document is recomputed from the
-list of past residuals and never stored or sent. Documents with equal posteriors have equal rates, so
-their tokens are added up once, and iterations read one row for each distinct posterior.
+targets. The gradient of a document needs only the residual of each domain; the rate of a document is
+recomputed from the list of past steps and never stored or sent. Documents with equal posteriors have equal
+rates, so their tokens are added up once, and aggregations read one row for each distinct posterior.
 
 Steps are taken in the metric of the documents' tokens, with each domain's residual scaled by its
-diagonal entry of sum(tokens * p * p'); in that metric the step 1 / (largest eigenvalue) converges.
+diagonal entry of sum(tokens * p * p'). They are implicit: the gradient is that of the step's end, so a step of any length
+converges (proximal points), and long ones need few. Where a step ends is the least point of a convex function of as
+many numbers as there are domains, found by Newton's method: an aggregation of a few sums for each of its iterations.
 
 Cases: a null or empty text has no tokens, the prior as its posterior, and a rate like others; null
 labels are ignored; a document labelled more than once counts with its least domain; domains
@@ -24,6 +25,7 @@ import math
 import warnings
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,12 @@ DOMAINS = ("clean", "poor", "toxic")
 #: Shares of expected tokens. The first domain keeps its tokens; the others are set against it.
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
 CLOSE = 1e-4
-#: The solution is at its least where the squared miss falls by less than this share in so many steps.
-STALLED, STALL = 0.01, 20
+#: Length of a step, where 1 / (largest eigenvalue) is the longest that explicit steps may have.
+LENGTH = 1e6
+#: Dampings of Newton's method that are tried side by side.
+DAMPING = (0.0, 1e-6, 1e-3, 1.0)
+#: The solution is at its least where the squared miss falls by less than this share in a step.
+STALLED = 0.01
 
 
 def _bucket(word: Column) -> Column:
@@ -148,13 +154,17 @@ def rate_of(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(_numbers(steps), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + _dot(p, s)))
 
 
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v)) for row in m]
-        top = max(map(abs, w)) or 1.0
-        v = [x / top for x in w]
-    return top
+def _trials(f: DataFrame, steps: list[list[float]], trials: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each trial as the next step: tokens by domain, sum(tokens * p * p') over rates above 0, sum(tokens * rate^2)."""
+    d = len(trials[0])
+    at = lambda i: F.get("p", F.lit(i))
+    rates = F.array(*[F.greatest(F.lit(0.0), F.col("r") + _dot(F.col("p"), _numbers(t))) for t in trials])
+    rows = f.select("n", "p", rate_of(F.col("p"), steps).alias("r")).select("n", "p", F.posexplode(rates).alias("trial", "r"))
+    free = F.when(F.col("r") > 0, F.col("n")).otherwise(F.lit(0))
+    sums = [F.sum(F.col("n") * F.col("r") * at(i)).alias(f"s{i}") for i in range(d)] + [F.sum(free * at(i) * at(j)).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
+    got = rows.groupBy("trial").agg(*sums, F.sum(F.col("n") * F.col("r") * F.col("r")).alias("rr")).collect()
+    out = {r["trial"]: (np.array([r[f"s{i}"] for i in range(d)]), np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]), r["rr"]) for r in got}
+    return [out.get(k, (np.zeros(d), np.zeros((d, d)), 0.0)) for k in range(len(trials))]
 
 
 def solve(f: DataFrame, targets: list[float]) -> list[list[float]]:
@@ -164,29 +174,41 @@ def solve(f: DataFrame, targets: list[float]) -> list[list[float]]:
     """
     d = len(targets)
     f = written(f.groupBy("p").agg(F.sum("n").alias("n")), "mixing-posteriors")
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    at = lambda i: F.get("p", F.lit(i))
-    first = f.agg(*[F.sum(F.col("n") * at(i)).alias(f"s{i}") for i in range(d)], *[F.sum(F.col("n") * at(i) * at(j)).alias(f"m{i}_{j}") for i, j in pairs]).first()
-    sums = [first[f"s{i}"] or 0.0 for i in range(d)]
-    part = [x > 1e-6 * sum(sums) for x in sums]  # a domain of next to no tokens has none
-    goal = [t * sums[0] / targets[0] for t in targets]
-    m = [[first[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]
-    scale = [m[i][i] or 1.0 for i in range(d)]
-    even = [[m[i][j] / math.sqrt(scale[i] * scale[j]) for j in range(d)] for i in range(d)]
-    step = 1.0 / max(_largest_eigenvalue(even), 1e-9)
+    sums, m, rr = _trials(f, [], [[0.0] * d])[0]
+    part = sums > 1e-6 * sums.sum()  # a domain of next to no tokens has none
+    goal = np.array(targets) * sums[0] / targets[0]
+    q = np.where(part, 1 / np.sqrt(np.where(m.diagonal() > 0, m.diagonal(), 1.0)), 0.0)
+    near = CLOSE * np.maximum(goal, max(1e-3 * goal.sum(), 1e-9))
+    met = lambda: bool(np.all((abs(sums - goal) <= near) | ~part))
     steps: list[list[float]] = []
-    misses: list[float] = []
-    while not all(abs(s - g) <= CLOSE * max(g, 1e-3 * sum(goal), 1e-9) for s, g, p in zip(sums, goal, part) if p):
-        misses.append(sum((g - s) ** 2 / k for s, g, k, p in zip(sums, goal, scale, part) if p))
-        if len(misses) > STALL and misses[-1] > (1 - STALLED) * misses[-1 - STALL]:
-            # No rates meet the targets, or not in reach: what least squares give stands, and is told.
-            warnings.warn(f"mixing: after {len(steps)} steps the domains' tokens are {[round(s, 3) for s in sums]}, not the targets' {[round(g, 3) for g in goal]}", stacklevel=2)
+    first = miss = float(np.sum((q * (goal - sums)) ** 2))
+    while not met():
+        # One step: s is the gradient where the step ends, times its length. That is the point where a convex function
+        # of s is least, and Newton's method gets there; trials differ in how much they are damped.
+        s = np.zeros(d)
+        least = rr / 2
+        while not met():
+            slope = q * (goal - sums) - s / LENGTH
+            if np.linalg.norm(slope) <= 1e-3 * np.linalg.norm(s) / LENGTH + 1e-9 * math.sqrt(first):
+                break
+            hessian = m * np.outer(q, q)
+            # Rounded, so that the order of a sum doesn't show in the rates.
+            trials = [np.round(q * (s + np.linalg.solve(hessian + (1 / LENGTH + x) * np.eye(d), slope)), 10) for x in DAMPING]
+            ends = [np.divide(t, q, out=np.zeros(d), where=part) for t in trials]
+            got = _trials(f, steps, [t.tolist() for t in trials])
+            values = [g[2] / 2 - float((q * goal) @ e) + float(e @ e) / (2 * LENGTH) for g, e in zip(got, ends)]
+            k = int(np.argmin(values))
+            if values[k] >= least - 1e-13 * abs(least):
+                break
+            least, s, (sums, m, rr) = values[k], ends[k], got[k]
+            step = trials[k].tolist()
+        before, miss = miss, float(np.sum((q * (goal - sums)) ** 2))
+        if s.any():
+            steps.append(step)
+        if not met() and miss > (1 - STALLED) * before:
+            # No rates meet the targets: what least squares give stands, and is told.
+            warnings.warn(f"mixing: after {len(steps)} steps the domains' tokens are {np.round(sums, 3).tolist()}, not the targets' {np.round(goal, 3).tolist()}", stacklevel=2)
             break
-        # Rounded, so that the order of a sum doesn't show in the rates.
-        steps.append([round(step * (g - s) / k, 10) if p else 0.0 for s, g, k, p in zip(sums, goal, scale, part)])
-        rated = f.select((F.col("n") * rate_of(F.col("p"), steps)).alias("w"), "p")
-        got = rated.agg(*[F.sum(F.col("w") * at(i)).alias(f"s{i}") for i in range(d)]).first()
-        sums = [got[f"s{i}"] or 0.0 for i in range(d)]
     drop_written(f)
     return steps
 

@@ -462,6 +462,42 @@ def test_mixing_tells_of_targets_that_no_rates_meet(spark):
         mixing.solve(f, list(mixing.TARGETS.values()))
 
 
+def test_mixing_takes_few_steps_where_domains_overlap(spark):
+    """Plain gradient steps take 341 here, each with a job of its own."""
+    from duelframe.llm import mixing
+
+    rows = [(1000, [0.93, 0.06, 0.01])] * 400 + [(1000, [0.7, 0.25, 0.05])] * 100 + [(10, [0.05, 0.05, 0.9])] * 5 + [(1000, [0.999, 0.0005, 0.0005])] * 4
+    f = spark.createDataFrame(rows, "n long, p array<double>").cache()
+    f.count()
+    spark.sparkContext.setJobGroup("mixing-steps", "steps")
+    steps = mixing.solve(f, list(mixing.TARGETS.values()))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("mixing-steps")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = f.select("n", "p", mixing.rate_of(F.col("p"), steps).alias("r")).collect()
+    total = [sum(r.n * r.p[i] * r.r for r in got) for i in range(3)]
+    assert np.allclose(np.array(total) / sum(total), list(mixing.TARGETS.values()), rtol=1e-3)
+    assert len(steps) <= 5 and len(jobs) <= 60
+
+
+def test_mixing_is_least_squares_where_no_rates_meet(spark):
+    """Against 200,000 plain gradient steps."""
+    from duelframe.llm import mixing
+
+    n, p = np.array([4e5, 3e4, 2e3]), np.array([[0.97, 0.02, 0.01], [0.7, 0.28, 0.02], [0.55, 0.4, 0.05]])
+    goal = np.array(list(mixing.TARGETS.values())) * (n @ p)[0] / 0.9
+    m = (p * n[:, None]).T @ p
+    step = 1 / np.linalg.eigvalsh(m / np.sqrt(np.outer(m.diagonal(), m.diagonal())))[-1]
+    best = np.ones(3)
+    for _ in range(200_000):
+        best = np.maximum(0, best + p @ (step * (goal - (n * best) @ p) / m.diagonal()))
+    miss = lambda r: float(np.sum((goal - (n * r) @ p) ** 2 / m.diagonal()))
+    f = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>")
+    with pytest.warns(UserWarning, match="not the targets"):
+        steps = mixing.solve(f, list(mixing.TARGETS.values()))
+    rates = {tuple(r.p): r.r for r in f.select("p", mixing.rate_of(F.col("p"), steps).alias("r")).collect()}
+    assert miss(np.array([rates[tuple(b.tolist())] for b in p])) <= 1.0001 * miss(best)
+
+
 def test_mixing_query_meets_all_targets(spark):
     from duelframe.llm.mixing import TARGETS
 
