@@ -15,12 +15,14 @@ an empty file set; other columns of the input are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
-from itertools import chain
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,24 @@ from .common import new_path, partitions_for, table, whole, workers_can_import
 TEXT_PER_FILE = 48e6
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
-#: Distinct chunks of text that a worker remembers.
+#: Distinct chunks and words that a worker remembers.
 REMEMBERED = 650_000
-#: Chunks in one call of the library: few, so that its buffers stay in the processor's cache.
+#: Words in one call of the library: few, so that its buffers stay in the processor's cache.
 TOGETHER = 200
 END_ID = 2
 
 #: A space between two characters that aren't white space: no word of a byte-level BPE crosses its start.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
+#: What re takes for white space, twice.
+_DOUBLE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: Without white space, so without line feeds.
 _PLAIN = re.compile(r"\S+\Z").match
 _LINE = re.compile(r"\n\S+\Z").match
+#: What the byte-level pre-tokenizer cuts off a word of letters before it: ASCII punctuation but for the apostrophe of contractions.
+_TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Letters in every version of Unicode, after a space (left out) or a line feed.
+_LETTERS = r"\A\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _loaded: dict = {}
 
 
@@ -51,11 +59,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The character of each byte in a byte-level vocabulary: itself where it is visible, else the next from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class _Encoder:
-    """The tokenizers library, asked once for each distinct chunk."""
+    """The tokenizers library, asked once for each distinct word."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         #: Texts that hold one of these are encoded whole, by a tokenizer of their own: one that looks for them in
@@ -63,68 +78,116 @@ class _Encoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.lib.encode_special_tokens = True
         self.full = functools.cache(lambda: Tokenizer.from_file(path))
+        #: Ids of chunks and words; where there are many, those not met since go.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         nl = self.lib.encode("\n", add_special_tokens=False).ids
         #: A lone line feed is one id, and it never merges with what stands beside it.
         self.newline = nl[0] if len(nl) == 1 else None
-
-    def chunks(self, text: str) -> list[str]:
-        """Pieces that are encoded one by one. All but the first follow a space, which is left out,
-        or begin with a line feed."""
-        return _CUT.split(text) if _DOUBLE.search(text) else text.replace("\n", " \n").split(" ")
-
-    def ids(self, plain: list[str], other: list[str]) -> list[bytes]:
-        """The ids of each text. plain: words without white space, but for a space before; these go to the library many at once, with line feeds between them."""
+        #: The same model for words in the characters of its vocabulary: turning bytes into these is most of the
+        #: library's work on new words, and quicker for many at once.
+        self.words = None
+        if self.newline is not None and self.lib.normalizer is None and self.lib.pre_tokenizer and json.loads(self.lib.pre_tokenizer.__getstate__()) == _BYTE_LEVEL:
+            self.alphabet = _byte_alphabet()
+            self.words = Tokenizer(self.lib.model)
+            self.words.pre_tokenizer = pre_tokenizers.Split(chr(self.alphabet[10]), "isolated")
+
+    def chunks(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pieces that are encoded one by one, and how many each text has. All but a text's first follow a space, which is
+        left out, or begin with a line feed."""
+        whole_texts = pa.array(texts, pa.large_string())
+        double = np.flatnonzero(pc.match_substring_regex(whole_texts, _DOUBLE).to_numpy(zero_copy_only=False))
+        split = pc.split_pattern(pc.replace_substring(whole_texts, "\n", " \n"), " ")
+        if len(double):
+            at = np.arange(len(texts))
+            at[double] = np.arange(len(double)) + len(texts)
+            split = pa.concat_arrays([split, pa.array([_CUT.split(texts[i]) for i in double.tolist()], split.type)]).take(pa.array(at))
+        return split.flatten(), np.diff(split.offsets.to_numpy())
+
+    def together(self, lib, words: list[str], turned=lambda x: x) -> list[bytes]:
+        """The ids of words without line feeds, which go to the library many at once, with line feeds between them."""
         out: list[bytes] = []
-        for lo in range(0, len(plain), TOGETHER):
-            part = plain[lo : lo + TOGETHER]
-            found = np.asarray(self.lib.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for lo in range(0, len(words), TOGETHER):
+            part = words[lo : lo + TOGETHER]
+            found = np.asarray(lib.encode_batch_fast([turned("\n".join(part))], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(found == self.newline)
             if len(at) != len(part) - 1:
-                found = [np.asarray(x.ids, dtype="<u4") for x in self.lib.encode_batch_fast(part, add_special_tokens=False)]
-                out += [x.tobytes() for x in found]
+                out += [np.asarray(x.ids, dtype="<u4").tobytes() for x in lib.encode_batch_fast([turned(x) for x in part], add_special_tokens=False)]
                 continue
             raw, start = found.tobytes(), 0
             for end in [*(at * 4).tolist(), len(raw)]:
                 out.append(raw[start:end])
                 start = end + 4
-        for lo in range(0, len(other), 5000):
-            out += [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.lib.encode_batch_fast(other[lo : lo + 5000], add_special_tokens=False)]
         return out
 
+    def apart(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, dtype="<u4").tobytes() for lo in range(0, len(texts), 5000) for x in self.lib.encode_batch_fast(texts[lo : lo + 5000], add_special_tokens=False)]
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, with no space before it."""
+        plain = [] if self.newline is None else [x for x in texts if _PLAIN(x)]
+        ids = dict(zip(plain, self.together(self.lib, plain)))
+        rest = [x for x in texts if x not in ids]
+        ids.update(zip(rest, self.apart(rest)))
+        return [ids[x] for x in texts]
+
+    def in_alphabet(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.alphabet)
+
+    def unknown(self, words: Iterable[str]) -> list[str]:
+        known, before = self.known, self.before
+        new = [x for x in words if x not in known]
+        if before:
+            known.update((x, before[x]) for x in new if x in before)
+            new = [x for x in new if x not in known]
+        return new
+
     def learn(self, new: list[str]) -> None:
+        known, tails = self.known, self.tails
+        feed = b"" if self.newline is None else np.asarray([self.newline], dtype="<u4").tobytes()
+        if self.words is not None:
+            core = pc.ascii_rtrim(pa.array(new, pa.large_string()), _TAIL)
+            letters = pc.match_substring_regex(core, _LETTERS).to_numpy(zero_copy_only=False).tolist()
+            cores = core.to_numpy(zero_copy_only=False).tolist()
+            unknown = self.unknown({c for c, ok in zip(cores, letters) if ok})
+            after_space, after_feed = [x for x in unknown if x[0] != "\n"], [x for x in unknown if x[0] == "\n"]
+            known.update(zip(after_space, self.together(self.words, [" " + x for x in after_space], self.in_alphabet)))
+            known.update(zip(after_feed, (feed + x for x in self.together(self.words, [x[1:] for x in after_feed], self.in_alphabet))))
+            cut = [(x, c) for x, c, ok in zip(new, cores, letters) if ok and len(c) < len(x)]
+            ends = list({x[len(c) :] for x, c in cut}.difference(tails))
+            tails.update(zip(ends, self.together(self.lib, ends)))
+            known.update((x, known[c] + tails[x[len(c) :]]) for x, c in cut)
+            new = [x for x, ok in zip(new, letters) if not ok]
         plain, lines, other = [], [], []
         for x in new:
             (other if self.newline is None else plain if _PLAIN(x) else lines if _LINE(x) else other).append(x)
-        known = self.known
-        known.update(zip(plain, self.ids([" " + x for x in plain], [])))
-        feed = b"" if self.newline is None else np.asarray([self.newline], dtype="<u4").tobytes()
-        known.update(zip(lines, (feed + x for x in self.ids([x[1:] for x in lines], []))))
-        known.update(zip(other, self.ids([], [x if x[:1] == "\n" else " " + x for x in other])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        special = [i for i, x in enumerate(texts) if any(t in x for t in self.special)]
-        if special:
-            full = self.full()
-            own = {i: np.asarray(full.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes() for i in special}
-            rest = iter(self.encode([x for i, x in enumerate(texts) if i not in own]))
-            return [own[i] if i in own else next(rest) for i in range(len(texts))]
-        split = [self.chunks(x) for x in texts]
-        firsts = [x.pop(0) for x in split]
-        chunks = list(chain.from_iterable(split))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = list(map(self.known.get, chunks))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            self.learn(list({chunks[i] for i in missing}))
-            for i in missing:
-                found[i] = self.known[chunks[i]]
-        out, lo = [], 0
-        for first, x in zip(self.ids([], firsts), split):
-            out.append(first + b"".join(found[lo : lo + len(x)]))
-            lo += len(x)
-        return out
+        known.update(zip(plain, self.together(self.lib, [" " + x for x in plain])))
+        known.update(zip(lines, (feed + x for x in self.together(self.lib, [x[1:] for x in lines]))))
+        known.update(zip(other, self.apart([x if x[:1] == "\n" else " " + x for x in other])))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after another, and how many each has."""
+        own = {i: np.asarray(self.full().encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for i, x in enumerate(texts) if any(t in x for t in self.special)}
+        chunks, n = self.chunks(["" if i in own else x for i, x in enumerate(texts)])
+        firsts = np.cumsum(n) - n
+        # The first pieces don't follow a space, so they are encoded as they are, behind the others.
+        begin = chunks.take(pa.array(firsts)).to_pylist()
+        first = np.zeros(len(chunks), dtype=bool)
+        first[firsts] = True
+        coded = pc.if_else(pa.array(first), pa.scalar(None, chunks.type), chunks).dictionary_encode()
+        at = coded.indices.fill_null(0).to_numpy().astype(np.int64)
+        at[firsts] = len(coded.dictionary) + np.arange(len(texts))
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() is ten times slower
+        if len(self.known) + len(self.tails) > REMEMBERED // 2:
+            self.before, self.known = self.known, {}
+            self.tails.clear()
+        self.learn(self.unknown(distinct))
+        ids = [*map(self.known.__getitem__, distinct), *(own.get(i, x) for i, x in enumerate(self.alone(begin)))]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4)])
+        pieces = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))).take(pa.array(at))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return pieces.flatten().to_numpy(), np.diff(pieces.offsets.to_numpy()[upto])
 
 
 def _encoder(path: str) -> _Encoder:
@@ -134,8 +197,6 @@ def _encoder(path: str) -> _Encoder:
 
 
 def _encode_batches(path: str, end_id: int):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         enc = None
         for batch in batches:
@@ -147,11 +208,10 @@ def _encode_batches(path: str, end_id: int):
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 4_000_000):
                     size += len(texts[hi])
                     hi += 1
-                got = [x + end for x in enc.encode(texts[lo:hi])]
-                n = np.fromiter((len(x) // 4 for x in got), dtype=np.int64, count=len(got))
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
+                found, n = enc.encode(texts[lo:hi])
+                ids = pa.array(np.insert(found, np.cumsum(n), end_id))
+                offsets = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "n_tokens", "ids"])
                 lo = hi
 
     return run

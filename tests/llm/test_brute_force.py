@@ -431,6 +431,57 @@ def test_sharding(spark, duck):
     assert got == set(duck.sql(SHARD_SQL).fetchall())
 
 
+def _token_ids(token_files, texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = token_files._encode_batches(token_files.default_tokenizer(), 2)
+    return [ids for out in run(iter([batch])) for ids in out.column(2).to_pylist()]
+
+
+def test_token_files_ask_the_library_for_a_word_once(monkeypatch):
+    """Whatever punctuation follows it."""
+    from duelframe.llm import token_files
+
+    asked = []
+
+    class Counting:
+        def __init__(self, lib):
+            self.lib = lib
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return self.lib.encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(self.lib, name)
+
+    path = token_files.default_tokenizer()
+    enc = token_files._Encoder(path)
+    for name in ("lib", "words"):
+        if getattr(enc, name, None) is not None:
+            setattr(enc, name, Counting(getattr(enc, name)))
+    monkeypatch.setitem(token_files._loaded, path, enc)
+    words = [f"{a}{b}qué{c}" for a in ("Tar", "lo", "ßu", "men") for b in ("rin", "sel", "öt") for c in ("dan", "e", "mou")]
+    text = " ".join(w + tail for tail in ("", ",", ".", "!", "?", ";", "&&&", "###", '."') for w in words)
+    assert _token_ids(token_files, [text]) == [[*enc.lib.lib.encode(text, add_special_tokens=False).ids, 2]]
+    assert sum(map(len, asked)) < 2 * len(" ".join(words).encode())
+
+
+def test_token_files_have_the_ids_of_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from duelframe.llm import token_files
+
+    pick = random.Random(7)
+    odd = [*"abZé ß  \n\n\t'  .,!?&$#_-0123ªºµ٣ʰɐΩжüÅŁ\u0301字🙂\r\x1c\x85İ̈", "\u00a0", "\u3000", "<|endoftext|>", "don't", " it's\n", "word,", "\nWord!!", " ", "\n"]
+    texts = ["", " ", "\n", " a", "a ", "a\n", "\na", "a b\nc"] + ["".join(pick.choices(odd, k=pick.randint(0, 60))) for _ in range(3000)]
+    lib = Tokenizer.from_file(token_files.default_tokenizer())
+    assert _token_ids(token_files, texts) == [[*lib.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
 def test_mixing_meets_targets(spark):
     from duelframe.llm.mixing import TARGETS
 
